@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import OP10_SQL, op10_chat_formatting
+from .gif import op2_gif_media
+from .licences import op4_licence_scan
+from .packing import op8_hilbert_packing
 from .simhash import op7_simhash_near_dedup
+from .tokens import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash_near_dedup": op7_simhash_near_dedup}
+    return {
+        "op2_gif_media": op2_gif_media,
+        "op3_token_counts": op3_token_counts,
+        "op4_licence_scan": op4_licence_scan,
+        "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_hilbert_packing": op8_hilbert_packing,
+        "op10_chat_formatting": op10_chat_formatting,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_formatting": OP10_SQL}
