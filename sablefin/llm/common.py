@@ -75,3 +75,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def is_held_out(parts: int, remainder: int, name: str = "doc_id") -> Column:
     """Whether crc32 of an id written as text leaves ``remainder`` when divided by ``parts``."""
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % parts == remainder, F.lit(False))
+
+
+#: Rows of 16 bytes or so that may be broadcast; their number is counted first.
+BROADCAST_ROWS = 1 << 20
+
+
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows; otherwise as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def cells(keyed: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
+    """Rows (*keys, a, b, item, n): buckets of ``keyed`` with at least two items, cut into cells of bounded size.
+
+    A bucket above ``most`` items is dealt by hash into parts, and each two parts form a cell (a, b), so that every two
+    items of a bucket meet in some cell and no cell is larger than about twice ``most``. A smaller bucket is one cell.
+    """
+    sizes = keyed.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / most).cast("int")
+    sized = keyed.join(sizes, keys).withColumn("parts", parts)
+    sized = sized.withColumn("mine", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("mine")) | (F.col("parts") == 1))
+    pairs = sized.withColumn("other", F.explode(others))
+    return pairs.select(*keys, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), item, "n")

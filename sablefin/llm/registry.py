@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_formatting
 from .gif import op2_gif_media
+from .language import op9_language_id
 from .licences import op4_licence_scan
 from .packing import op8_hilbert_packing
 from .simhash import op7_simhash_near_dedup
+from .substrings import op6_substring_dedup
 from .tokens import op3_token_counts
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,8 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_gif_media": op2_gif_media,
         "op3_token_counts": op3_token_counts,
         "op4_licence_scan": op4_licence_scan,
+        "op5_toxicity": op5_toxicity,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_hilbert_packing": op8_hilbert_packing,
+        "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
     }
 

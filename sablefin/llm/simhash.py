@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, small_batches, table, utf8, written
+from .common import cells, drop_written, small_batches, table, utf8, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -164,14 +164,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     and no link is lost. Buckets of one fingerprint end there.
     """
     keyed = distinct.select("fp", F.explode(F.array(*_block_keys(radius))).alias("at")).select("fp", "at.way", "at.key")
-    sizes = keyed.groupBy("way", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = keyed.join(sizes, ["way", "key"]).withColumn("parts", F.ceil(F.col("n") / CELL).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("mine")) | (F.col("parts") == 1))
-    cells = (
-        sized.withColumn("mine", mine)
-        .withColumn("other", F.explode(others))
-        .select("way", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
+    dealt = (
+        cells(keyed, ["way", "key"], "fp", CELL)
+        .select("way", "key", "a", "b", "fp")
         .repartition("way", "key", "a", "b")
         .sortWithinPartitions("way", "key", "a", "b", "fp")
     )
@@ -203,7 +198,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if (done := out()) is not None:
             yield done
 
-    return cells.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
