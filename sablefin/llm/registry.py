@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_formatting
+from .decontaminate import op1_benchmark_decontamination
 from .gif import op2_gif_media
 from .language import op9_language_id
 from .licences import op4_licence_scan
@@ -19,6 +21,7 @@ from .toxicity import op5_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op2_gif_media": op2_gif_media,
         "op3_token_counts": op3_token_counts,
         "op4_licence_scan": op4_licence_scan,
@@ -28,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_packing": op8_hilbert_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "pipeline": corpus_pipeline.run,
     }
 
 
