@@ -53,7 +53,7 @@ def recommend(detected: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(place)).withColumn("reason", text)
 
 
-def detect_columns(df: DataFrame, id_column: str, columns: list[str], library: dict[str, list[str]] = LIBRARY) -> DataFrame:
+def detect_columns(df: DataFrame, columns: list[str], library: dict[str, list[str]] = LIBRARY) -> DataFrame:
     """Rows (column_name, pattern_type, matches, rows, confidence) of kinds that a column's values match.
 
     One scan counts every kind in every column; only the sums are turned into rows.

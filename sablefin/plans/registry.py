@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import detection, profiling, tokenisation
+from .common import Query
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = [detection, tokenisation, profiling]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for module in MODULES for name, query in module.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.registry.oracles.items()}
