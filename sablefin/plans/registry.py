@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import detection, profiling, tokenisation
+from . import detection, graphs, profiling, tokenisation
 from .common import Query
 
-MODULES = [detection, tokenisation, profiling]
+MODULES = [detection, tokenisation, profiling, graphs]
 
 
 def queries() -> dict[str, Query]:
