@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import detection, graphs, profiling, tokenisation
+from . import detection, graphs, profiling, scoring, tokenisation
 from .common import Query
 
-MODULES = [detection, tokenisation, profiling, graphs]
+MODULES = [detection, tokenisation, profiling, graphs, scoring]
 
 
 def queries() -> dict[str, Query]:
