@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import detection, graphs, profiling, scoring, tokenisation
+from . import detection, graphs, profiling, scoring, store, streams, tokenisation
 from .common import Query
 
-MODULES = [detection, tokenisation, profiling, graphs, scoring]
+MODULES = [detection, tokenisation, profiling, graphs, scoring, store, streams]
 
 
 def queries() -> dict[str, Query]:
