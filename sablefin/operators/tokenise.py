@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sablefin.functions.patterns import TEXT_RULES, TOKEN_PREFIXES, Pattern, PatternSet
 from sablefin.functions.validators import MAX_MATCHES, MAX_TEXT_BYTES, cards, emails, guarded
+from sablefin.sources.scratch import written
 
 #: Stands for a match of rule k while later rules run: the k-th private-use character, which no rule matches.
 _FIRST_MARK = 0xE000
@@ -54,9 +55,10 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 along ``order``, which must tell all rows apart.
 
     Rows are range-partitioned and numbered within their partition; only the partitions' sizes are added up in one place.
+    The partitioned rows are written first: the bounds of a range partitioning come from a sample, so a second one for the
+    sizes could differ.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
