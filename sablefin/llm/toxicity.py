@@ -79,22 +79,25 @@ def train(texts: list[bytes], toxic: np.ndarray, rounds: int = 300, ridge: float
     n_1, n_0 = int(toxic.sum()), int((~toxic).sum())
     if not n_1 or not n_0:
         return Model(np.full(BUCKETS, -1, np.int32), np.zeros(0), np.zeros(0), 20.0 if n_1 else -20.0)
-    found = [features(np.frombuffer(t, np.uint8)) for t in texts]
-    df = np.zeros((2, 2 * BUCKETS))
-    for buckets, label in zip(found, toxic):
-        df[int(label), buckets] += 1
-    ratio = np.log((df[1] + SMOOTHING) / (n_1 + 2 * SMOOTHING)) - np.log((df[0] + SMOOTHING) / (n_0 + 2 * SMOOTHING))
+    df = np.zeros((2, 2 * BUCKETS), np.int32)
+    for text, label in zip(texts, toxic):
+        df[int(label), features(np.frombuffer(text, np.uint8))] += 1
+    often = np.flatnonzero(df[0] + df[1] >= LEAST_DOCS)
+    in_0, in_1 = df[0, often], df[1, often]
+    del df
+    ratio = np.log((in_1 + SMOOTHING) / (n_1 + 2 * SMOOTHING)) - np.log((in_0 + SMOOTHING) / (n_0 + 2 * SMOOTHING))
     # How far the share of documents with the feature differs between the labels, in standard errors.
-    share = df.sum(axis=0) / (n_1 + n_0)
+    share = (in_0 + in_1) / (n_1 + n_0)
     with np.errstate(divide="ignore", invalid="ignore"):
-        apart = np.abs(df[1] / n_1 - df[0] / n_0) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
-    apart = np.where((df.sum(axis=0) >= LEAST_DOCS) & np.isfinite(apart), apart, 0)
-    order = np.argsort(-apart, kind="stable")[:FEATURES]
-    kept = np.sort(order[apart[order] > 0])
+        apart = np.abs(in_1 / n_1 - in_0 / n_0) / np.sqrt(share * (1 - share) * (1 / n_1 + 1 / n_0))
+    apart = np.where(np.isfinite(apart), apart, 0)
+    best = np.argsort(-apart, kind="stable")[:FEATURES]
+    best = np.sort(best[apart[best] > 0])
+    kept, scale = often[best], ratio[best]
     slot = np.full(2 * BUCKETS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    scale = ratio[kept]
-    columns = [s[s >= 0] for s in (slot[b] for b in found)]
+    # Features are computed again rather than held: only the kept ones' places stay in memory.
+    columns = [s[s >= 0] for s in (slot[features(np.frombuffer(t, np.uint8))] for t in texts)]
     row = np.repeat(np.arange(len(texts)), [len(c) for c in columns])
     column = np.concatenate(columns) if columns else np.empty(0, np.int32)
     value = scale[column]
@@ -141,16 +144,17 @@ def learn(
     sample's texts reach the driver. Labels other than 0 and 1 and texts that are null are passed over; of several labels
     of an id the largest counts.
     """
-    marked = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("toxic"))
+    known = F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()
+    marked = labels.where(known).groupBy(id_column).agg(F.max(label_column).alias("toxic"))
     sizes = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     share = {k: min(1_000_000, 1_000_000 * n // sizes[k]) for k, n in (sample or SAMPLE).items() if sizes.get(k)}
     if not share:
         return train([], np.empty(0))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_column)), F.lit(1_000_000))
     wanted = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    drawn = marked.where(draw < wanted[F.col("toxic")]).select(F.col(id_column).alias("__id"), "toxic")
+    drawn = marked.where(draw < wanted[F.col("toxic")]).select(F.col(id_column).alias("__id"), F.col("toxic").alias("__label"))
     rows = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(drawn), F.col(id_column) == F.col("__id"))
-    found = [(bytes(r[0]), r[1]) for r in rows.select(F.col(text_column).cast("binary"), "toxic").toLocalIterator()]
+    found = [(bytes(r[0]), r[1]) for r in rows.select(F.col(text_column).cast("binary"), "__label").toLocalIterator()]
     return train([t for t, _ in found], np.array([y for _, y in found]))
 
 
