@@ -91,6 +91,8 @@ def anchors_of(items: DataFrame) -> DataFrame:
 def _hits(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
     """Rows (doc_id, words, hits): documents with the places (from 0) and hashes of the item shingles in them."""
     few = [r[0] for r in anchors.select("shingle").distinct().limit(INLINE + 1).collect()]
+    if not few:
+        return docs.where("false").withColumn("hits", F.array().cast("array<int>"))
     if len(few) <= INLINE:
         known = ", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in sorted(few))
         parts = [
