@@ -77,8 +77,8 @@ def is_held_out(parts: int, remainder: int, name: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
-#: Rows of 16 bytes or so that may be broadcast; their number is counted first.
-BROADCAST_ROWS = 1 << 20
+#: Rows of a few numbers that may be broadcast; how many there are is counted first.
+BROADCAST_ROWS = 1 << 18
 
 
 def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
