@@ -113,12 +113,12 @@ def stream_tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(target).withColumnRenamed("value", "line")
 
 
-@registry.add("src_csv_sample", f"WITH {CONTACTS} SELECT CAST(id AS VARCHAR) AS id, email, note FROM contacts WHERE id <= 50")
+@registry.add("src_csv_sample", f"WITH {CONTACTS} SELECT CAST(id AS VARCHAR) AS id, email, note FROM contacts ORDER BY CAST(id AS VARCHAR) LIMIT 100")
 def src_csv_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file's rows with the smallest ids, all columns as strings."""
+    """The first hundred rows of a CSV file, all columns as strings."""
     path = scratch.new_path(spark, "csv")
-    tables.write(_contacts(spark, sf_dir).select("id", "email", "note").where("id <= 50"), path, "csv")
-    return tables.csv(spark, path)
+    tables.write(_contacts(spark, sf_dir).select("id", "email", "note"), path, "csv")
+    return tables.first_n(tables.csv(spark, path), "id", 100)
 
 
 @registry.add("src_csv_stream", f"WITH {CONTACTS} SELECT id, email, note FROM contacts")
