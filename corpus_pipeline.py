@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.llm import decontaminate, packing, simhash, substrings, toxicity
-from sablefin.llm.common import is_held_out, table, written
+from sablefin.llm.common import bounded_broadcast, drop_written, is_held_out, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~is_held_out(5, 0)))
     marked = docs.withColumn("__row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     found = toxicity.classify(marked, model, id_column="__row").where("predicted = 1")
-    gone = found.select(F.col("id.doc_id").alias("__id"), F.col("id.text_hash").alias("__text")).distinct()
+    gone = written(found.select(F.col("id.doc_id").alias("__id"), F.col("id.text_hash").alias("__text")).distinct(), "toxic")
     same = marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__row.text_hash"] == gone["__text"])
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    return marked.join(bounded_broadcast(gone), same, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(docs)  # nothing reads it any more
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -178,10 +178,44 @@ def contaminated(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without those that leak an item of ``benchmark``; all columns stay."""
-    found = contaminated(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[id_column].eqNullSafe(found["__gone"]), "left_anti")
+    found = written(contaminated(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
+    return docs.join(bounded_broadcast(found), docs[id_column].eqNullSafe(found["__gone"]), "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that leak a benchmark item, with the item and the best window."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start_word", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+#: Every window of every document that shares a shingle with an item.
+OP1_SQL = r"""
+WITH items AS (
+  SELECT item_id, words, len(words) AS n, least(len(words), 5) AS g
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark) WHERE len(words) > 0
+), item_shingles AS (
+  SELECT item_id, n, g, list_transform(range(1, n - g + 2), lambda i: array_to_string(words[i:i + g - 1], ' ')) AS s FROM items
+), docs AS (
+  SELECT doc_id, words, len(words) AS m FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents)
+), doc_shingles AS (
+  SELECT doc_id, m, g, list_transform(range(1, m - g + 2), lambda i: array_to_string(words[i:i + g - 1], ' ')) AS s
+  FROM docs, (SELECT DISTINCT g FROM items) WHERE m >= g
+), met AS (
+  SELECT d.doc_id, i.item_id FROM (SELECT doc_id, g, unnest(list_distinct(s)) AS x FROM doc_shingles) d
+  JOIN (SELECT item_id, g, len(list_distinct(s)) AS kinds, len(s) AS many, unnest(list_distinct(s)) AS x FROM item_shingles) i ON i.x = d.x AND i.g = d.g
+  GROUP BY d.doc_id, i.item_id
+), starts AS (
+  SELECT t.doc_id, t.item_id, i.n, i.g, i.s AS item_s, d.m, d.s AS doc_s, unnest(range(0, d.m)) AS start_word
+  FROM met t JOIN item_shingles i ON i.item_id = t.item_id JOIN doc_shingles d ON d.doc_id = t.doc_id AND d.g = i.g
+), windows AS (
+  SELECT doc_id, item_id, start_word, least(n, m - start_word) AS n_words, item_s, doc_s[start_word + 1:start_word + least(n, m - start_word) - g + 1] AS own
+  FROM starts WHERE m - start_word >= g
+), shared AS (
+  SELECT doc_id, item_id, start_word, n_words, len(item_s) AS a, len(own) AS b,
+         list_sum(list_transform(list_distinct(item_s), lambda x: least(len(list_filter(own, lambda y: y = x)), len(list_filter(item_s, lambda y: y = x))))) AS alike
+  FROM windows WHERE list_has_any(own, item_s)
+), best AS (
+  SELECT doc_id, item_id, min({'minus': -(alike / (a + b - alike)), 'start': start_word, 'size': n_words}) AS w FROM shared GROUP BY 1, 2
+)
+SELECT doc_id, item_id, w.start AS start_word, w.size AS n_words, round(-w.minus, 6) AS similarity FROM best WHERE -w.minus >= 0.8
+"""

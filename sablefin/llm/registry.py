@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_formatting
-from .decontaminate import op1_benchmark_decontamination
+from .decontaminate import OP1_SQL, op1_benchmark_decontamination
 from .gif import op2_gif_media
 from .language import op9_language_id
 from .licences import op4_licence_scan
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op10_chat_formatting": OP10_SQL}

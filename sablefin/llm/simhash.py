@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cells, drop_written, small_batches, table, utf8, written
+from .common import bounded_broadcast, cells, drop_written, small_batches, table, utf8, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -226,8 +226,8 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     The document with the smallest id stays (of repeated rows with that id, all stay); rows with a null id stay.
     """
     found = near_duplicates(docs, id_column, text_column)
-    gone = found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
+    gone = written(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-duplicates")
+    return docs.join(bounded_broadcast(gone), docs[id_column] == gone["__gone"], "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

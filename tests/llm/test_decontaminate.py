@@ -87,13 +87,6 @@ def test_leaking_documents_go_and_others_stay(spark):
     assert {r.doc_id for r in decontaminate.without_leaks(df, bench).collect()} == {k for k, _ in docs} - gone
 
 
-def test_query_equals_brute_force(spark, sf_dir):
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
-    rows = decontaminate.op1_benchmark_decontamination(spark, sf_dir).collect()
-    assert {(r.doc_id, r.item_id): (r.start_word, r.n_words, round(r.similarity, 9)) for r in rows} == brute(docs, items)
-
-
 def test_no_python_on_the_main_path(spark, sf_dir):
     plan = decontaminate.op1_benchmark_decontamination(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
