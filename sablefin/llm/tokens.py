@@ -6,13 +6,13 @@ import base64
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, utf8
 
 #: Characters that a leaf of the tree should have; it ends at the next place where a token must end.
 LEAF_CHARS = 128
@@ -62,13 +62,33 @@ class TokenTree:
         self.encoded_chars += len(text)
         return self._count(text) if text else 0
 
+    @classmethod
+    def kept(cls, text: str, leaf_chars: list[int], leaf_tokens: list[int], count, goal: int = LEAF_CHARS) -> TokenTree:
+        """The tree of a text whose leaves were counted before; nothing is encoded. Raises ValueError if they don't fit."""
+        tree = cls.__new__(cls)
+        tree._count, tree._leaf_chars, tree.encoded_chars = count, goal, 0
+        if sum(leaf_chars) != len(text) or len(leaf_chars) != len(leaf_tokens) or not leaf_chars:
+            raise ValueError("the tree is not this text's")
+        ends = list(accumulate(leaf_chars))
+        tree._fill([text[end - size : end] for end, size in zip(ends, leaf_chars)], leaf_tokens)
+        return tree
+
+    def state(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves, for :meth:`kept`; leaves that edits have emptied are left out."""
+        rows = [(len(leaf), self._sums[self._size + i]) for i, leaf in enumerate(self.leaves) if leaf] or [(0, 0)]
+        return [n for n, _ in rows], [t for _, t in rows]
+
     def _build(self, text: str) -> None:
-        self.leaves = self._pieces(text)
-        self._size = 1 << (len(self.leaves) - 1).bit_length()
+        pieces = self._pieces(text)
+        self._fill(pieces, [self._tokens(piece) for piece in pieces])
+
+    def _fill(self, leaves: list[str], tokens: list[int]) -> None:
+        self.leaves = leaves
+        self._size = 1 << (len(leaves) - 1).bit_length()
         self._chars = [0] * (2 * self._size)
         self._sums = [0] * (2 * self._size)
-        for i, leaf in enumerate(self.leaves):
-            self._chars[self._size + i], self._sums[self._size + i] = len(leaf), self._tokens(leaf)
+        for i, (leaf, count) in enumerate(zip(leaves, tokens)):
+            self._chars[self._size + i], self._sums[self._size + i] = len(leaf), count
         for i in range(self._size - 1, 0, -1):
             self._chars[i] = self._chars[2 * i] + self._chars[2 * i + 1]
             self._sums[i] = self._sums[2 * i] + self._sums[2 * i + 1]
@@ -144,45 +164,67 @@ def _joint(left: str, right: str) -> bool:
 
 
 EDIT = "array<struct<start:long,removed:long,inserted:string>>"
-_COUNTS = "n_chars long, n_tokens long, n_leaves int, edited_chars long, edited_tokens long, encoded_chars long, reencoded_chars long"
+_TREE = "n_chars long, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
+_EDITED = f"encoded_chars long, {_TREE}"
+_LISTS = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-def count_tokens(
-    docs: DataFrame, edits: Column | None = None, id_column: str = "doc_id", text_column: str = "text", ranks: tuple[str, str] | None = None
-) -> DataFrame:
-    """Rows (id, n_chars, n_tokens, n_leaves, edited_chars, edited_tokens, encoded_chars, reencoded_chars).
+def build_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
+    """Rows (id, text, n_chars, n_tokens, leaf_chars, leaf_tokens): every whole text with its token tree, to be kept.
 
-    ``edits`` is an array of (start, removed, inserted) structs that apply to each text in order, in characters;
-    ``edited_tokens`` counts the text after them and ``reencoded_chars`` what had to be encoded for that. Without edits or
-    with a null array, both counts agree. Null texts count as empty (no tokens); a null in an edit reads 0 or empty.
-    Repeated rows keep a row each; other columns are ignored; an empty table gives an empty result.
+    A tree is kept as its leaves' characters and tokens, from which sums follow; ``text`` is the text as UTF-8. Null texts
+    count as empty (no tokens). Repeated rows keep a row each; other columns are ignored; an empty table gives an empty
+    result.
     """
     small_batches(docs.sparkSession)
     path, pattern = ranks or rank_file()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern).encode_ordinary
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                tree = TokenTree(text.decode("utf-8", "replace"), lambda t: len(encode(t)))
+                rows.append((len(tree), tree.total, *tree.state()))
+            columns = zip(*rows) if rows else [()] * 4
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, _LISTS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "text", *_names(_TREE)])
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(run, f"id {kind}, text binary, {_TREE}")
 
-        def count(text: str) -> int:
-            return len(encode(text))
 
+def apply_edits(trees: DataFrame, edits: Column, keep_text: bool = True, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """Rows (id, [text,] encoded_chars, n_chars, n_tokens, leaf_chars, leaf_tokens) of texts and trees after edits.
+
+    ``trees`` are rows of :func:`build_trees` or of this function; ``edits`` is an array of (start, removed, inserted)
+    structs that apply to each text in order, in characters. ``encoded_chars`` is what had to be encoded; the rest of the
+    tree is taken over. A null array is no edit; a null in an edit reads 0 or empty; places beyond a text are its end.
+    """
+    path, pattern = ranks or rank_file()
+    held = ["text"] if keep_text else []
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, pattern).encode_ordinary
         for batch in batches:
             rows = []
-            for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                tree = TokenTree(text.decode("utf-8", "replace"), count)
-                chars, tokens, leaves, encoded = len(tree), tree.total, len(tree.leaves), tree.encoded_chars
+            for text, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
+                tree = TokenTree.kept(text.decode("utf-8", "replace"), chars, tokens, lambda t: len(encode(t)))
                 for change in changes or []:
                     tree.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")
-                rows.append((chars, tokens, leaves, len(tree), tree.total, encoded, tree.encoded_chars - encoded))
-            columns = np.array(rows, np.int64).reshape(-1, 7).T
-            kinds = [pa.int32() if i == 2 else pa.int64() for i in range(7)]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *(x.split()[0] for x in _COUNTS.split(", "))])
-
-    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    changes = (edits if edits is not None else F.lit(None)).cast(EDIT)
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), text.alias("text"), changes.alias("edits")).mapInArrow(run, f"id {kind}, {_COUNTS}")
+                rows.append((*([tree.text.encode("utf-8", "replace")] if keep_text else []), tree.encoded_chars, len(tree), tree.total, *tree.state()))
+            kinds = [*([pa.binary()] if keep_text else []), pa.int64(), *_LISTS]
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            arrays = [pa.array(list(c), kind) for c, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *held, *_names(_EDITED)])
+
+    kind = trees.schema["id"].dataType.simpleString()
+    rows = trees.select("id", "text", "leaf_chars", "leaf_tokens", edits.cast(EDIT).alias("edits"))
+    return rows.mapInArrow(run, f"id {kind}, {'text binary, ' if keep_text else ''}{_EDITED}")
 
 
 def revision(text: Column) -> Column:
@@ -199,6 +241,8 @@ def revision(text: Column) -> Column:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, before and after a revision of three edits."""
-    docs = table(spark, sf_dir, "documents")
-    return count_tokens(docs, revision(F.coalesce(F.col("text"), F.lit("")))).withColumnRenamed("id", "doc_id")
+    """Tokens of every document, before and after a revision of three edits that the kept trees follow."""
+    trees = build_trees(table(spark, sf_dir, "documents"))
+    before = F.struct(F.col("id").alias("doc_id"), "n_chars", "n_tokens", F.size("leaf_chars").alias("n_leaves"))
+    edited = apply_edits(trees.withColumn("id", before), revision(F.col("text").cast("string")), keep_text=False)
+    return edited.select("id.*", F.col("n_chars").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), F.col("encoded_chars").alias("reencoded_chars"))

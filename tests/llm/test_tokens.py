@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sablefin.llm.tokens import TokenTree, count_tokens, encoder, op3_token_counts, rank_file, revision
+from sablefin.llm.tokens import TokenTree, apply_edits, build_trees, encoder, op3_token_counts, rank_file, revision
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -33,6 +33,8 @@ def test_edits_give_the_count_of_the_new_text(parts, edits, leaf):
         text = text[:start] + new + text[start + removed :]
         assert tree.edit(start, removed, new) == len(encode(text))
         assert tree.text == text and len(tree) == len(text)
+    again = TokenTree.kept(text, *tree.state(), lambda t: len(encode(t)))
+    assert again.total == tree.total and again.encoded_chars == 0 and again.edit(3, 2, "new ") == len(encode(text[:3] + "new " + text[5:]))
 
 
 def test_an_edit_encodes_little(count):
@@ -56,11 +58,37 @@ def test_rank_file_gives_the_ids_of_the_tokenizers_file(spark, sf_dir):
 
 
 def test_edge_rows(spark, count):
+    from pyspark.sql import functions as F
+
     rows = [(1, None), (1, None), (2, ""), (None, "some words"), (3, "a b " * 3000)]
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, n_tokens int, edits string")
-    found = count_tokens(df).collect()
-    assert sorted((str(r.id), r.n_tokens, r.edited_tokens) for r in found) == sorted((str(k), count(t or ""), count(t or "")) for k, t in rows)
-    assert count_tokens(df.limit(0)).count() == 0
+    trees = build_trees(df)
+    expected = sorted((str(k), count(t or "")) for k, t in rows)
+    assert sorted((str(r.id), r.n_tokens) for r in trees.collect()) == expected
+    same = apply_edits(trees, F.lit(None))
+    assert sorted((str(r.id), r.n_tokens) for r in same.collect()) == expected and {r.encoded_chars for r in same.collect()} == {0}
+    nulls = F.array(F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("removed"), F.lit(None).cast("string").alias("inserted")))
+    assert sorted((str(r.id), r.n_tokens) for r in apply_edits(trees, nulls, keep_text=False).collect()) == expected
+    assert build_trees(df.limit(0)).count() == 0
+
+
+def test_trees_follow_edit_upon_edit(spark, count):
+    from pyspark.sql import functions as F
+
+    text = "one two  three\n" * 400
+    change = lambda at, n, new: F.array(F.struct(F.lit(at).cast("long").alias("start"), F.lit(n).cast("long").alias("removed"), F.lit(new).alias("inserted")))
+    trees = build_trees(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    for at, n, new in ((100, 7, "four"), (0, 0, "x"), (3000, 500, " "), (10**9, 5, " end")):
+        trees = apply_edits(trees, change(at, n, new))
+        at = min(at, len(text))
+        text = text[:at] + new + text[at + n :]
+        row = trees.first()
+        assert bytes(row.text).decode() == text and row.n_tokens == count(text) and row.encoded_chars < 2000
+
+
+def test_a_tree_of_another_text_is_refused(count):
+    with pytest.raises(ValueError):
+        TokenTree.kept("abc", [2], [1], count)
 
 
 def test_query_equals_encoding_anew(spark, sf_dir, count):
