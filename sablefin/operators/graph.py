@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sablefin.sources.scratch import drop_written, written
+from sablefin.sources.workers import reach_package
 
 DAMPING, TOLERANCE = 0.85, 1e-4
 #: Vectors that may be sent to every executor as queries.
@@ -173,6 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     in blocks; these are at most k rows for each query and partition, of which the best k are taken. Vectors of another
     length than a query's raise an error; rows with a null vector are passed over.
     """
+    reach_package(vectors.sparkSession)
     held = queries.select(id_column, vector).where(F.col(vector).isNotNull()).orderBy(id_column).limit(MAX_QUERIES + 1).collect()
     if len(held) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries; search in several calls")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sablefin.sources.workers import reach_package
+
 # Keywords of sentiment.
 POSITIVE = ["excellent", "great", "amazing", "love", "wonderful", "fantastic", "good", "recommend"]
 NEGATIVE = ["bad", "terrible", "hate", "awful", "poor", "issue", "problem", "cancel"]
@@ -146,6 +148,7 @@ def with_scorer(df: DataFrame, text_column: str, scorer: Callable[[list[str]], l
     A partition's calls keep to ``per_second``; repartition beforehand to bound how many run at once. Texts should be
     tokenised first: the scorer sees nothing else.
     """
+    reach_package(df.sparkSession)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free = 0.0
