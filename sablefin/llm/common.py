@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablefin.sources.scratch import drop_written, shared_dir, written
+from sablefin.sources.workers import reach_package
+
+__all__ = ["bounded_broadcast", "buffers", "cells", "drop_written", "is_held_out", "shared_dir", "small_batches", "table", "utf8", "written"]
+
 #: Rows that Spark hands to a Python worker at once; it bounds the worker's memory for long texts.
 ARROW_ROWS = 512
 
@@ -21,40 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``ARROW_ROWS`` rows, so that whole long texts fit in a worker."""
+    """Keep Arrow batches to ``ARROW_ROWS`` rows, so that whole long texts fit in a worker, which can import this library."""
+    reach_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), or, where that is unset, a local one."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    found = found or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sablefin-checkpoint-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sablefin-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sablefin_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete what :func:`written` made for ``df``, once nothing reads it any more."""
-    path = getattr(df, "_sablefin_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def utf8(name: str = "text") -> Column:
     """A text column as its UTF-8 bytes; null reads as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -107,7 +107,9 @@ def _hits(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
         shingles = F.when(F.size("words") >= g, shingles_of(F.col("words"), F.lit(g)))
         rows = docs.select("doc_id", F.posexplode(shingles).alias("at", "shingle")).join(anchors.select("shingle").distinct(), "shingle", "left_semi")
         places = rows if places is None else places.union(rows)
-    grouped = places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("hits"))
+    grouped = written(places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("hits")), "hits")
+    ids = bounded_broadcast(grouped.select(F.col("__id").alias("__hit")))
+    docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__hit"]), "left_semi")
     return docs.join(grouped, docs["doc_id"].eqNullSafe(grouped["__id"])).drop("__id")
 
 
