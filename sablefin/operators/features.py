@@ -33,17 +33,30 @@ def class_ratios(df: DataFrame) -> DataFrame:
     return once.select("column_name", share(F.col("d")).alias("digits"), share(F.col("a")).alias("letters"), share(F.col("w")).alias("blanks"), share(rest).alias("special"))
 
 
+def characters(text: Column) -> Column:
+    """A text's characters, in one pass."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _on_end(parts: Column, n: int, between: str = "") -> Column:
+    """All n elements on end, joined; none in shorter arrays.
+
+    The array is laid beside itself, one further each time: a lambda that sliced it would compute it again for each element.
+    """
+    out = parts
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(parts, i + 1, F.greatest(F.size(parts), F.lit(1))), lambda a, b: F.concat(a, F.lit(between), b))
+    return F.slice(out, 1, F.greatest(F.size(parts) - (n - 1), F.lit(0)))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """All n characters on end; none in shorter texts."""
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return _on_end(characters(text), n)
 
 
 def token_ngrams(text: Column, n: int) -> Column:
     """All n words on end, joined by blanks; none in shorter texts."""
-    words = F.array_remove(F.split(text, r"\s+"), "")
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return _on_end(F.array_remove(F.split(text, r"\s+"), ""), n, " ")
 
 
 def ngram_counts(df: DataFrame, n: int) -> DataFrame:
@@ -89,8 +102,8 @@ def hashed_ngrams(df: DataFrame, n: int = 3, size: int = HASH_SIZE) -> DataFrame
 
 def header_indices(name: Column, size: int = HEADER_SIZE) -> Column:
     """The places that a column's name sets in its header vector: code point times position from 1, modulo the size."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: (F.ascii(F.substr(name, i, F.lit(1))) * i) % size)
-    return F.when(F.length(name) > 0, F.array_sort(F.array_distinct(codes))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(characters(name), lambda c, i: (F.ascii(c) * (i + 1)) % size)
+    return F.array_sort(F.array_distinct(codes))
 
 
 def feature_vectors(df: DataFrame) -> DataFrame:

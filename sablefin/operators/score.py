@@ -23,8 +23,8 @@ HIGH_RISK = 0.7
 
 def code_point_sum(text: Column) -> Column:
     """The sum of a text's code points."""
-    codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substr(text, i, F.lit(1))).cast("long"))
-    return F.when(F.length(text) > 0, F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c)).otherwise(F.lit(0).cast("long"))
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda s, c: s + c)
 
 
 def churn_score(customer_id: Column, tickets: Column, delays: Column) -> Column:
