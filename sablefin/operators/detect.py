@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sablefin.functions.patterns import LIBRARY, PATTERN_TYPES
+from sablefin.functions.patterns import LIBRARY, NECESSARY, PATTERN_TYPES
 from sablefin.sources.tables import long_form
 
 THRESHOLD = 0.1
@@ -14,10 +14,11 @@ SAMPLE_ROWS, SAMPLES = 10_000, 10
 
 
 def match_count(text: Column, regexes: list[str]) -> Column:
-    """How often a kind's regexes match, added up."""
-    total = F.lit(0).cast("long")
+    """How often a kind's regexes match, added up; null for a null text."""
+    total = F.when(text.isNotNull(), F.lit(0).cast("long"))
     for regex in regexes:
-        total = total + F.regexp_count(text, F.lit(regex))
+        count = F.regexp_count(text, F.lit(regex))
+        total = total + (F.when(text.rlike(NECESSARY[regex]), count).otherwise(0) if regex in NECESSARY else count)
     return total
 
 
@@ -40,7 +41,8 @@ def detect_source(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS, libra
     The sample is the ``sample_rows`` rows with the smallest keys; confidence is matches by rows, 0 without rows.
     """
     sample = df.orderBy(key).limit(sample_rows).select(F.to_json(F.struct(*df.columns)).alias("json"))
-    found = count_by_type(sample, F.col("json"), library)
+    # A limit ends in one task; the regexes are dealt to all cores.
+    found = count_by_type(sample.repartition(df.sparkSession.sparkContext.defaultParallelism), F.col("json"), library)
     confidence = F.coalesce(F.try_divide("matches", "scanned"), F.lit(0.0))
     return found.select("pattern_type", "matches", F.round(confidence, 6).alias("confidence"))
 

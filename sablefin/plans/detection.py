@@ -21,6 +21,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parquet(spark, sf_dir, "documents")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.contacts(tables.parquet(spark, sf_dir, "customer"))
 
@@ -57,7 +61,7 @@ def sample_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("pattern_counts", _by_type_sql("documents", "text") + " ORDER BY matches DESC, pattern_type")
 def pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.count_by_type(_documents(spark, sf_dir), F.col("text"))
+    found = detect.count_by_type(_texts(spark, sf_dir), F.col("text"))
     return found.select("pattern_type", "matches").orderBy(F.desc("matches"), "pattern_type")
 
 
@@ -145,7 +149,7 @@ def emails_sql(column: str) -> str:
 
 @registry.add("email_validate", f"SELECT doc_id, unnest({emails_sql('text')}) AS email FROM documents")
 def email_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.explode(emails(F.col("text"))).alias("email"))
+    return _texts(spark, sf_dir).select("doc_id", F.explode(emails(F.col("text"))).alias("email"))
 
 
 def luhn_sql(column: str) -> str:
@@ -165,7 +169,7 @@ _CARD = r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"
 )
 def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.format_string("4%03d %04d-%04d%04d", F.col("id") % 1000, F.col("id") % 7919, F.col("id") % 104729 % 10000, F.col("id") % 6007)
-    texts = _documents(spark, sf_dir).select("doc_id", "text").union(spark.range(2000).select("id", made))
+    texts = _texts(spark, sf_dir).union(spark.range(2000).select("id", made))
     return texts.select("doc_id", F.explode(cards(F.col("text"))).alias("card"))
 
 

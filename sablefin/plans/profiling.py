@@ -23,7 +23,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.parquet(spark, sf_dir, "documents").select(F.col("lang").alias("column_name"), F.col("text").alias("value"))
+    rows = tables.parquet(spark, sf_dir, "documents").select(F.col("lang").alias("column_name"), F.col("text").alias("value"))
+    return tables.spread(rows)
 
 
 @registry.add(
@@ -94,7 +95,7 @@ def ngram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS kinds, min(gram) AS first FROM g GROUP BY 1""",
 )
 def token_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = tables.parquet(spark, sf_dir, "documents").select("doc_id", F.explode(features.token_ngrams(F.col("text"), 2)).alias("gram"))
+    grams = tables.spread(tables.parquet(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(features.token_ngrams(F.col("text"), 2)).alias("gram"))
     return grams.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("gram").alias("kinds"), F.min("gram").alias("first"))
 
 

@@ -21,8 +21,8 @@ def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.contacts(tables.parquet(spark, sf_dir, "customer"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.parquet(spark, sf_dir, "documents")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.spread(tables.parquet(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _in_steps_sql(table: str, key: str, column: str) -> str:
 
 @registry.add("tokenise_text", _in_steps_sql("documents", "doc_id", "text"))
 def tokenise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", tokenise.tokenise_text(F.col("text")).alias("text"))
+    return _texts(spark, sf_dir).select("doc_id", tokenise.tokenise_text(F.col("text")).alias("text"))
 
 
 _CARDS = f"list_filter(regexp_extract_all(u, {quoted(CARD_REGEX)}), lambda c: {luhn_sql('c')})"
@@ -145,7 +145,7 @@ SELECT doc_id, CASE WHEN strlen(text) > {MAX_TEXT_BYTES} THEN text ELSE w END AS
 
 @registry.add("tokenise_secure", _SECURE_SQL)
 def tokenise_secure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", tokenise.tokenise_secure(F.col("text")).alias("text"))
+    return _texts(spark, sf_dir).select("doc_id", tokenise.tokenise_secure(F.col("text")).alias("text"))
 
 
 _NOTE_TOKENS = f"""WITH {CONTACTS}, found AS (

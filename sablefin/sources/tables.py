@@ -11,6 +11,19 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its input is too small to be read by all of them, for costly expressions on each row.
+
+    A Parquet file is read by as many tasks as it has row groups; from a split for each core on, rows stay where they are
+    read and nothing is shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
     """A CSV file or folder with all columns as strings; malformed rows are kept with what could be read."""
     return spark.read.csv(path, sep=delimiter, header=header, inferSchema=False, mode="PERMISSIVE", multiLine=False)
