@@ -118,8 +118,8 @@ def contaminated(
 ) -> DataFrame:
     """Rows (doc_id, item_id, start_word, n_words, distance, similarity): each document's best window for each item it leaks.
 
-    Windows have as many words as an item (fewer at a document's end) and start near where one of the item's rarest
-    shingles stands, give or take the n / 9 words by which a similar window can be shifted; other windows can't be similar.
+    Windows have as many words as an item (fewer at a document's end) and hold one of the item's rarest shingles, wherever
+    in the window it stands, as blocks of an item may have changed places; other windows can't be similar.
     A window's SimHash, over its words, meets the items of its size whose fingerprint differs by at most ``RADIUS`` bits
     (blocks guarantee that all are found), and a candidate leaks if the similarity of their shingles of five words,
     weighted by how often each occurs (sum of minima over sum of maxima), is at least 0.8. An item below five words is one
@@ -135,28 +135,26 @@ def contaminated(
     anchors = written(anchors_of(items), "anchors")
     shape = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(SHINGLE_WORDS)))).first()
     longest, sizes = shape[0] or 0, sorted(shape[1]) or [SHINGLE_WORDS]
-    slack = -(-longest // 9)
     texts = computed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), words=words_of(F.col("text"))).drop("text")
     hits = _hits(texts, anchors, sizes)
     # What a hit needs of the text goes along with it, so no text is joined again.
     around = F.expr(f"""
-      transform(hits, p -> named_struct('p', p, 'base', greatest(p - {longest + slack}, 0),
-        'near', slice(words, greatest(p - {longest + slack}, 0) + 1, {2 * (longest + slack)})))""")
+      transform(hits, p -> named_struct('p', p, 'base', greatest(p - {longest}, 0), 'near', slice(words, greatest(p - {longest}, 0) + 1, {2 * longest + SHINGLE_WORDS})))""")
     near = hits.select("doc_id", F.explode_outer(around).alias("h")).where("h IS NOT NULL").select("doc_id", "h.*")
     keyed = None
     for g in sizes:
         own = near.withColumn("shingle", F.xxhash64(F.expr(f"slice(near, p - base + 1, {g})"))).where(F.expr(f"size(near) - (p - base) >= {g}"))
-        found = own.join(bounded_broadcast(anchors.where(F.least("n", F.lit(SHINGLE_WORDS)) == g)), "shingle")
+        known = anchors.where(F.least("n", F.lit(SHINGLE_WORDS)) == g).select("shingle", "n").distinct()
+        found = own.join(bounded_broadcast(known), "shingle")
         keyed = found if keyed is None else keyed.union(found)
-    # The stretch in which windows of n words may start and end, once for each shift between document and item.
-    shift = F.ceil(F.col("n") / 9).cast("int")
-    stretch = keyed.withColumn("aligned", F.col("p") - F.col("at")).withColumn("shift", shift)
-    stretch = stretch.withColumn("first", F.greatest(F.col("aligned") - F.col("shift"), F.lit(0)))
-    stretch = stretch.withColumn("last", F.greatest(F.col("aligned") + F.col("shift"), F.lit(0)))
-    cut = F.expr("slice(near, first - base + 1, last - first + n)")
-    stretch = stretch.select("doc_id", "n", "first", "last", cut.alias("near")).groupBy("doc_id", "n", "first", "last").agg(F.first("near").alias("near"))
+    # All windows of n words that hold the hit, but for those that hold the hit before, too.
+    first = F.greatest(F.col("p") - F.col("n") + F.least("n", F.lit(SHINGLE_WORDS)), F.lit(0))
+    stretch = keyed.withColumn("first", first)
+    stretch = stretch.select("doc_id", "n", "p", "first", F.expr("slice(near, first - base + 1, p - first + n)").alias("near"))
+    before = F.lag("p").over(Window.partitionBy("doc_id", "n").orderBy("p"))
+    stretch = stretch.withColumn("from", F.greatest("first", F.coalesce(before + 1, F.lit(0)))).where(F.col("from") <= F.col("p"))
     window = F.expr("slice(near, start - first + 1, n)")
-    starts = stretch.withColumn("start", F.explode(F.sequence("first", "last"))).select("doc_id", "n", "start", window.alias("window"))
+    starts = stretch.withColumn("start", F.explode(F.sequence("from", "p"))).select("doc_id", "n", "start", window.alias("window"))
     marked = with_fingerprint(starts.where(F.size("window") > 0), "window")
     block = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), v.alias("value"), F.col("fp").alias("own_fp")) for i, v in enumerate(_blocks("fp")))))
     index = bounded_broadcast(written(item_index(items), "item-blocks"), 1 << 15)

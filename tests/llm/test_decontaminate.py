@@ -73,6 +73,18 @@ def test_equals_brute_force(spark, monkeypatch, inline):
     assert found(spark, docs, items) == brute(docs, items)
 
 
+def test_items_with_swapped_halves(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    items, docs = [], []
+    for i, n in enumerate((40, 60, 120)):
+        item = some(n)
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(some(25 * i) + item[n // 2 :] + item[: n // 2] + some(30))))
+    expected = brute(docs, items)
+    assert set(expected) == {(0, 0), (1, 1), (2, 2)} and found(spark, docs, items) == expected
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b c d e f")]) == {}
     assert found(spark, [(1, "a b c d e f")], []) == {}
