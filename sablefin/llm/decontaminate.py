@@ -113,34 +113,20 @@ def _hits(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
     return docs.join(grouped, docs["doc_id"].eqNullSafe(grouped["__id"])).drop("__id")
 
 
-def contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text"
-) -> DataFrame:
-    """Rows (doc_id, item_id, start_word, n_words, distance, similarity): each document's best window for each item it leaks.
-
-    Windows have as many words as an item (fewer at a document's end) and hold one of the item's rarest shingles, wherever
-    in the window it stands, as blocks of an item may have changed places; other windows can't be similar.
-    A window's SimHash, over its words, meets the items of its size whose fingerprint differs by at most ``RADIUS`` bits
-    (blocks guarantee that all are found), and a candidate leaks if the similarity of their shingles of five words,
-    weighted by how often each occurs (sum of minima over sum of maxima), is at least 0.8. An item below five words is one
-    shingle: its words must stand there exactly.
-
-    Null or empty texts leak nothing, items without words are never leaked. Rows that repeat an id (null is an id, too)
-    give one row for each item, as do equal items with other ids. Other columns are ignored; empty tables give an empty
-    result.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (doc_id, text_hash, item_id, best): as :func:`contaminated`, with texts of one id apart."""
     items = benchmark.select(F.col(item_column).alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = items.select("item_id", "words", F.size("words").alias("n"), shingles_of(F.col("words"), F.lit(SHINGLE_WORDS)).alias("shingles"))
     items = written(with_fingerprint(items, "words").distinct(), "items")
     anchors = written(anchors_of(items), "anchors")
     shape = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(SHINGLE_WORDS)))).first()
     longest, sizes = shape[0] or 0, sorted(shape[1]) or [SHINGLE_WORDS]
-    texts = computed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), words=words_of(F.col("text"))).drop("text")
+    texts = computed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), words=words_of(F.col("text")), text_hash=F.xxhash64("text")).drop("text")
     hits = _hits(texts, anchors, sizes)
     # What a hit needs of the text goes along with it, so no text is joined again.
     around = F.expr(f"""
       transform(hits, p -> named_struct('p', p, 'base', greatest(p - {longest}, 0), 'near', slice(words, greatest(p - {longest}, 0) + 1, {2 * longest + SHINGLE_WORDS})))""")
-    near = hits.select("doc_id", F.explode_outer(around).alias("h")).where("h IS NOT NULL").select("doc_id", "h.*")
+    near = hits.select("doc_id", "text_hash", F.explode_outer(around).alias("h")).where("h IS NOT NULL").select("doc_id", "text_hash", "h.*")
     keyed = None
     for g in sizes:
         own = near.withColumn("shingle", F.xxhash64(F.expr(f"slice(near, p - base + 1, {g})"))).where(F.expr(f"size(near) - (p - base) >= {g}"))
@@ -150,36 +136,58 @@ def contaminated(
     # All windows of n words that hold the hit, but for those that hold the hit before, too.
     first = F.greatest(F.col("p") - F.col("n") + F.least("n", F.lit(SHINGLE_WORDS)), F.lit(0))
     stretch = keyed.withColumn("first", first)
-    stretch = stretch.select("doc_id", "n", "p", "first", F.expr("slice(near, first - base + 1, p - first + n)").alias("near"))
-    before = F.lag("p").over(Window.partitionBy("doc_id", "n").orderBy("p"))
+    stretch = stretch.select("doc_id", "text_hash", "n", "p", "first", F.expr("slice(near, first - base + 1, p - first + n)").alias("near"))
+    before = F.lag("p").over(Window.partitionBy("doc_id", "text_hash", "n").orderBy("p"))
     stretch = stretch.withColumn("from", F.greatest("first", F.coalesce(before + 1, F.lit(0)))).where(F.col("from") <= F.col("p"))
     window = F.expr("slice(near, start - first + 1, n)")
-    starts = stretch.withColumn("start", F.explode(F.sequence("from", "p"))).select("doc_id", "n", "start", window.alias("window"))
+    starts = stretch.withColumn("start", F.explode(F.sequence("from", "p"))).select("doc_id", "text_hash", "n", "start", window.alias("window"))
     marked = with_fingerprint(starts.where(F.size("window") > 0), "window")
     block = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), v.alias("value"), F.col("fp").alias("own_fp")) for i, v in enumerate(_blocks("fp")))))
     index = bounded_broadcast(written(item_index(items), "item-blocks"), 1 << 15)
-    met = marked.withColumn("b", block).select("doc_id", "n", "start", "window", "b.*").join(index, ["n", "block", "value"])
+    met = marked.withColumn("b", block).select("doc_id", "text_hash", "n", "start", "window", "b.*").join(index, ["n", "block", "value"])
     apart = F.col("own_fp").bitwiseXOR(F.col("item_fp"))
     # A pair may meet in several blocks; the first one counts.
     first = F.coalesce(*(F.when(F.bit_count(x) <= RADIUS // BLOCKS, i) for i, x in enumerate(_blocks("apart"))))
     near_by = met.withColumn("apart", apart).where((F.bit_count("apart") <= RADIUS) & (F.col("block") == first))
-    near_by = near_by.select("doc_id", "item_id", "n", "start", "window", F.bit_count("apart").alias("distance"), "item_shingles")
+    near_by = near_by.select("doc_id", "text_hash", "item_id", "n", "start", "window", F.bit_count("apart").alias("distance"), "item_shingles")
     shingled = computed(near_by, own=shingles_of(F.col("window"), F.least(F.col("n"), F.lit(SHINGLE_WORDS))), size=F.size("window"))
     shared = F.expr("""
       aggregate(array_distinct(item_shingles), 0, (n, x) -> n + least(size(filter(own, y -> y = x)), size(filter(item_shingles, y -> y = x))))""")
     scored = computed(shingled, shared=shared)
     scored = scored.withColumn("similarity", F.col("shared") / (F.size("own") + F.size("item_shingles") - F.col("shared")))
-    best = scored.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id")
-    best = best.agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "start", "size", "distance")).alias("best"))
+    best = scored.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "text_hash", "item_id")
+    return best.agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "start", "size", "distance")).alias("best"))
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """Rows (doc_id, item_id, start_word, n_words, distance, similarity): each document's best window for each item it leaks.
+
+    Windows have as many words as an item (fewer at a document's end) and hold one of the item's rarest shingles, wherever
+    in the window it stands, as blocks of an item may have changed places; other windows can't be similar.
+    A window's SimHash, over its words, meets the items of its size whose fingerprint differs by at most ``RADIUS`` bits
+    (blocks guarantee that all are found), and a candidate leaks if the similarity of their shingles of five words,
+    weighted by how often each occurs (sum of minima over sum of maxima), is at least 0.8. An item below five words is one
+    shingle: its words must stand there exactly.
+
+    Null or empty texts leak nothing, items without words are never leaked. Rows that repeat an id (null is an id, too)
+    give one row for each item, as do equal items with other ids. Other columns are ignored; empty tables give an empty
+    result.
+    """
+    found = _leaks(docs, benchmark, id_column, text_column, item_column, item_text)
+    best = found.groupBy("doc_id", "item_id").agg(F.min("best").alias("best"))
     return best.select(
         "doc_id", "item_id", F.col("best.start").alias("start_word"), F.col("best.size").alias("n_words"), "best.distance", (-F.col("best.minus")).alias("similarity")
     )
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without those that leak an item of ``benchmark``; all columns stay."""
-    found = written(contaminated(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone")).distinct(), "leaks")
-    return docs.join(bounded_broadcast(found), docs[id_column].eqNullSafe(found["__gone"]), "left_anti")
+    """``docs`` without those that leak an item of ``benchmark``; other texts of their ids and all columns stay."""
+    found = _leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
+    found = written(found, "leaks")
+    same = docs[id_column].eqNullSafe(found["__gone"]) & (F.xxhash64(docs[text_column]) == found["__text"])
+    return docs.join(bounded_broadcast(found), same, "left_anti")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,17 @@ def test_items_with_swapped_halves(spark):
     assert set(expected) == {(0, 0), (1, 1), (2, 2)} and found(spark, docs, items) == expected
 
 
+def test_texts_of_one_id_are_kept_apart(spark):
+    rng = random.Random(10)
+    some = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    items = [(i, some(30)) for i in range(4)]
+    docs = [(None, items[0][1]), (None, items[1][1]), (None, some(30)), (7, items[2][1]), (7, items[3][1]), (7, some(40)), (7, None)]
+    assert set(found(spark, docs, items)) == {(None, 0), (None, 1), (7, 2), (7, 3)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = decontaminate.without_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in df.collect() if (r.doc_id, r.text) in [docs[2], docs[5], docs[6]])
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "a b c d e f")]) == {}
     assert found(spark, [(1, "a b c d e f")], []) == {}
