@@ -210,24 +210,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     small_batches(docs.sparkSession)
     prints = written(fingerprints(docs, id_column, text_column), "fingerprints")
+    return prints.join(_named(prints, radius), "fp").select("id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, component_id): each fingerprint of ``prints`` with the smallest id it is linked to."""
     groups = prints.groupBy("fp").agg(F.min("id").alias("least"))
     edges = written(links(groups.select("fp"), radius), "links")
     joined = connected_components(edges)
     drop_written(edges)
     classes = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(classes.join(least, "component").select("fp", "component_id"), "classes")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    return written(classes.join(least, "component").select("fp", "component_id"), "classes")
 
 
 def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group; all columns stay.
 
-    The document with the smallest id stays (of repeated rows with that id, all stay); rows with a null id stay.
+    The document with the smallest id stays (of repeated rows with that id, all stay); rows with a null id stay. Of rows that
+    repeat an id with other texts, each goes or stays with its own group.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    gone = written(found.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(bounded_broadcast(gone), docs[id_column] == gone["__gone"], "left_anti")
+    small_batches(docs.sparkSession)
+    marked = docs.withColumn("__row", F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash")))
+    prints = written(fingerprints(marked, "__row", text_column).select("id.id", "id.text_hash", "fp"), "fingerprints")
+    found = prints.join(_named(prints, RADIUS), "fp").where("id <> component_id")
+    gone = written(found.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "near-duplicates")
+    same = (docs[id_column] == gone["__gone"]) & (F.xxhash64(docs[text_column]) == gone["__text"])
+    return docs.join(bounded_broadcast(gone), same, "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

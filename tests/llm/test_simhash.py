@@ -110,3 +110,10 @@ def test_query_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     expected = {(k, f"{f:016x}", c) for k, f, c in brute_components([tuple(r) for r in docs])}
     assert {tuple(r) for r in simhash.op7_simhash_near_dedup(spark, sf_dir).collect()} == expected
+
+
+def test_texts_of_one_id_go_with_their_own_group(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, one), (5, one), (5, two), (6, two), (None, two)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (5, two), (None, two)], key=str)
