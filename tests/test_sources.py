@@ -47,12 +47,25 @@ def test_first_n_is_the_same_each_time(spark):
 def test_scratch_tables(spark):
     df = spark.range(5).withColumn("x", F.col("id") * 2)
     kept = scratch.written(df, "t")
-    assert sorted(kept.collect()) == df.collect() and kept.schema == df.schema
+    assert sorted(kept.collect()) == df.collect()
+    assert [(f.name, f.dataType) for f in kept.schema] == [(f.name, f.dataType) for f in df.schema]
     scratch.drop_written(kept)
     with pytest.raises(Exception):
         kept.collect()
 
 
+def test_scopes_of_scratch_tables(spark):
+    with scratch.temporary():
+        with scratch.temporary() as keep:
+            one, two = scratch.written(spark.range(3), "t"), scratch.written(spark.range(4), "t")
+            two = keep(two)
+        assert two.count() == 4
+        with pytest.raises(Exception):
+            one.count()
+    with pytest.raises(Exception):
+        two.count()
+
+
 def test_stream_equals_batch_however_files_are_cut(spark, tmp_path):
     lines = [f"line {i} of customer{i}@example.com, {i % 900 + 100:03d}-12-3456" for i in range(300)]
     results = []
