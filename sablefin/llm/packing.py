@@ -19,6 +19,12 @@ SEQUENCE = 2048
 END_ID = 1
 DIMENSIONS, BITS = 4, 10
 _FEATURES = 1 << 12
+#: Bytes of text that a partition should have; there are at least as many partitions as the session's shuffles have.
+PARTITION_BYTES = 512 << 20
+#: Documents by which a partition's bounds are found (drawn by hash), and how many are drawn at most.
+SAMPLE, MOST_SAMPLED = 50, 1 << 20
+#: Bits of a place on the curve that tell documents with one Hilbert key apart.
+_TIE_BITS = 23
 #: A sequence id is the partition's number times this, plus the sequence's number there.
 _PER_PARTITION = 1 << 40
 
@@ -72,20 +78,50 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_hilbert_key(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, key, text): each document's text as UTF-8 and its place on the curve."""
+def with_place(docs: DataFrame, bounds: np.ndarray | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows (id, place, part, text): each text as UTF-8 and its place on the curve, the Hilbert key followed by bits of a
+    hash of id and text, so that documents with one key are spread over many places.
+
+    ``part`` is the number of ``bounds`` (sorted places) up to the place. Null texts count as empty; repeated rows keep a
+    row each and stand at one place; other columns are ignored; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
+    bounds = np.empty(0, np.int64) if bounds is None else bounds
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = _directions()
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = buffers(batch.column(2))
             points = np.array([project(raw[a:b], directions) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
             cells = np.minimum((points.reshape(-1, DIMENSIONS) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert(cells)), batch.column(1)], names=["id", "key", "text"])
+            place = hilbert(cells) << _TIE_BITS | batch.column(1).to_numpy()
+            part = np.searchsorted(shared.value, place, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place), pa.array(part), batch.column(2)], names=["id", "place", "part", "text"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(run, f"id {kind}, key long, text binary")
+    rows = docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text"))
+    tie = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << _TIE_BITS) - 1)).alias("tie")
+    return rows.select("id", tie, "text").mapInArrow(run, f"id {kind}, place long, part int, text binary")
+
+
+def bounds_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> np.ndarray:
+    """The places at which partitions of about equal numbers of bytes begin, from a sample of the documents.
+
+    The sample only decides how evenly documents are dealt: wherever bounds lie, each document is in one partition.
+    """
+    spark = docs.sparkSession
+    size = F.octet_length(utf8(text_column))
+    count, total = docs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PARTITION_BYTES))
+    share = min(1.0, min(SAMPLE * parts, MOST_SAMPLED) / max(count, 1))
+    draw = F.pmod(F.xxhash64(F.lit("packing"), id_column, text_column), F.lit(1 << 30)) < int(share * (1 << 30))
+    drawn = with_place(docs.where(draw), None, id_column, text_column).select("place", F.octet_length("text").alias("bytes")).toArrow()
+    places, sizes = (drawn.column(i).to_numpy().astype(np.int64) for i in range(2))
+    order = np.argsort(places, kind="stable")
+    filled = np.cumsum(sizes[order] + 1)
+    wanted = filled[-1] * np.arange(1, parts) / parts if len(filled) else []
+    return np.unique(places[order][np.searchsorted(filled, wanted)])
 
 
 class _Packer:
@@ -138,22 +174,23 @@ def pack(
     id_column: str = "doc_id",
     text_column: str = "text",
     length: int = SEQUENCE,
-    ranks: tuple[str, str] | None = None,
+    ranks: tuple[str, ...] | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """Rows (id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): the pieces of packed sequences.
 
-    Documents are range-sorted by (Hilbert key, id) and each partition's documents are put on end, each followed by
+    Documents are range-sorted by their place on the curve and each partition's documents are put on end, each followed by
     ``END_ID``, and cut into sequences of ``length``; what is left at a partition's end is dealt to sequences whose lengths
-    are powers of two. So no sequence has padding, and equal keys never force a partition. Null and empty texts are
+    are powers of two. So no sequence has padding, and documents with one Hilbert key need not share a partition. Bounds
+    are fixed beforehand, so a lost executor's documents are packed alike again. Null and empty texts are
     documents of one id. Rows that repeat an id are documents of their own; null ids come first; other columns are
     ignored; an empty table gives an empty result. ``with_ids`` adds each piece's token ids.
     """
-    path, pattern = ranks or rank_file()
+    ranks = ranks or rank_file()
     schema_ids = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_to_numpy
+        encode = encoder(*ranks).encode_to_numpy
         packer = _Packer(TaskContext.get().partitionId() * _PER_PARTITION, length)
         kept_ids: list[np.ndarray] = []
         id_type = None
@@ -180,7 +217,7 @@ def pack(
         for batch in batches:
             id_type = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(key, np.append(encode(text.decode("utf-8", "replace")), np.uint32(END_ID)))
+                packer.add(key, np.append(encode(text.decode("utf-8", "replace"), allowed_special="all"), np.uint32(END_ID)))
             if packer.done:
                 yield out()
         packer.finish()
@@ -188,8 +225,9 @@ def pack(
             yield out()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    sorted_docs = with_hilbert_key(docs, id_column, text_column).repartitionByRange("key", "id").sortWithinPartitions("key", "id", "text")
-    return sorted_docs.select("id", "text").mapInArrow(run, f"id {kind}, {_PIECE}{schema_ids}")
+    bounds = bounds_of(docs, id_column, text_column)
+    dealt = with_place(docs, bounds, id_column, text_column).repartitionById(len(bounds) + 1, "part")
+    return dealt.sortWithinPartitions("place", "id", "text").select("id", "text").mapInArrow(run, f"id {kind}, {_PIECE}{schema_ids}")
 
 
 def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import re
+import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,33 +17,60 @@ from .common import small_batches, table, utf8
 
 #: Characters that a leaf of the tree should have; it ends at the next place where a token must end.
 LEAF_CHARS = 128
-#: After a character that is no white space, a space or line end always begins a new pre-token.
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Where a pre-token ends whatever else a text holds: before a space or line end, behind a run of letters or of digits, and
+#: between other characters and a letter or digit (but for an apostrophe, which may begin a contraction). The last three
+#: leave out characters that special tokens are made of, beside letters and digits, so no cut lies within one.
+_CUT = regex.compile(
+    r"(?<=\S)(?=[ \n])|(?<=\p{L})(?=[^\s\p{L}<|>])|(?<=\p{N})(?=[^\s\p{N}<|>])|(?<=[^\s\p{L}\p{N}'<|>])(?=[\p{L}\p{N}])"
+)
+_SPECIAL_MARKS = frozenset("<|>")
 
 
-def rank_file() -> tuple[str, str]:
-    """The place of the vocabulary and the pattern of its pre-tokens."""
+def rank_file() -> tuple[str, str, str]:
+    """The places of the vocabulary as ranks, the pattern of its pre-tokens, and the place of its ``tokenizers`` file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
+
+
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file with their ids; a text's occurrences of them are cut out before all else.
+
+    Raises ValueError for tokens that cuts of a text could break, or that take in white space around them.
+    """
+    with open(path, encoding="utf-8") as lines:
+        added = json.load(lines)["added_tokens"]
+    for token in added:
+        odd = {c for c in token["content"] if not c.isalnum()} - _SPECIAL_MARKS
+        if odd or token["lstrip"] or token["rstrip"] or token["single_word"]:
+            raise ValueError(f"special token {token['content']!r}")
+    return {token["content"]: token["id"] for token in added}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str):
-    """The byte-level BPE of a rank file; it gives the ids of the same vocabulary's ``tokenizers`` file, with the strings
-    of special tokens in a text taken as ordinary text."""
+def encoder(path: str, pattern: str, specials: str | None = None):
+    """The byte-level BPE of a rank file, which gives the ids of the same vocabulary's ``tokenizers`` file ``specials``.
+
+    Encode with ``allowed_special="all"``, so that the strings of special tokens become their ids as they do there.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special_tokens(specials) if specials else {})
+
+
+def counter(ranks: tuple[str, ...]):
+    """The function that counts a text's tokens."""
+    encode = encoder(*ranks).encode
+    return lambda text: len(encode(text, allowed_special="all"))
 
 
 class TokenTree:
     """Token counts of one text in a segment tree over stretches of pre-tokens.
 
-    A leaf ends only where a character that is no white space is followed by a space or line end: there a pre-token ends
-    whatever else the text holds, so the leaves' counts add up to the text's. Nodes hold sums of characters and tokens.
+    A leaf ends only where a pre-token ends whatever else the text holds, so the leaves' counts add up to the text's. Nodes
+    hold sums of characters and tokens. Only a text whose pre-tokens are long has long leaves.
     """
 
     def __init__(self, text: str, count, leaf_chars: int = LEAF_CHARS):
@@ -160,7 +188,7 @@ class TokenTree:
 
 def _joint(left: str, right: str) -> bool:
     """Whether a pre-token must end between the two; an empty text may stand anywhere only if nothing is joined."""
-    return bool(left) and bool(right) and not left[-1].isspace() and right[0] in " \n"
+    return bool(left) and bool(right) and _CUT.match(left[-1] + right[0], 1) is not None
 
 
 EDIT = "array<struct<start:long,removed:long,inserted:string>>"
@@ -173,7 +201,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def build_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: tuple[str, str] | None = None) -> DataFrame:
+def build_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", ranks: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (id, text, n_chars, n_tokens, leaf_chars, leaf_tokens): every whole text with its token tree, to be kept.
 
     A tree is kept as its leaves' characters and tokens, from which sums follow; ``text`` is the text as UTF-8. Null texts
@@ -181,14 +209,14 @@ def build_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     result.
     """
     small_batches(docs.sparkSession)
-    path, pattern = ranks or rank_file()
+    ranks = ranks or rank_file()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        count = counter(ranks)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                tree = TokenTree(text.decode("utf-8", "replace"), lambda t: len(encode(t)))
+                tree = TokenTree(text.decode("utf-8", "replace"), count)
                 rows.append((len(tree), tree.total, *tree.state()))
             columns = zip(*rows) if rows else [()] * 4
             arrays = [pa.array(list(c), kind) for c, kind in zip(columns, _LISTS)]
@@ -198,22 +226,22 @@ def build_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return docs.select(F.col(id_column).alias("id"), utf8(text_column).alias("text")).mapInArrow(run, f"id {kind}, text binary, {_TREE}")
 
 
-def apply_edits(trees: DataFrame, edits: Column, keep_text: bool = True, ranks: tuple[str, str] | None = None) -> DataFrame:
+def apply_edits(trees: DataFrame, edits: Column, keep_text: bool = True, ranks: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (id, [text,] encoded_chars, n_chars, n_tokens, leaf_chars, leaf_tokens) of texts and trees after edits.
 
     ``trees`` are rows of :func:`build_trees` or of this function; ``edits`` is an array of (start, removed, inserted)
     structs that apply to each text in order, in characters. ``encoded_chars`` is what had to be encoded; the rest of the
     tree is taken over. A null array is no edit; a null in an edit reads 0 or empty; places beyond a text are its end.
     """
-    path, pattern = ranks or rank_file()
+    ranks = ranks or rank_file()
     held = ["text"] if keep_text else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        count = counter(ranks)
         for batch in batches:
             rows = []
             for text, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5))):
-                tree = TokenTree.kept(text.decode("utf-8", "replace"), chars, tokens, lambda t: len(encode(t)))
+                tree = TokenTree.kept(text.decode("utf-8", "replace"), chars, tokens, count)
                 for change in changes or []:
                     tree.edit(change["start"] or 0, change["removed"] or 0, change["inserted"] or "")
                 rows.append((*([tree.text.encode("utf-8", "replace")] if keep_text else []), tree.encoded_chars, len(tree), tree.total, *tree.state()))

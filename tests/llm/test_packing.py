@@ -53,9 +53,9 @@ def test_query_equals_the_tokenizers_file(spark, sf_dir):
 
 
 def test_edges(spark):
-    texts = {1: None, 2: "", 3: "a b c " * 5000, 4: "same", 5: "same", None: "null id"}
+    texts = {1: None, 2: "", 3: "a b c " * 5000, 4: "same", 5: "same", 6: "a <|endoftext|> b", 7: "<|endoftext|>", None: "null id"}
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in texts.items()], "doc_id long, text string, key string, start int")
-    encode = encoder(*rank_file()).encode_ordinary
+    encode = lambda t: encoder(*rank_file()).encode(t, allowed_special="all")
     rows = packing.pack(df, length=64, with_ids=True).withColumnRenamed("id", "doc_id").collect()
     check(rows, {k: [*encode(t or ""), 1] for k, t in texts.items()}, 64)
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
@@ -68,6 +68,16 @@ def test_repeated_rows_are_documents_of_their_own(spark):
     assert sum(r.length for r in rows) == 3 * tokens
 
 
+def test_a_third_of_all_rows_with_one_text_is_split(spark):
+    rows = [(i, "the same text again and again") for i in range(4000)] + [(4000 + i, f"text {i} " * (i % 50)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = packing.bounds_of(df)
+    sizes = [r["count"] for r in packing.with_place(df, bounds).groupBy("part").count().collect()]
+    assert len(bounds) == 3 and len(sizes) == 4 and max(sizes) < 8000
+    same = packing.with_place(df.where("doc_id < 4000"), bounds)
+    assert same.select("place").distinct().count() > 3900
+
+
 def test_like_texts_lie_together():
     directions = packing._directions()
     a, b, c = (np.frombuffer(t.encode(), np.uint8) for t in ("the cat sat on the mat " * 9, "the cat sat on the hat " * 9, "zwölf boxkämpfer jagen " * 9))

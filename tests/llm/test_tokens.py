@@ -6,35 +6,34 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sablefin.llm.tokens import TokenTree, apply_edits, build_trees, encoder, op3_token_counts, rank_file, revision
+from sablefin.llm.tokens import TokenTree, apply_edits, build_trees, counter, encoder, op3_token_counts, rank_file, revision
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
 @pytest.fixture(scope="module")
 def count():
-    encode = encoder(*rank_file()).encode_ordinary
-    return lambda text: len(encode(text))
+    return counter(rank_file())
 
 
-PIECES = st.sampled_from(["a", " ", "\n", "  ", "don't", " 12", "é", "!!", "\x1c", "\x85", "word ", "\t", "　", "中文", "<|endoftext|>"])
+PIECES = st.sampled_from(["a", " ", "\n", "  ", "don't", " 12", "é", "!!", "\x1c", "\x85", "word ", "\t", "　", "中文", "<|endoftext|>", "<|endof", "text|>", "|>", "<", "x1's.", "'ll"])
 EDITS = st.lists(st.tuples(st.integers(-3, 400), st.integers(-3, 200), st.lists(PIECES, max_size=5)), max_size=8)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(PIECES, max_size=120), EDITS, st.sampled_from([1, 4, 32]))
 def test_edits_give_the_count_of_the_new_text(parts, edits, leaf):
-    encode = encoder(*rank_file()).encode_ordinary
+    count = counter(rank_file())
     text = "".join(parts)
-    tree = TokenTree(text, lambda t: len(encode(t)), leaf)
-    assert tree.total == len(encode(text))
+    tree = TokenTree(text, count, leaf)
+    assert tree.total == count(text)
     for start, removed, inserted in edits:
         start, removed, new = min(max(start, 0), len(text)), max(removed, 0), "".join(inserted)
         text = text[:start] + new + text[start + removed :]
-        assert tree.edit(start, removed, new) == len(encode(text))
+        assert tree.edit(start, removed, new) == count(text)
         assert tree.text == text and len(tree) == len(text)
-    again = TokenTree.kept(text, *tree.state(), lambda t: len(encode(t)))
-    assert again.total == tree.total and again.encoded_chars == 0 and again.edit(3, 2, "new ") == len(encode(text[:3] + "new " + text[5:]))
+    again = TokenTree.kept(text, *tree.state(), count)
+    assert again.total == tree.total and again.encoded_chars == 0 and again.edit(3, 2, "new ") == count(text[:3] + "new " + text[5:])
 
 
 def test_an_edit_encodes_little(count):
@@ -49,12 +48,19 @@ def test_rank_file_gives_the_ids_of_the_tokenizers_file(spark, sf_dir):
     from tokenizers import Tokenizer
 
     theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    theirs.encode_special_tokens = True
     texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts += ["", " ", "a  b\n\n c\t\td", "I'll don't 've", "12345 ²³ ٣٣", "😀👍🏽", "x" * 5000, "<|endoftext|>", "a\x00b\x1c\x85 ", "  \n"]
+    texts += ["", " ", "a  b\n\n c\t\td", "I'll don't 've", "12345 ²³ ٣٣", "😀👍🏽", "x" * 5000, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "<|endof text|> end  <|endoftext|>  x", "a\x00b\x1c\x85 ", "  \n"]
     mine = encoder(*rank_file())
     for text, encoded in zip(texts, theirs.encode_batch(texts, add_special_tokens=False)):
-        assert mine.encode_ordinary(text) == encoded.ids
+        assert mine.encode(text, allowed_special="all") == encoded.ids
+
+
+def test_texts_without_blanks_have_short_leaves(count):
+    tree = TokenTree("word,next;12.34-" * 20_000, count)
+    before = tree.encoded_chars
+    assert max(map(len, tree.leaves)) < 500 and tree.total == count(tree.text)
+    tree.edit(150_000, 4, "other")
+    assert tree.encoded_chars - before < 1000
 
 
 def test_edge_rows(spark, count):
