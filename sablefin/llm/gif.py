@@ -24,6 +24,11 @@ _LAST = 4095
 _RUN = _LAST - 258
 
 
+#: Pixels of the largest canvas that is decoded (its RGBA copy takes four bytes for each), and bytes of frames that a
+#: worker holds before it hands them on.
+MAX_CANVAS, HELD_BYTES = 1 << 24, 32 << 20
+
+
 class GifError(ValueError):
     """What is read is no well-formed GIF."""
 
@@ -36,6 +41,9 @@ def _widths(count: int, size: int) -> np.ndarray:
 
 _WIDTHS = {size: _widths(1 << 13, size) for size in range(2, 9)}
 _ENDS = {size: np.concatenate(([0], np.cumsum(w))) for size, w in _WIDTHS.items()}
+#: Codes that follow so many others without a clear code have twelve bits each.
+_FULL = np.full(1 << 13, 12)
+_FULL_ENDS = np.concatenate(([0], np.cumsum(_FULL)))
 
 
 def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
@@ -75,8 +83,8 @@ def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
 def lzw_decode(data: bytes, size: int, pixels: int) -> bytes:
     """The first ``pixels`` samples of a code stream; raises :class:`GifError` where it is malformed or too short.
 
-    How many bits a code has depends only on how many codes came since the last clear code, so the codes up to the next
-    one are cut out together; strings are then rebuilt code by code.
+    How many bits a code has depends only on how many codes came since the last clear code, so many codes are cut out
+    together; strings are then rebuilt code by code. A full table stays as it is until a clear code comes, however late.
     """
     if not 2 <= size <= 8:
         raise GifError(f"minimum code size {size}")
@@ -85,20 +93,21 @@ def lzw_decode(data: bytes, size: int, pixels: int) -> bytes:
     total, bit = 8 * len(data), 0
     roots = [bytes([x]) for x in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    length = 0
+    length, fresh = 0, True
+    strings, before = roots.copy(), b""
     while length < pixels:
-        ends = bit + _ENDS[size]
+        widths, steps = (_WIDTHS[size], _ENDS[size]) if fresh else (_FULL, _FULL_ENDS)
+        ends = bit + steps
         many = int(np.searchsorted(ends, total, "right")) - 1
         if many <= 0:
             raise GifError("the code stream ends early")
         at = ends[:many]
         word = raw[at >> 3] | raw[(at >> 3) + 1] << 8 | raw[(at >> 3) + 2] << 16
-        codes = (word >> (at & 7).astype(np.uint32)) & ((1 << _WIDTHS[size][:many]) - 1).astype(np.uint32)
+        codes = (word >> (at & 7).astype(np.uint32)) & ((1 << widths[:many]) - 1).astype(np.uint32)
         marks = np.flatnonzero((codes == clear) | (codes == stop))
         upto = int(marks[0]) if len(marks) else many
-        strings = roots.copy()
         add, known = strings.append, len(strings)
-        before, first = b"", len(out)
+        first = len(out)
         for code in codes[:upto].tolist():
             if code < known:
                 string = strings[code]
@@ -113,7 +122,10 @@ def lzw_decode(data: bytes, size: int, pixels: int) -> bytes:
             before = string
         length += sum(map(len, out[first:]))
         if len(marks) and int(codes[upto]) == clear:
-            bit = int(ends[upto + 1])
+            bit, fresh = int(ends[upto + 1]), True
+            strings, before = roots.copy(), b""
+        elif not len(marks) and many == len(widths):
+            bit, fresh = int(ends[many]), False
         elif length < pixels:
             raise GifError("the code stream ends early")
     return b"".join(out)[:pixels]
@@ -164,11 +176,16 @@ def _rows(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(start, height, step) for start, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF as they appear: palettes, transparency, interlacing and disposal applied."""
+def decode(data: bytes, max_canvas: int = MAX_CANVAS) -> Iterator[Frame]:
+    """The frames of a GIF as they appear: palettes, transparency, interlacing and disposal applied.
+
+    Raises :class:`GifError` at the first fault, also for a canvas of more than ``max_canvas`` pixels.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > max_canvas:
+        raise GifError(f"a canvas of {width} x {height}")
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     number = clock = 0
@@ -195,6 +212,8 @@ def decode(data: bytes) -> Iterator[Frame]:
             raise GifError("a frame has no palette")
         if x + w > width or y + h > height:
             raise GifError("a frame leaves the canvas")
+        if at >= len(data):
+            raise GifError("a frame is cut off")
         size = data[at]
         stream, at = _blocks(data, at + 1)
         index = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8).reshape(h, w)
@@ -243,7 +262,11 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 
 
 def store_as_gif(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, n_bytes, media): each whole text, padded, as the samples of a GIF. Null texts count as empty."""
+    """Rows (id, n_bytes, media): each whole text, padded, as the samples of a GIF.
+
+    Null texts count as empty, an empty text is one unit of padding, long texts have many frames. Repeated rows and equal
+    ids keep a row each; other columns are ignored; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +282,12 @@ def store_as_gif(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 _FRAME = "id {}, frame int, start_ms long, delay_ms long, x int, y int, w int, h int, disposal int, pixels binary, histogram array<long>, error string"
 
 
-def frames(media: DataFrame, id_column: str = "id", media_column: str = "media") -> DataFrame:
+def frames(media: DataFrame, id_column: str = "id", media_column: str = "media", max_canvas: int = MAX_CANVAS) -> DataFrame:
     """A row for each frame of each GIF: times, rectangle, disposal, canvas as RGBA bytes and colour histogram.
 
-    Bytes that are no well-formed GIF give the frames before the fault and a row whose ``error`` says what it is; a null
-    or empty value gives such a row alone.
+    Bytes that are no well-formed GIF, or ask for more than ``max_canvas`` pixels, give the frames before the fault and a
+    row whose ``error`` says what it is; a null or empty value gives such a row alone, a GIF without frames none.
+    Repeated rows keep their frames each; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(media.sparkSession)
     kind = media.schema[id_column].dataType.simpleString()
@@ -274,18 +298,19 @@ def frames(media: DataFrame, id_column: str = "id", media_column: str = "media")
         types = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.list_(pa.int64()), pa.string()]
         for batch in batches:
             for key, data in zip(batch.column(0), batch.column(1).to_pylist()):
-                rows = []
+                rows, held = [], 0
 
                 def done() -> pa.RecordBatch:
                     arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
                     return pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), batch.column(0).type), *arrays], names=names)
 
                 try:
-                    for f in decode(data or b""):
+                    for f in decode(data or b"", max_canvas):
                         rows.append((f.number, f.start_ms, f.delay_ms, *f.rect, f.disposal, f.canvas.tobytes(), f.histogram(), None))
-                        if len(rows) == 64:
+                        held += f.canvas.nbytes
+                        if held >= HELD_BYTES:
                             yield done()
-                            rows = []
+                            rows, held = [], 0
                 except GifError as e:
                     rows.append((None,) * 10 + (str(e),))
                 if rows:

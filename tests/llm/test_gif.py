@@ -25,20 +25,24 @@ def test_lzw_with_full_tables():
     assert gif.lzw_decode(gif.lzw_encode(pixels), 8, len(pixels)) == pixels
 
 
-def test_lzw_without_clear_codes_stays_at_twelve_bits():
-    # A decoder must go on with a full table; codes of 12 bits for single bytes behind it are legal.
-    size, codes = 8, [256, *([1, 2, 3, 5] * 1200), 257]
-    entries, bits = 258, 0
-    value = at = 0
-    for i, code in enumerate(codes):
-        width = min(12, max(9, (entries).bit_length()))
+def late_clear(codes, size=8):
+    """A code stream of single samples with one clear code at the beginning."""
+    entries, value, at = 258, 0, 0
+    for i, code in enumerate([256, *codes, 257]):
         value |= code << at
-        at += width
+        at += min(12, max(9, entries.bit_length()))
         if i >= 2 and entries < 4096:
             entries += 1
-        bits += width
-    data = value.to_bytes(-(-at // 8), "little")
-    assert gif.lzw_decode(data, size, 4800) == bytes([1, 2, 3, 5] * 1200)
+    return value.to_bytes(-(-at // 8), "little")
+
+
+@pytest.mark.parametrize("count", [4800, 8189, 8190, 8191, 8192, 8193, 9000, 20_000])
+def test_lzw_without_clear_codes_stays_at_twelve_bits(count):
+    pixels = bytes(i * 7 % 251 for i in range(count))
+    data = late_clear(list(pixels))
+    assert gif.lzw_decode(data, 8, count) == pixels
+    with pytest.raises(gif.GifError):
+        gif.lzw_decode(data, 8, count + 1)
 
 
 def frame(x, y, w, h, pixels, disposal=0, delay=0, through=None, palette=None, interlaced=False, size=2):
@@ -91,6 +95,40 @@ def test_faults_are_told(data):
         list(gif.decode(data))
 
 
+def sample():
+    own = [[9, 9, 9], [8, 8, 8], [7, 7, 7], [6, 6, 6]]
+    return file(
+        3, 9,
+        frame(0, 0, 3, 9, [i % 4 for i in range(27)], disposal=1, delay=7, interlaced=True),
+        frame(0, 0, 2, 1, [2, 3], disposal=3, through=3, delay=2, palette=own),
+        frame(1, 0, 1, 1, [2], disposal=2),
+    )
+
+
+def outcome(data):
+    try:
+        return len(list(gif.decode(data, 1 << 16)))
+    except gif.GifError:
+        return None
+
+
+def test_every_prefix_and_every_changed_byte_is_frames_or_a_fault():
+    data = sample()
+    assert outcome(data) == 3
+    assert all(outcome(data[:n]) is None for n in range(len(data)))
+    for at in range(len(data)):
+        for byte in {0, 1, 0x21, 0x2C, 0x3B, 0x7F, 0x80, 0xFF, data[at] ^ 1, data[at] ^ 0x80}:
+            outcome(data[:at] + bytes([byte]) + data[at + 1 :])
+
+
+def test_a_large_canvas_is_a_fault(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    with pytest.raises(gif.GifError):
+        list(gif.decode(huge))
+    row = gif.frames(spark.createDataFrame([(1, huge)], "id long, media binary")).first()
+    assert row.id == 1 and row.frame is None and "65535" in row.error
+
+
 def test_frames_of_a_column(spark):
     good = file(2, 1, frame(0, 0, 2, 1, [1, 2], delay=3), frame(1, 0, 1, 1, [3]))
     rows = [(1, good), (2, b"junk"), (3, None), (4, good[:-1])]
