@@ -37,6 +37,24 @@ MORE_PHRASES = {
 TAG = "spdx license identifier"
 #: How much one kind of evidence leaves open; the score is one minus their product.
 OPEN = {"base": 0.4, "more": 0.5, "tag": 0.1}
+# Identifiers of the SPDX licence list that expressions may name beside those with the prefixes below.
+IDENTIFIERS = frozenset(
+    """
+    0bsd afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 artistic-1.0
+    artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause
+    bsl-1.0 busl-1.1 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0
+    cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-3.0 cc-by-sa-4.0
+    cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ftl gfdl-1.2
+    gfdl-1.3 gpl-1.0 gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only
+    gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc json lgpl-2.0 lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only
+    lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libtiff lppl-1.3c miros mit mit-0 mpl-1.0 mpl-1.1
+    mpl-2.0 ms-pl ms-rl mulanpsl-2.0 naist-2003 ncsa odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openssl osl-3.0 pddl-1.0 php-3.01
+    postgresql psf-2.0 python-2.0 qpl-1.0 rpl-1.5 ruby sissl sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense
+    upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+    """.split()
+)
+#: Prefixes of identifiers that a document defines itself, and what the name of an exception behind ``with`` has.
+OWN_PREFIXES, EXCEPTION = ("licenseref-", "documentref-"), "exception"
 #: Identifiers whose licences ask for little; an expression is permissive if some choice of its licences is.
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0"}
 BINDS = {"with": 3, "and": 2, "or": 1}
@@ -51,8 +69,20 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def to_postfix(expression: str) -> list[str] | None:
-    """The licence expression in postfix order (shunting-yard; with binds before and, and before or); None if malformed."""
+def is_known(identifier: str, after_with: bool = False, known: frozenset[str] = IDENTIFIERS) -> bool:
+    """Whether an identifier (lower-case) may stand in an expression: a listed licence, with or without a plus behind it, one
+    that a document defines itself, or, behind ``with``, an exception."""
+    if after_with:
+        return EXCEPTION in identifier or identifier.startswith(OWN_PREFIXES)
+    return identifier.removesuffix("+") in known or identifier.startswith(OWN_PREFIXES)
+
+
+def to_postfix(expression: str, known: frozenset[str] = IDENTIFIERS) -> list[str] | None:
+    """The licence expression at a text's beginning in postfix order (shunting-yard; with binds before and, and before or).
+
+    It ends where prose begins: at an operand or ``(`` behind an operand, a ``)`` that none opened, or an identifier that is
+    not known; an operator before that is prose, too. None if there is no expression or a parenthesis stays open.
+    """
     out: list[str] = []
     stack: list[str] = []
     wants_operand = True
@@ -60,28 +90,28 @@ def to_postfix(expression: str) -> list[str] | None:
         low = token.lower()
         if low in BINDS:
             if wants_operand:
-                return None
+                break
             while stack and BINDS.get(stack[-1], 0) >= BINDS[low]:
                 out.append(stack.pop())
             stack.append(low)
             wants_operand = True
         elif token == "(":
             if not wants_operand:
-                return None
+                break
             stack.append("(")
         elif token == ")":
-            if wants_operand:
-                return None
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack:
-                return None
-            stack.pop()
+            if wants_operand or "(" not in stack:
+                break
+            while (top := stack.pop()) != "(":
+                out.append(top)
         else:
-            if not wants_operand:
-                break  # a comment's end or prose follows the expression
+            if not wants_operand or not is_known(low, stack[-1:] == ["with"], known):
+                break
             out.append(low)
             wants_operand = False
+    if wants_operand and stack and stack[-1] in BINDS:
+        stack.pop()
+        wants_operand = False
     if wants_operand or "(" in stack:
         return None
     return out + stack[::-1]
@@ -148,9 +178,9 @@ _COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_lab
 def scan_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, permissive).
 
-    ``labels`` holds those of all notices and the identifiers of well-formed expressions behind an identifier tag;
+    ``labels`` holds those of all notices and the identifiers of the expressions behind identifier tags, as far as they are known;
     ``expressions`` are these in postfix order, ``permissive`` tells whether all of them can be met with permissive
-    licences (null without one). Null texts count as empty: no words, no labels, score 0. Malformed expressions are
+    licences (null without one). Null texts count as empty: no words, no labels, score 0. Tags without a known licence are
     passed over. Repeated rows and equal ids each keep a row; other columns are ignored; an empty table gives an empty
     result.
     """

@@ -27,12 +27,18 @@ def plain(text):
         ("GPL-2.0-only WITH Classpath-exception-2.0 AND MIT", ["gpl-2.0-only", "classpath-exception-2.0", "with", "mit", "and"]),
         ("((MIT))", ["mit"]),
         ("MIT */", ["mit"]),
-        ("MIT and more words", ["mit", "more", "and"]),
+        ("MIT and more words", ["mit"]),
+        ("MIT (see LICENSE)", ["mit"]),
+        ("MIT)", ["mit"]),
+        ("MIT) or so", ["mit"]),
+        ("hello world foo", None),
+        ("LicenseRef-Own OR MPL-2.0+", ["licenseref-own", "mpl-2.0+", "or"]),
+        ("MIT WITH prose", ["mit"]),
+        ("(MIT AND (ISC OR Zlib)) text", ["mit", "isc", "zlib", "or", "and"]),
         ("", None),
         ("OR MIT", None),
-        ("MIT OR", None),
+        ("MIT OR", ["mit"]),
         ("(MIT", None),
-        ("MIT)", None),
         ("()", None),
     ],
 )
@@ -67,6 +73,18 @@ def test_tags_and_expressions(spark):
     assert row.labels == "gpl-2.0-only,mit" and row.expressions == ["mit gpl-2.0-only or"] and row.permissive is True and row.n_base == 0
 
 
+def test_forms_of_a_tag(spark):
+    forms = ["(SPDX-License-Identifier: MIT)", "SPDX-License-Identifier: MIT (see LICENSE)", "SPDX-License-Identifier: hello world foo"]
+    rows = licences.scan_licences(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).orderBy("id").collect()
+    assert [(r.labels, r.score) for r in rows] == [("mit", 0.9), ("mit", 0.9), ("", 0.0)]
+
+
+def test_long_texts_and_repeated_ids(spark):
+    long = "word " * 300_000 + "cc by nc " + "SPDX-License-Identifier: " * 1000
+    rows = licences.scan_licences(spark.createDataFrame([(1, long), (1, "cc by nc"), (1, "cc by nc")], "doc_id long, text string")).collect()
+    assert sorted((r.n_words, r.n_base, r.first_word) for r in rows) == [(3, 1, 0), (3, 1, 0), (303_003, 1, 300_000)]
+
+
 def test_query_equals_plain_search(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = licences.op4_licence_scan(spark, sf_dir).collect()
