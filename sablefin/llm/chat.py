@@ -11,12 +11,11 @@ from .common import table
 #: Turns that one sorted block of a conversation holds; longer conversations are scanned in several blocks.
 BLOCK_TURNS = 1024
 TURN_OPEN, TURN_CLOSE = "<|im_start|>", "<|im_end|>"
-#: Stands for a missing part in hashes and in the SQL twin.
-MISSING = "\x00"
 
 
-def _part(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(MISSING))
+def _parts(name: str) -> list[Column]:
+    """What a column adds to a hash: whether it is null, beside its value, so that no value stands for null."""
+    return [F.col(name).isNull(), F.coalesce(F.col(name), F.lit(""))]
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     and rows that share a turn number need no order. A conversation is scanned in blocks of ``BLOCK_TURNS`` turn numbers
     whose totals are then added up, so that no long conversation has to be sorted by one task.
     """
-    wide = [F.xxhash64(F.lit(salt), "turn", _part("role"), _part("text")) for salt in (1, 2)]
+    wide = [F.xxhash64(F.lit(salt), "turn", *_parts("role"), *_parts("text")) for salt in (1, 2)]
     low = F.lit(0xFFFFFFFF)
     parts = [wide[0].bitwiseAND(low), F.shiftrightunsigned(wide[0], 32), wide[1].bitwiseAND(low), F.shiftrightunsigned(wide[1], 32)]
     sums = [F.count("*").alias("n"), *(F.sum(f"p{i}").alias(f"h{i}") for i in range(4))]
@@ -93,7 +92,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, role, text,
-         turn || chr(1) || coalesce(role, chr(2)) || chr(1) || coalesce(text, chr(2)) || chr(3) AS piece
+         turn || ',' || coalesce(length(role) || ':' || role, '-') || ',' || coalesce(length(text) || ':' || text, '-') || ';' AS piece
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), rolled AS (
   SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last_turn,

@@ -52,7 +52,7 @@ def test_edges(spark, monkeypatch):
     part = [(2, i, "user", f"turn {i}") for i in range(13)]
     copy = [(3, i, "user", f"turn {i}") for i in range(20)]
     other = [(4, 0, "user", "turn 0"), (4, 1, "user", "another")]
-    nulls = [(5, 0, None, None), (6, 0, None, ""), (7, 0, "", None), (None, 0, "user", "x"), (8, None, "user", "x"), (9, -5, "user", "<|im_end|>"), (9, 4000, "user", "far")]
+    nulls = [(5, 0, None, None), (6, 0, None, ""), (7, 0, "", None), (None, 0, "user", "x"), (8, None, "user", "x"), (20, 0, "user", None), (21, 0, "user", "\x00"), (22, 0, "\x00", None), (23, 0, "user", "\x02"), (24, 0, "user", "long " * 100_000), (9, -5, "user", "<|im_end|>"), (9, 4000, "user", "far")]
     ties = [(10, 0, "a", "x"), (10, 0, "a", "x"), (11, 0, "a", "x"), (12, 0, "b", "y"), (12, 0, "a", "x"), (13, 0, "a", "x"), (13, 0, "b", "y"), (13, 1, "a", "z")]
     rows = [*long, *part, *copy, *other, *nulls, *ties]
     assert found(spark, rows) == brute(rows)
