@@ -6,14 +6,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sablefin.sources.scratch import drop_written, shared_dir, written
+from sablefin.sources.scratch import drop_written, shared_dir, temporary, written
 from sablefin.sources.workers import reach_package
 
-__all__ = ["bounded_broadcast", "buffers", "cells", "drop_written", "is_held_out", "shared_dir", "small_batches", "table", "utf8", "written"]
+__all__ = [
+    "bounded_broadcast", "buffers", "cells", "drop_written", "is_held_out", "sampled", "shared_dir", "small_batches", "table", "temporary",
+    "utf8", "written",
+]
 
-#: Rows that Spark hands to a Python worker at once; it bounds the worker's memory for long texts.
-ARROW_ROWS = 512
+#: Rows and bytes that Spark hands to a Python worker at once: many short texts, or a few long ones.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches to ``ARROW_ROWS`` rows, so that whole long texts fit in a worker, which can import this library."""
+    """Keep Arrow batches to ``ARROW_ROWS`` rows and about ``ARROW_BYTES`` bytes, so that a worker holds few whole long texts,
+    and let workers import this library. Both settings are the session's and stay."""
     reach_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def utf8(name: str = "text") -> Column:
@@ -72,3 +78,42 @@ def cells(keyed: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("mine")) | (F.col("parts") == 1))
     pairs = sized.withColumn("other", F.explode(others))
     return pairs.select(*keys, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), item, "n")
+
+
+#: Parts of a group that a sample is drawn from, so that no group of rows has to be ordered by one task.
+SLOTS = 64
+
+
+def sampled(rows: DataFrame, documents: dict, most_bytes: int, salt: str) -> dict[object, list[bytes]]:
+    """Whole texts (as UTF-8) to learn from, by group, of rows (group, id, text) without nulls in group and text.
+
+    Each group gives about ``documents[group]`` texts at most, those with the smallest hashes of (id, text) in each of
+    ``SLOTS`` parts, as far as they fit into ``most_bytes`` together (if none fits, the shortest). So the driver holds no
+    more than that for a group, whatever ids repeat and however long texts are; rows alike in id and text count once.
+    """
+    marked = rows.select("group", "text", F.xxhash64(F.lit(salt), "id", "text").alias("mark"))
+    narrow = marked.groupBy("group", "mark").agg(F.first(F.octet_length("text")).alias("bytes"))
+    slot = F.pmod("mark", F.lit(SLOTS))
+    rank = F.row_number().over(Window.partitionBy("group", slot).orderBy("mark"))
+    quota = -(-max(documents.values(), default=0) // SLOTS)
+    ranked = narrow.withColumn("rank", rank).where(F.col("rank") <= quota)
+    left = {group: [most_bytes, n] for group, n in documents.items()}
+    shortest: dict[object, tuple] = {}
+    picks = []
+    for r in sorted(ranked.select("group", "mark", "bytes").collect(), key=lambda r: (r["mark"], r["bytes"])):
+        room = left.get(r["group"], [0, 0])
+        shortest[r["group"]] = min(shortest.get(r["group"], (r["bytes"], r["mark"])), (r["bytes"], r["mark"]))
+        if r["bytes"] <= room[0] and room[1] > 0:
+            room[0], room[1] = room[0] - r["bytes"], room[1] - 1
+            picks.append((r["group"], r["mark"]))
+    for group in set(shortest) - {g for g, _ in picks}:
+        picks.append((group, shortest[group][1]))
+    out: dict[object, list[bytes]] = {}
+    if not picks:
+        return out
+    kind = rows.schema["group"].dataType.simpleString()
+    wanted = rows.sparkSession.createDataFrame(picks, f"group {kind}, mark long")  # as many rows as were picked
+    texts = marked.join(F.broadcast(wanted), ["group", "mark"]).dropDuplicates(["group", "mark"]).select("group", "mark", F.col("text").cast("binary"))
+    for group, _, text in sorted(texts.toLocalIterator(), key=lambda r: (r[1], str(r[0]))):
+        out.setdefault(group, []).append(bytes(text))
+    return out

@@ -11,12 +11,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, is_held_out, small_batches, table
+from .common import buffers, is_held_out, sampled, small_batches, table
 
 #: Bytes of context of the deepest nodes.
 ORDER = 3
-#: Documents that each language's tree is expected to learn from (drawn by hash of the id); whole texts are used.
-SAMPLE_DOCS = 400
+#: Documents, and bytes of their texts, that each language's tree learns from at most; whole texts are used.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 1 << 20
+#: Languages whose trees share one set of nodes, for which all of them have numbers.
+TOGETHER = 8
 #: Bits of a byte that no context has seen: all 256 are alike.
 UNSEEN_BITS = 8.0
 UNKNOWN = "und"
@@ -27,7 +29,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 @dataclass
 class ContextTrees:
-    """All languages' trees on one set of nodes. A node is a byte string of up to ORDER + 1 bytes that some language has seen.
+    """The trees of some languages on one set of nodes. A node is a byte string of up to ORDER + 1 bytes that some language has seen.
 
     ``child[node, symbol]`` is the node of the string with one more byte, or -1; the last row is all -1, so that -1 leads
     to -1. ``cost[node, language]`` are the bits of the node's last byte after the others as context, less what
@@ -155,25 +157,29 @@ def has_letter(text: bytes) -> bool:
     return _LETTER.search(text.decode("utf-8", "replace")) is not None
 
 
-def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
-    """The trees of a sample of rows with a language: about ``sample_docs`` of each language, drawn by a hash of the id.
+def learn(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", sample_docs: int = SAMPLE_DOCS
+) -> list[ContextTrees]:
+    """The trees of a sample of rows with a language and a text, ``TOGETHER`` languages at a time: up to ``sample_docs``
+    documents and ``SAMPLE_BYTES`` of each language, drawn by a hash of id and text.
 
-    The sample alone is held by the driver; how many rows each language has is counted over all.
+    How many rows each language has is counted over all; the driver holds the sample alone. Rows without a language or
+    text are passed over, rows alike in id and text count once; without rows there are no trees.
     """
-    rows = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_column).count().collect()}
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(lang_column).alias("group"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = rows.where("group IS NOT NULL AND text IS NOT NULL")
+    sizes = {r[0]: r[1] for r in rows.groupBy("group").count().collect()}
     if not sizes:
-        return grow({})
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_column)), F.lit(1_000_000))
-    wanted = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(1, min(1_000_000, 1_000_000 * sample_docs // n)))))
-    drawn = rows.where(draw < wanted[F.col(lang_column)]).select(lang_column, F.col(text_column).cast("binary").alias("text"))
-    texts: dict[str, list[bytes]] = {}
-    for lang, text in drawn.toLocalIterator():
-        texts.setdefault(lang, []).append(bytes(text))
-    return grow(texts)
+        return []
+    draw = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1_000_000))
+    wanted = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, max(1, min(1_000_000, 2_000_000 * sample_docs // n)))))
+    texts = sampled(rows.where(draw < wanted[F.col("group")]), dict.fromkeys(sizes, sample_docs), SAMPLE_BYTES, "tongue")
+    names = sorted(texts)
+    return [grow({k: texts[k] for k in names[at : at + TOGETHER]}) for at in range(0, len(names), TOGETHER)]
 
 
-def identify(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trees: list[ContextTrees], id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score): the language whose tree takes the fewest bits for the whole text.
 
     The score is the language's share of probability, all languages beforehand alike. Texts that are null or have no
@@ -186,18 +192,19 @@ def identify(docs: DataFrame, trees: ContextTrees, id_column: str = "doc_id", te
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
+        languages = [name for some in trees for name in some.languages]
         for batch in batches:
             texts = batch.column(1)
             raw, offsets = buffers(texts)
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if trees.languages and batch.num_rows:
-                bits = code_lengths(trees, raw, offsets)
+            if languages and batch.num_rows:
+                bits = np.hstack([code_lengths(some, raw, offsets) for some in trees])
                 best = bits.argmin(axis=1)
                 ahead = bits - bits[np.arange(len(bits)), best][:, None]
                 share = 1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1)
                 for i in range(batch.num_rows):
                     if has_letter(raw[offsets[i] : offsets[i + 1]].tobytes()):
-                        names[i], scores[i] = trees.languages[best[i]], share[i]
+                        names[i], scores[i] = languages[best[i]], share[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], names=["id", "lang_pred", "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()

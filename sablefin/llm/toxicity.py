@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, is_held_out, small_batches, table, utf8
+from .common import bounded_broadcast, buffers, is_held_out, sampled, small_batches, table, utf8
 
 #: Lengths of the byte n-grams, and how many hash buckets they share.
 GRAMS, BUCKETS = (3, 4, 5), 1 << 21
-#: Labelled documents that are expected to be learned from, by label (drawn by hash of the id); whole texts are used.
-SAMPLE = {1: 3000, 0: 5000}
+#: Labelled documents that are learned from at most, by label, and the bytes of a label's texts; whole texts are used.
+SAMPLE, SAMPLE_BYTES = {1: 3000, 0: 5000}, 24 << 20
 #: An n-gram is dense in a text if it stands there at least once in so many bytes.
 DENSE = 1000
 #: Features that keep a weight: those that tell the labels apart best.
@@ -138,24 +138,27 @@ def learn(
     label_column: str = "toxic",
     sample: dict[int, int] | None = None,
 ) -> Model:
-    """The classifier learned from about ``sample[label]`` documents of each label, drawn by a hash of the id.
+    """The classifier learned from up to ``sample[label]`` documents of each label and ``SAMPLE_BYTES`` of their texts.
 
-    How many rows each label has is counted over all; the drawn ids are so few that they are broadcast, and only the
-    sample's texts reach the driver. Labels other than 0 and 1 and texts that are null are passed over; of several labels
-    of an id the largest counts.
+    How many rows each label has is counted over all; twice as many ids as are wanted are drawn by hash, and of their rows
+    those with the smallest hashes of id and text. Only the sample's texts reach the driver, however often an id repeats.
+    Labels other than 0 and 1, null ids and null texts are passed over; of several labels of an id the largest counts.
     """
+    small_batches(docs.sparkSession)
+    sample = sample or SAMPLE
     known = F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()
-    marked = labels.where(known).groupBy(id_column).agg(F.max(label_column).alias("toxic"))
-    sizes = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
-    share = {k: min(1_000_000, 1_000_000 * n // sizes[k]) for k, n in (sample or SAMPLE).items() if sizes.get(k)}
+    marked = labels.where(known).groupBy(id_column).agg(F.max(label_column).cast("int").alias("group"))
+    sizes = {r[0]: r[1] for r in marked.groupBy("group").count().collect()}
+    share = {k: min(1_000_000, 2_000_000 * n // sizes[k]) for k, n in sample.items() if sizes.get(k)}
     if not share:
         return train([], np.empty(0))
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), F.col(id_column)), F.lit(1_000_000))
     wanted = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))
-    drawn = marked.where(draw < wanted[F.col("toxic")]).select(F.col(id_column).alias("__id"), F.col("toxic").alias("__label"))
-    rows = docs.where(F.col(text_column).isNotNull()).join(F.broadcast(drawn), F.col(id_column) == F.col("__id"))
-    found = [(bytes(r[0]), r[1]) for r in rows.select(F.col(text_column).cast("binary"), "__label").toLocalIterator()]
-    return train([t for t, _ in found], np.array([y for _, y in found]))
+    drawn = bounded_broadcast(marked.where(draw < wanted[F.col("group")]).select(F.col(id_column).alias("__id"), "group"))
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
+    found = sampled(texts.join(drawn, F.col("id") == F.col("__id")).select("group", "id", "text"), sample, SAMPLE_BYTES, "toxic")
+    rows = [(text, label) for label in sorted(found) for text in found[label]]
+    return train([t for t, _ in rows], np.array([y for _, y in rows]))
 
 
 def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

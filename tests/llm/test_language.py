@@ -1,6 +1,7 @@
 """Code lengths against a plain model, and held-out accuracy."""
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sablefin.llm import language
-from sablefin.llm.common import is_held_out
+from sablefin.llm.common import is_held_out, sampled
 
 
 def plain_bits(texts, text, order=language.ORDER):
@@ -62,6 +63,44 @@ def test_edges(spark):
     assert language.identify(df.limit(0), language.learn(df)).count() == 0
 
 
+def test_query_equals_plain_code_lengths(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(90):
+        lang = ["aa", "bb", "cc", "dd", "ee", None][i % 6]
+        letters = {"aa": "abcde ", "bb": "defgh ", "cc": "ghijk ", "dd": "é漢klm ", "ee": "mnopq "}.get(lang, "abcdefghij ")
+        rows.append((i % 80, "".join(rng.choice(letters) for _ in range(rng.randrange(60))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {}
+    for _, text, lang in rows:
+        if lang:
+            texts.setdefault(lang, []).append(text.encode())
+    found = []
+    for together in (2, 8):
+        monkeypatch.setattr(language, "TOGETHER", together)
+        found.append(sorted(tuple(r) for r in language.identify(df, language.learn(df)).collect()))
+    assert found[0] == found[1]
+    plain = []
+    for key, text, _ in rows:
+        bits = {k: plain_bits(v, text.encode()) for k, v in texts.items()}
+        best = min(sorted(bits), key=lambda k: bits[k])
+        some = any(c.isalpha() for c in text)
+        plain.append((key, best if some else "und", 1 / sum(2.0 ** -(b - bits[best]) for b in bits.values()) if some else 0.0))
+    for mine, theirs in zip(found[0], sorted(plain)):
+        assert mine[:2] == theirs[:2] and abs(mine[2] - theirs[2]) < 1e-3
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    rows = [(7, f"text {i} of one id", "en") for i in range(3000)] + [(8, "same", "en")] * 2000 + [(9, "x" * 50_000, "de"), (10, "kurz", "de"), (11, "y" * 90, None)]
+    df = spark.createDataFrame(rows, "id long, text string, group string").where("group IS NOT NULL")
+    found = sampled(df, {"en": 100, "de": 100}, 2000, "s")
+    assert len(found["en"]) <= 100 and sum(map(len, found["en"])) <= 2000 and len(set(found["en"])) == len(found["en"])
+    assert found["de"] == [b"kurz"]
+    assert found == sampled(df.repartition(5), {"en": 100, "de": 100}, 2000, "s")
+    assert sampled(df, {"en": 5, "de": 5}, 1, "s")["de"] == [b"kurz"]
+    assert sampled(df.limit(0), {"en": 5}, 10, "s") == {}
+
+
 def test_held_out_rows_change_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = is_held_out(4, 2)

@@ -1,6 +1,7 @@
 """The toxicity classifier: parts, held-out accuracy, and what it may not look at."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -37,6 +38,60 @@ def test_chunks_change_nothing():
             assert (mine == np.sort(np.concatenate([np.empty(0, np.int32), *toxicity.grams(part)]))).all()
 
 
+def plain_buckets(text):
+    """The n-grams of a text, counted by bucket, one by one."""
+    folded = b" " + bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\x0b\x0c\r" else b for b in text) + b" "
+    found = Counter()
+    for n in (3, 4, 5):
+        for i in range(len(folded) - n + 1):
+            value = int.from_bytes(folded[i : i + n], "little") + (n << 56)
+            found[(value * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 43] += 1
+    return found
+
+
+def plain_scores(texts, toxic):
+    """Features, naive Bayes ratios and logistic regression on a dense table; no code shared with the operator."""
+    counts = [plain_buckets(t) for t in texts]
+    kinds = sorted({(0, b) for c in counts for b in c} | {(1, b) for c in counts for b in c})
+    x = np.array([[float(c[b] > 0 and (kind == 0 or c[b] * 1000 >= len(t))) for kind, b in kinds] for c, t in zip(counts, texts)])
+    y = np.asarray(toxic, float)
+    often = x.sum(axis=0) >= 4
+    x = x[:, often]
+    n_1, n_0 = y.sum(), (1 - y).sum()
+    in_1, in_0 = x[y == 1].sum(axis=0), x[y == 0].sum(axis=0)
+    ratio = np.log((in_1 + 1) / (n_1 + 2)) - np.log((in_0 + 1) / (n_0 + 2))
+    share = (in_1 + in_0) / len(y)
+    apart = np.abs(in_1 / n_1 - in_0 / n_0) / np.sqrt(np.maximum(share * (1 - share) * (1 / n_1 + 1 / n_0), 1e-300))
+    x = (x * ratio)[:, (apart > 0) & (share < 1)]
+    assert x.shape[1] <= toxicity.FEATURES
+    w, m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    w[-1] = np.log(n_1 / n_0)
+    for t in range(1, 301):
+        error = (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y) * np.where(y == 1, 0.5 / n_1, 0.5 / n_0)
+        slope = np.append(x.T @ error + 2e-3 * w[:-1], error.sum())
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+
+
+def test_scores_equal_a_plain_computation(spark):
+    rows = [(k, " ".join(t.split()[:14]), y) for k, t, y in made(50, seed=3)]
+    rows = [(k, "Zounds " + t if y else t, y) for k, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.classify(df, toxicity.learn(df, df.select("doc_id", "toxic"))).orderBy("id").collect()
+    plain = plain_scores([t.encode() for _, t, _ in rows], [y for *_, y in rows])
+    assert np.abs(np.array([r.score for r in found]) - plain).max() < 1e-6
+
+
+def test_one_id_with_many_texts_stays_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: (len(texts), sum(map(len, texts))))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    df = spark.createDataFrame([(1, f"some text {i}") for i in range(5000)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    count, size = toxicity.learn(df, labels, sample={0: 400, 1: 400})
+    assert 100 < count <= 401 and size <= 4000 + 5
+
+
 def test_each_gram_has_its_bucket():
     found = [g.tolist() for g in toxicity.grams(np.frombuffer(b"Ab c", np.uint8))]
     assert [len(g) for g in found] == [4, 3, 2]
