@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cells, drop_written, small_batches, table, utf8, written
+from .common import bounded_broadcast, cells, small_batches, table, temporary, utf8, written
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -19,6 +19,8 @@ SEED = 42
 RADIUS = 2
 #: A bucket with more fingerprints than this is cut into cells, each of two such parts.
 CELL = 8192
+#: Up to so many fingerprints, all pairs of a bucket share bit planes with those of other buckets, so many pairs at once.
+SMALL, PAIRS = 24, 1 << 17
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -48,7 +50,11 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Rows (id, fp): the SimHash of every whole text as a signed long. Null texts count as empty."""
+    """Rows (id, fp): the SimHash of every whole text as a signed long.
+
+    Null texts count as empty (fingerprint 0). Repeated rows and equal ids keep a row each; other columns are ignored; an
+    empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +109,23 @@ def within(planes: np.ndarray, lanes: np.ndarray, query: int, radius: int = RADI
     return out
 
 
+def small_links(buckets: list[np.ndarray], radius: int = RADIUS) -> list[np.ndarray]:
+    """For each bucket of a few values the pairs (positions) of at most ``radius`` bits, all buckets compared at once.
+
+    Each two values of a bucket are a lane, whose bits are those in which they differ, so the planes of all lanes count the
+    distances of 64 pairs at a time, and words of lanes are given up once all pairs in them are too far apart.
+    """
+    corners = [np.column_stack(np.triu_indices(len(x), 1)) for x in buckets]
+    apart = [x[c[:, 0]] ^ x[c[:, 1]] for x, c in zip(buckets, corners)]
+    if not sum(map(len, apart)):
+        return corners
+    differ = np.concatenate(apart)
+    lanes = np.packbits(np.arange(-(-len(differ) // 64) * 64) < len(differ), bitorder="little").view("<u8").copy()
+    near = np.unpackbits(within(bit_planes(differ), lanes, 0, radius).view(np.uint8), bitorder="little")[: len(differ)].astype(bool)
+    ends = np.cumsum([0, *map(len, corners)])
+    return [c[near[a:b]] for c, a, b in zip(corners, ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links (positions in ``values``) that connect exactly what links of at most ``radius`` bits connect.
 
@@ -111,18 +134,7 @@ def spanning_links(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int,
     """
     n = len(values)
     numbers = [int(x) for x in values]
-    if n <= 24:
-        links, todo = [], list(range(n))
-        while todo:
-            queue = [todo.pop()]
-            while queue:
-                at = queue.pop()
-                near = [x for x in todo if (numbers[x] ^ numbers[at]).bit_count() <= radius]
-                links += [(at, x) for x in near]
-                queue += near
-                todo = [x for x in todo if x not in near] if near else todo
-        return links
-    planes, lanes = bit_planes(values), np.zeros(-(-n // 64) * 64, np.uint8)
+    planes, lanes = bit_planes(values), np.zeros(-(-max(n, 1) // 64) * 64, np.uint8)
     lanes[:n] = 1
     lanes = np.packbits(lanes, bitorder="little").view("<u8").copy()
     links, at_word = [], 0
@@ -174,14 +186,31 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         held: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
+        pairs = 0
+
+        def rows(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            linked = np.concatenate([np.empty((0, 2), np.uint64), *found]).view(np.int64)
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(linked[:, 0]), pa.array(linked[:, 1])], names=["u", "v"])
+
+        def compared() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting, pairs
+            yield from rows([x[near] for x, near in zip(waiting, small_links(waiting, radius))])
+            waiting, pairs = [], 0
 
-        def out() -> pa.RecordBatch | None:
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal held, pairs
             values = np.concatenate(held).view(np.uint64) if held else np.empty(0, np.uint64)
-            found = spanning_links(values, radius) if len(values) > 1 else []
-            if not found:
-                return None
-            pairs = values.view(np.int64)[np.array(found)]
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            held = []
+            if len(values) > SMALL:
+                found = spanning_links(values, radius)
+                yield from rows([values[np.array(found)]] if found else [])
+            elif len(values) > 1:
+                waiting.append(values)
+                pairs += len(values) * (len(values) - 1) // 2
+                if pairs >= PAIRS:
+                    yield from compared()
 
         for batch in batches:
             if not batch.num_rows:
@@ -191,12 +220,11 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             starts = [0, *change.tolist(), batch.num_rows]
             for a, b in zip(starts, starts[1:]):
                 if now != (this := tuple(int(x[a]) for x in cell)):
-                    if (done := out()) is not None:
-                        yield done
-                    now, held = this, []
+                    yield from close()
+                    now = this
                 held.append(fps[a:b])
-        if (done := out()) is not None:
-            yield done
+        yield from close()
+        yield from compared()
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -209,16 +237,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     equal ids with other texts each keep a row. Other columns are ignored. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    prints = written(fingerprints(docs, id_column, text_column), "fingerprints")
-    return prints.join(_named(prints, radius), "fp").select("id", "fp", "component_id")
+    with temporary() as keep:
+        prints = keep(written(fingerprints(docs, id_column, text_column), "fingerprints"))
+        named = keep(_named(prints, radius))
+    return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
 def _named(prints: DataFrame, radius: int) -> DataFrame:
     """Rows (fp, component_id): each fingerprint of ``prints`` with the smallest id it is linked to."""
     groups = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = written(links(groups.select("fp"), radius), "links")
-    joined = connected_components(edges)
-    drop_written(edges)
+    joined = connected_components(written(links(groups.select("fp"), radius), "links"))
     classes = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     return written(classes.join(least, "component").select("fp", "component_id"), "classes")
@@ -232,9 +260,10 @@ def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     small_batches(docs.sparkSession)
     marked = docs.withColumn("__row", F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash")))
-    prints = written(fingerprints(marked, "__row", text_column).select("id.id", "id.text_hash", "fp"), "fingerprints")
-    found = prints.join(_named(prints, RADIUS), "fp").where("id <> component_id")
-    gone = written(found.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "near-duplicates")
+    with temporary() as keep:
+        prints = written(fingerprints(marked, "__row", text_column).select("id.id", "id.text_hash", "fp"), "fingerprints")
+        found = prints.join(_named(prints, RADIUS), "fp").where("id <> component_id")
+        gone = keep(written(found.select(F.col("id").alias("__gone"), F.col("text_hash").alias("__text")).distinct(), "near-duplicates"))
     same = (docs[id_column] == gone["__gone"]) & (F.xxhash64(docs[text_column]) == gone["__text"])
     return docs.join(bounded_broadcast(gone), same, "left_anti")
 

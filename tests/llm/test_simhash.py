@@ -78,6 +78,25 @@ def test_within_gives_up_nothing_too_early():
         assert bits == [i for i, v in enumerate(values.tolist()) if (v ^ query).bit_count() <= radius]
 
 
+def test_small_buckets_go_through_planes(monkeypatch):
+    rng = random.Random(6)
+    buckets = []
+    for _ in range(300):
+        base = rng.getrandbits(64)
+        buckets.append(np.array(list({base ^ 1 << rng.randrange(64) ^ rng.choice([0, 1, 6]) << rng.randrange(60) for _ in range(rng.randrange(7))}), np.uint64))
+    calls = []
+    inner = simhash.within
+    monkeypatch.setattr(simhash, "within", lambda planes, *rest: calls.append(planes.shape) or inner(planes, *rest))
+    found = simhash.small_links(buckets)
+    for values, near in zip(buckets, found):
+        numbers = values.tolist()
+        brute = {(a, b) for b in range(len(numbers)) for a in range(b) if (numbers[a] ^ numbers[b]).bit_count() <= 2}
+        assert {tuple(x) for x in near.tolist()} == brute
+    pairs = sum(len(x) * (len(x) - 1) // 2 for x in buckets)
+    assert calls == [(64, -(-pairs // 64))]
+    assert all(len(x) == 0 for x in simhash.small_links([np.empty(0, np.uint64), np.array([5], np.uint64)]))
+
+
 def brute_components(rows):
     prints = [plain_fingerprint(t or "") for _, t in rows]
     pairs = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
@@ -112,6 +131,15 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert {tuple(r) for r in simhash.op7_simhash_near_dedup(spark, sf_dir).collect()} == expected
 
 
+def test_long_texts_and_empty_tables(spark):
+    long = "word " * 400_000
+    rows = [(1, long), (2, long + "x"), (3, "word " * 3)]
+    found = {r.id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].fp & (1 << 64) - 1 == plain_fingerprint("word " * 3) and {r.component_id for r in found.values()} == {1}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
 def test_texts_of_one_id_go_with_their_own_group(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
     rows = [(1, one), (5, one), (5, two), (6, two), (None, two)]
