@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_broadcast, table, written
+from .common import bounded_broadcast, table, temporary, written
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints link at so many differing bits at most. Of windows with similarity 0.8 or more, all but some 2 in 10,000
@@ -89,15 +89,20 @@ def anchors_of(items: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
-    """Rows (doc_id, words, hits): documents with the places (from 0) and hashes of the item shingles in them."""
-    few = [r[0] for r in anchors.select("shingle").distinct().limit(INLINE + 1).collect()]
+    """Rows (doc_id, text_hash, words, hits): documents with the places (``at``, from 0) of the item shingles in them, and how
+    many words (``reach``) the longest item has that is anchored there."""
+    reaches = anchors.groupBy("shingle").agg(F.max("n").alias("reach"))
+    few = sorted(map(tuple, reaches.limit(INLINE + 1).collect()))
     if not few:
-        return docs.where("false").withColumn("hits", F.array().cast("array<int>"))
+        return docs.where("false").withColumn("hits", F.array().cast("array<struct<at:int,reach:int>>"))
     if len(few) <= INLINE:
-        known = ", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in sorted(few))
+        literal = lambda x: f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"
+        known = ", ".join(literal(x) for x, _ in few)
+        reach = f"map_from_arrays(array({known}), array({', '.join(str(n) for _, n in few)}))"
         parts = [
-            f"""IF(size(words) < {g}, CAST(array() AS array<int>),
-                   filter(sequence(0, size(words) - {g}), i -> xxhash64(slice(words, i + 1, {g})) IN ({known})))"""
+            f"""IF(size(words) < {g}, CAST(array() AS array<struct<at:int,reach:int>>), transform(
+                  filter(sequence(0, size(words) - {g}), i -> xxhash64(slice(words, i + 1, {g})) IN ({known})),
+                  i -> named_struct('at', i, 'reach', {reach}[xxhash64(slice(words, i + 1, {g}))])))"""
             for g in sizes
         ]
         found = F.expr(parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})")
@@ -105,12 +110,14 @@ def _hits(docs: DataFrame, anchors: DataFrame, sizes: list[int]) -> DataFrame:
     places = None
     for g in sizes:
         shingles = F.when(F.size("words") >= g, shingles_of(F.col("words"), F.lit(g)))
-        rows = docs.select("doc_id", F.posexplode(shingles).alias("at", "shingle")).join(anchors.select("shingle").distinct(), "shingle", "left_semi")
+        rows = docs.select("doc_id", "text_hash", F.posexplode(shingles).alias("at", "shingle")).join(reaches, "shingle")
         places = rows if places is None else places.union(rows)
-    grouped = written(places.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("at").alias("hits")), "hits")
-    ids = bounded_broadcast(grouped.select(F.col("__id").alias("__hit")))
-    docs = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__hit"]), "left_semi")
-    return docs.join(grouped, docs["doc_id"].eqNullSafe(grouped["__id"])).drop("__id")
+    lists = F.collect_set(F.struct("at", "reach")).alias("hits")
+    grouped = written(places.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).agg(lists), "hits")
+    same = lambda other: docs["doc_id"].eqNullSafe(other["__id"]) & (docs["text_hash"] == other["__text"])
+    ids = bounded_broadcast(grouped.select("__id", "__text"))
+    docs = docs.join(ids, same(ids), "left_semi")
+    return docs.join(grouped, same(grouped)).drop("__id", "__text")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,19 +126,19 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: s
     items = items.select("item_id", "words", F.size("words").alias("n"), shingles_of(F.col("words"), F.lit(SHINGLE_WORDS)).alias("shingles"))
     items = written(with_fingerprint(items, "words").distinct(), "items")
     anchors = written(anchors_of(items), "anchors")
-    shape = items.agg(F.max("n"), F.collect_set(F.least("n", F.lit(SHINGLE_WORDS)))).first()
-    longest, sizes = shape[0] or 0, sorted(shape[1]) or [SHINGLE_WORDS]
+    sizes = sorted(items.agg(F.collect_set(F.least("n", F.lit(SHINGLE_WORDS)))).first()[0]) or [SHINGLE_WORDS]
     texts = computed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), words=words_of(F.col("text")), text_hash=F.xxhash64("text")).drop("text")
     hits = _hits(texts, anchors, sizes)
-    # What a hit needs of the text goes along with it, so no text is joined again.
+    # What a hit needs of the text goes along with it, as far as its own items reach, so no text is joined again.
     around = F.expr(f"""
-      transform(hits, p -> named_struct('p', p, 'base', greatest(p - {longest}, 0), 'near', slice(words, greatest(p - {longest}, 0) + 1, {2 * longest + SHINGLE_WORDS})))""")
+      transform(hits, h -> named_struct('p', h.at, 'reach', h.reach, 'base', greatest(h.at - h.reach, 0),
+                                        'near', slice(words, greatest(h.at - h.reach, 0) + 1, 2 * h.reach + {SHINGLE_WORDS})))""")
     near = hits.select("doc_id", "text_hash", F.explode_outer(around).alias("h")).where("h IS NOT NULL").select("doc_id", "text_hash", "h.*")
     keyed = None
     for g in sizes:
         own = near.withColumn("shingle", F.xxhash64(F.expr(f"slice(near, p - base + 1, {g})"))).where(F.expr(f"size(near) - (p - base) >= {g}"))
         known = anchors.where(F.least("n", F.lit(SHINGLE_WORDS)) == g).select("shingle", "n").distinct()
-        found = own.join(bounded_broadcast(known), "shingle")
+        found = own.join(bounded_broadcast(known), "shingle").where("n <= reach")
         keyed = found if keyed is None else keyed.union(found)
     # All windows of n words that hold the hit, but for those that hold the hit before, too.
     first = F.greatest(F.col("p") - F.col("n") + F.least("n", F.lit(SHINGLE_WORDS)), F.lit(0))
@@ -175,17 +182,24 @@ def contaminated(
     give one row for each item, as do equal items with other ids. Other columns are ignored; empty tables give an empty
     result.
     """
-    found = _leaks(docs, benchmark, id_column, text_column, item_column, item_text)
-    best = found.groupBy("doc_id", "item_id").agg(F.min("best").alias("best"))
-    return best.select(
-        "doc_id", "item_id", F.col("best.start").alias("start_word"), F.col("best.size").alias("n_words"), "best.distance", (-F.col("best.minus")).alias("similarity")
-    )
+    with temporary() as keep:
+        found = _leaks(docs, benchmark, id_column, text_column, item_column, item_text)
+        best = found.groupBy("doc_id", "item_id").agg(F.min("best").alias("best"))
+        best = best.select(
+            "doc_id", "item_id", F.col("best.start").alias("start_word"), F.col("best.size").alias("n_words"), "best.distance", (-F.col("best.minus")).alias("similarity")
+        )
+        return keep(written(best, "leaks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without those that leak an item of ``benchmark``; other texts of their ids and all columns stay."""
-    found = _leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
-    found = written(found, "leaks")
+    """``docs`` without those that leak an item of ``benchmark``; all columns stay.
+
+    A row goes by its id (null is an id, too) and its text, so other texts of an id stay and repeated rows go together. Null
+    and empty texts stay, as do all rows if the benchmark is empty; an empty table stays empty.
+    """
+    with temporary() as keep:
+        found = _leaks(docs, benchmark, id_column, text_column).select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__text")).distinct()
+        found = keep(written(found, "leaks"))
     same = docs[id_column].eqNullSafe(found["__gone"]) & (F.xxhash64(docs[text_column]) == found["__text"])
     return docs.join(bounded_broadcast(found), same, "left_anti")
 
