@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pipeline
 from .chat import OP10_SQL, op10_chat_formatting
 from .decontaminate import OP1_SQL, op1_benchmark_decontamination
 from .gif import op2_gif_media
@@ -31,9 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_packing": op8_hilbert_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op10_chat_formatting": OP10_SQL}
+    found = {"op1_benchmark_decontamination": OP1_SQL, "op10_chat_formatting": OP10_SQL, "pipeline": pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
