@@ -1,70 +1,5 @@
-"""A corpus pipeline of five stages, each calling one operator of ``sablefin.llm``.
+"""The corpus pipeline: its stages, the function that applies them all, and the SQL of its rows (None: SQL cannot express it)."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame. What a stage returns is written as Parquet and read again
-as the next one's ``docs``; all but the last return the columns of ``documents``.
-"""
+from sablefin.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sablefin.llm import decontaminate, packing, simhash, substrings, toxicity
-from sablefin.llm.common import bounded_broadcast, drop_written, is_held_out, table, written
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject (score below 0.5).
-
-    It learns from labelled documents that are not held out; rejected documents go by id, rows with a null id by their
-    own text. Clean documents stay, labels or not.
-    """
-    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~is_held_out(5, 0)))
-    marked = docs.withColumn("__row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    found = toxicity.classify(marked, model, id_column="__row").where("predicted = 1")
-    gone = written(found.select(F.col("id.doc_id").alias("__id"), F.col("id.text_hash").alias("__text")).distinct(), "toxic")
-    same = marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__row.text_hash"] == gone["__text"])
-    return marked.join(bounded_broadcast(gone), same, "left_anti").select(*docs.columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.keep_first(docs)
-
-
-def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; those that consist of such passages go."""
-    return substrings.remove_passages(docs)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed token sequences."""
-    return packing.pack(docs).withColumnRenamed("id", "doc_id")
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("substring_dedup", cut_repeated_passages),
-    ("decontamination", drop_leaks),
-    ("packing", pack),
-]
-
-#: SQL can express neither a trained classifier nor the hashes and the tokenizer used here; tests/llm holds the stages
-#: against brute force instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        after = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_written(docs)  # nothing reads it any more
-        docs = after
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
