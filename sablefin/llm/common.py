@@ -12,7 +12,7 @@ from sablefin.sources.scratch import drop_written, shared_dir, temporary, writte
 from sablefin.sources.workers import reach_package
 
 __all__ = [
-    "bounded_broadcast", "buffers", "cells", "drop_written", "is_held_out", "sampled", "shared_dir", "small_batches", "table", "temporary",
+    "bounded_broadcast", "buffers", "cells", "drop_written", "hot_join", "is_held_out", "sampled", "shared_dir", "small_batches", "table", "temporary",
     "utf8", "written",
 ]
 
@@ -65,6 +65,24 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows that one key may have in a shuffle join.
+HOT_ROWS = 1 << 12
+
+
+def hot_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left_semi) with ``found``, which has each key once and, in ``many``, how many of ``rows`` have it.
+
+    Keys above ``HOT_ROWS`` are joined by broadcast, so that no task gets all rows of a hot key, and the others by shuffle.
+    They are counted first; were there too many of them to broadcast, AQE would have to split them.
+    """
+    hot = found.where(F.col("many") > HOT_ROWS)
+    count = hot.limit(BROADCAST_ROWS + 1).count()
+    if not 0 < count <= BROADCAST_ROWS:
+        return rows.join(found.drop("many"), key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("many") <= HOT_ROWS).drop("many"), key, how)
+    return rows.join(F.broadcast(hot.drop("many")), key, how).union(cold)
+
+
 def cells(keyed: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
     """Rows (*keys, a, b, item, n): buckets of ``keyed`` with at least two items, cut into cells of bounded size.
 
