@@ -1,4 +1,4 @@
-"""Command line: detect, obfuscate, analyze and profile CSV files."""
+"""Command line: detect, obfuscate, restore, analyze and profile CSV files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablefin.errors import ConfigError
 from sablefin.functions.patterns import PatternSet, load_patterns, save_patterns
 from sablefin.operators import score
 from sablefin.plans.api import Sablefin
@@ -16,14 +17,15 @@ from sablefin.sources import tables
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="sablefin", description=__doc__)
     verbs = out.add_subparsers(dest="verb", required=True)
-    for name in ("detect", "obfuscate", "analyze", "profile"):
+    for name in ("detect", "obfuscate", "restore", "analyze", "profile"):
         verb = verbs.add_parser(name)
         verb.add_argument("file")
         verb.add_argument("--key", default="id", help="column that tells rows apart")
         verb.add_argument("--output", help="where to write; rows are shown otherwise")
         verb.add_argument("--format", choices=["json", "csv", "parquet"], default="json")
         verb.add_argument("--patterns", help="JSON file of rules")
-        verb.add_argument("--columns", help="names, separated by commas")
+        verb.add_argument("--columns", help="names, separated by commas; obfuscate and restore take all columns but the key without them")
+        verb.add_argument("--dictionary", help="folder of the tokens' dictionary (Parquet): obfuscate writes it, restore needs it")
         verb.add_argument("--rows", type=int, default=10_000, help="rows to sample")
         verb.add_argument("--dry-run", action="store_true")
     return out
@@ -42,7 +44,13 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
             kinds = {r.pattern_type for r in found.select("pattern_type").collect()}
             save_patterns(PatternSet(p for p in library.patterns if p.pattern_type in kinds), args.patterns)
     elif args.verb == "obfuscate":
-        found, _ = library.obfuscate(df, args.key, (columns or [df.columns[-1]])[0])
+        found, tokens = library.obfuscate(df, args.key, columns)
+        if args.dictionary and not args.dry_run:
+            tables.write(tokens, args.dictionary, "parquet")
+    elif args.verb == "restore":
+        if not args.dictionary:
+            raise ConfigError("restore needs --dictionary")
+        found = library.restore(df, args.key, columns or [c for c in df.columns if c != args.key], spark.read.parquet(args.dictionary))
     elif args.verb == "analyze" and args.dry_run:
         seconds, cost = score.dry_run(F.count("*"), len(columns or df.columns))
         found = df.agg(seconds.alias("estimated_time_seconds"), cost.alias("estimated_cost_usd"))

@@ -47,6 +47,6 @@ def masked(sample: Column) -> Column:
     return F.when(F.length(sample) <= 4, short).otherwise(F.concat(F.left(sample, F.lit(2)), F.lit("***"), F.right(sample, F.lit(2))))
 
 
-def guarded(text: Column, changed: Column) -> Column:
+def guarded(text: Column, changed: Column, most_bytes: int = MAX_TEXT_BYTES) -> Column:
     """``changed``, or the text itself if it is too long for the text engines."""
-    return F.when(F.octet_length(text) > MAX_TEXT_BYTES, text).otherwise(changed)
+    return F.when(F.octet_length(text) > most_bytes, text).otherwise(changed)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # How much longer a kind of analysis takes, tokens for a cell, cost of a thousand tokens, cells a second.
 MULTIPLIERS = {"sentiment": 1.0, "entity": 1.5, "classification": 0.8}
@@ -48,6 +49,28 @@ def regression(requests: DataFrame, samples: DataFrame) -> DataFrame:
     return out.select(*requests.columns, "seconds", "lower", "upper")
 
 
+#: Finished runs of a kind that rates are taken from.
+SAMPLE_RUNS = 1000
+
+
+def recent(history: DataFrame, order: list[str], most: int = SAMPLE_RUNS) -> DataFrame:
+    """The last ``most`` rows of each kind by ``order``, whose columns must tell a kind's rows apart."""
+    place = F.row_number().over(Window.partitionBy("chain_type").orderBy(*(F.desc(c) for c in order)))
+    return history.withColumn("__place", place).where(F.col("__place") <= most).drop("__place")
+
+
+def recorded(history: DataFrame, actual: DataFrame) -> DataFrame:
+    """``history`` with the actual seconds of runs (id, actual_seconds) that have ended; those that had some keep theirs."""
+    ended = actual.groupBy("id").agg(F.max("actual_seconds").alias("__ended"))
+    joined = history.join(ended, "id", "left")
+    return joined.withColumn("actual_seconds", F.coalesce("actual_seconds", "__ended")).select(*history.columns)
+
+
+def kept(history: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """The history without what is older than ``days``."""
+    return history.where(F.col("created_at") >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
 def similar(history: DataFrame, rows: int, columns: int, chain: str, now: Column, k: int = 5, days: int = 30) -> DataFrame:
     """The k runs of a kind in the last days that are nearest in rows and columns, with their distance."""
     away = F.abs(F.col("row_count") - rows) + F.abs(F.col("column_count") - columns)

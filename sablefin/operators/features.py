@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sablefin.errors import ColumnError, ModelError
+from sablefin.sources.workers import reach_package
+
 HEADER_SIZE, HASH_SIZE = 300, 64
 
 # Words in a column's name that point to prose, and how much each kind of column counts.
@@ -71,14 +77,19 @@ def entropies(df: DataFrame) -> DataFrame:
     entropy of two characters on end; and the chance that two characters drawn differ.
     """
 
-    def of(n: int, name: str) -> DataFrame:
-        counts = ngram_counts(df, n)
+    chars = characters(F.col("value"))
+    # Each character with the next one, which the last has not: one row for both kinds of counts.
+    beside = F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))).alias("b"))
+    seen = df.select("column_name", F.explode(beside).alias("g")).groupBy("column_name", F.col("g.a").alias("a"), F.col("g.b").alias("b")).agg(F.count("*").alias("n"))
+
+    def of(counts: DataFrame, name: str) -> DataFrame:
         total = counts.groupBy("column_name").agg(
             F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("weighted"), F.count("*").alias("kinds"), F.sum(F.col("n").cast("double") * (F.col("n") - 1)).alias("pairs")
         )
         return total.select("column_name", (F.log2("all") - F.col("weighted") / F.col("all")).alias(name), F.col("kinds").alias(f"{name}_kinds"), F.col("all").alias(f"{name}_all"), F.col("pairs").alias(f"{name}_pairs"))
 
-    both = of(1, "entropy").join(of(2, "rate"), "column_name", "left")
+    single = seen.groupBy("column_name", "a").agg(F.sum("n").alias("n"))
+    both = of(single, "entropy").join(of(seen.where("b IS NOT NULL"), "rate"), "column_name", "left")
     kinds, total = F.col("entropy_kinds"), F.col("entropy_all").cast("double")
     normal = F.when(kinds > 1, F.least(F.col("entropy") / F.log2(kinds), F.lit(1.0))).otherwise(F.lit(0.0))
     simpson = F.when(total > 1, 1 - F.col("entropy_pairs") / (total * (total - 1))).otherwise(F.lit(0.0))
@@ -143,6 +154,30 @@ def classify(df: DataFrame) -> DataFrame:
     return once.select("column_name", kind.alias("column_type"), F.round(sure, 6).alias("confidence"))
 
 
+def classify_by_model(df: DataFrame, model: Callable[[list[list[float]]], list[list[float]]], kinds: list[str]) -> DataFrame:
+    """Rows (column_name, column_type, confidence) by a model that gives each feature vector the probabilities of ``kinds``.
+
+    The most likely kind counts, the first one of equals. Where the model fails, or gives no probability for each kind, the
+    rules of :func:`classify` decide. Columns are few: a task hands all vectors of its rows to the model at once.
+    """
+    reach_package(df.sparkSession)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            try:
+                found = [list(map(float, row)) for row in model([list(x) for x in frame["features"]])] if len(frame) else []
+                if len(found) != len(frame) or any(len(row) != len(kinds) for row in found):
+                    raise ModelError("a probability for each kind is needed")
+                best = [max(range(len(kinds)), key=lambda i: row[i]) for row in found]
+                yield pd.DataFrame({"column_name": frame["column_name"], "model_type": [kinds[i] for i in best], "sure": [row[i] for row, i in zip(found, best)]})
+            except Exception:  # whatever a model raises
+                yield pd.DataFrame({"column_name": frame["column_name"], "model_type": None, "sure": None})
+
+    by_model = feature_vectors(df).mapInPandas(run, "column_name string, model_type string, sure double")
+    joined = classify(df).join(by_model, "column_name", "left")
+    return joined.select("column_name", F.coalesce("model_type", "column_type").alias("column_type"), F.round(F.coalesce("sure", "confidence"), 6).alias("confidence"))
+
+
 def type_scores(classified: DataFrame) -> DataFrame:
     """``classified`` with ``ml_score``: the confidence, weighted by the kind."""
     weights = F.create_map(*(F.lit(x) for item in TYPE_WEIGHTS.items() for x in item))
@@ -168,7 +203,7 @@ def auto_discover(columns: list[str]) -> list[str]:
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> None:
-    """Raise :class:`KeyError` for columns that are not there."""
+    """Raise :class:`ColumnError`, a KeyError, for columns that are not there."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"no such columns: {', '.join(missing)}")
+        raise ColumnError(f"no such columns: {', '.join(missing)}")

@@ -6,16 +6,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sablefin.sources.scratch import drop_written, written
+from sablefin.errors import DimensionError, ValidationError
+from sablefin.sources.scratch import drop_written, temporary, written
 from sablefin.sources.workers import reach_package
 
 DAMPING, TOLERANCE = 0.85, 1e-4
-#: Vectors that may be sent to every executor as queries.
-MAX_QUERIES = 100_000
+#: Queries, and bytes of their vectors, that are sent to every executor at once; more are searched for in blocks.
+MAX_QUERIES, QUERY_BYTES = 100_000, 128 << 20
+#: Queries whose distances from a batch of rows are held at once.
+QUERY_CHUNK = 1024
+#: Nodes and links that one task ranks by itself.
+SMALL_GRAPH = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,8 +70,17 @@ def pairs(nodes: DataFrame) -> DataFrame:
     return left.join(right, F.col("a") < F.col("b"))
 
 
+#: Nodes of a graph whose pairs are all compared: the columns of a schema.
+MAX_NODES = 20_000
+
+
 def similarity_graph(nodes: DataFrame, vector: str = "embedding", threshold: float = 0.4) -> DataFrame:
-    """Edges (src, dst, weight) between nodes whose vectors' cosine is at least ``threshold``."""
+    """Edges (src, dst, weight) between nodes whose vectors' cosine is at least ``threshold``.
+
+    For graphs of columns: more than ``MAX_NODES`` nodes raise :class:`ValidationError`, as all pairs are compared.
+    """
+    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
+        raise ValidationError(f"more than {MAX_NODES} nodes")
     found = pairs(nodes.select("id", vector)).withColumn("weight", cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b")))
     return prune(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), threshold)
 
@@ -104,11 +119,52 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = 100, normalise: bool = True) -> DataFrame:
     """Rows (id, rank) along links (src, dst, share): a node hands ``share`` of its rank on, and starts with 1 by the number.
 
-    Each round is one join and one aggregation with map-side combine. Ranks are written every five rounds, so lineage stays
-    short, and only then is the largest change looked at. What nodes without links have is not dealt out again.
+    Every five rounds the largest change is looked at. What nodes without links have is not dealt out again. A graph counted
+    to be small, as graphs of columns are, is ranked by one task; of a larger one each round is one join and one
+    aggregation with map-side combine, and ranks are written every five rounds, so lineage stays short.
     """
-    links = written(links, "links")
     total = nodes.count()
+    small = nodes.select("id").limit(SMALL_GRAPH + 1).count() + links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH
+    if small:
+        ranks = _ranked_by_one_task(nodes.select("id").distinct(), links, total, damping, tolerance, most)
+    else:
+        with temporary() as keep:
+            ranks = keep(_ranked_by_joins(nodes, links, total, damping, tolerance, most))
+    if not normalise:
+        return ranks
+    return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("all")))).select("id", (F.col("rank") / F.col("all")).alias("rank"))  # one row
+
+
+def _ranked_by_one_task(ids: DataFrame, links: DataFrame, total: int, damping: float, tolerance: float, most: int) -> DataFrame:
+    kind = ids.schema["id"].dataType.simpleString()
+    reach_package(ids.sparkSession)
+    rows = ids.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("share"))
+    rows = rows.union(links.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("share").cast("double")))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        share = table.column("share")
+        names = table.column("src").filter(share.is_null()).combine_chunks()
+        edges = table.filter(share.is_valid())
+        at = [pc.fill_null(pc.index_in(edges.column(c), value_set=names), -1).to_numpy() for c in ("src", "dst")]
+        inside = (at[0] >= 0) & (at[1] >= 0)
+        src, dst, given = at[0][inside], at[1][inside], edges.column("share").to_numpy()[inside]
+        rank = np.full(len(names), 1.0 / max(total, 1))
+        for i in range(1, most + 1):
+            before = rank
+            rank = (1 - damping) / max(total, 1) + damping * np.bincount(dst, rank[src] * given, len(names))
+            if i % 5 == 0 and (not len(rank) or np.abs(rank - before).max() < tolerance):
+                break
+        yield pa.RecordBatch.from_arrays([names, pa.array(rank)], names=["id", "rank"])
+
+    return rows.coalesce(1).mapInArrow(run, f"id {kind}, rank double")
+
+
+def _ranked_by_joins(nodes: DataFrame, links: DataFrame, total: int, damping: float, tolerance: float, most: int) -> DataFrame:
+    links = written(links, "links")
     ids = written(nodes.select("id").distinct(), "nodes")
     ranks = ids.withColumn("rank", F.lit(1.0 / max(total, 1)))
     kept = None
@@ -124,9 +180,7 @@ def pagerank(nodes: DataFrame, links: DataFrame, damping: float = DAMPING, toler
             kept = ranks
             if change is None or change < tolerance:
                 break
-    if not normalise:
-        return ranks
-    return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("all")))).select("id", (F.col("rank") / F.col("all")).alias("rank"))  # one row
+    return ranks
 
 
 def undirected_links(edges: DataFrame) -> DataFrame:
@@ -170,41 +224,104 @@ def from_json(df: DataFrame, id_type: str = "int") -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (query_id, place, id, distance): the k nearest rows by Euclidean distance, exactly; of equals the smallest id.
 
-    Every executor gets the queries (at most ``MAX_QUERIES``, which is checked) and keeps the best k of its rows for each,
-    in blocks; these are at most k rows for each query and partition, of which the best k are taken. Vectors of another
-    length than a query's raise an error; rows with a null vector are passed over.
+    Queries are counted and sent to the executors in blocks of at most ``MAX_QUERIES`` and about ``QUERY_BYTES``. Each
+    partition keeps its best k for each query, which are at most k rows for each query and partition, of which the best k
+    are taken. Vectors of another length than the queries' raise :class:`DimensionError`; rows with a null vector are passed
+    over; without rows or queries there is no result.
     """
     reach_package(vectors.sparkSession)
-    held = queries.select(id_column, vector).where(F.col(vector).isNotNull()).orderBy(id_column).limit(MAX_QUERIES + 1).collect()
-    if len(held) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search in several calls")
-    wanted = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), [list(r[1]) for r in held]))
+    wanted = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    count, least, most = wanted.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if least != most:
+        raise DimensionError(f"queries of lengths {least} to {most}")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    blocks = max(-(-count // MAX_QUERIES), -(-count * 8 * (most or 0) // QUERY_BYTES), 1)
+    found = None
+    for block in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        some = _nearest_to(rows, own, k)
+        found = some if found is None else found.union(some)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "distance")
+
+
+def _nearest_to(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, id, distance) with each partition's best k for each of the queries.
+
+    Squared distances from a whole batch come out of one matrix product, up to rounding; the distances of what may be among
+    the best are then computed exactly.
+    """
+    held = queries.orderBy("id").toArrow()
+    points = held.column("v").combine_chunks().flatten().to_numpy().reshape(held.num_rows, -1) if held.num_rows else np.empty((0, 0))
+    shared = rows.sparkSession.sparkContext.broadcast((held.column("id").to_numpy(), points))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows = wanted.value
-        points = np.array(rows, np.float64)
-        best = [(np.empty(0), np.empty(0, np.int64))] * len(names)
+        names, points = shared.value
+        best = np.full((len(names), k), np.inf)
+        known = np.full((len(names), k), np.iinfo(np.int64).max)
+        sizes = (points**2).sum(axis=1)
         for batch in batches:
             if not batch.num_rows or not len(names):
                 continue
             ids = batch.column(0).to_numpy()
             lengths = set(np.diff(batch.column(1).offsets.to_numpy()).tolist())
             if lengths != {points.shape[1]}:
-                raise ValueError(f"vectors of length {sorted(lengths)}, queries of length {points.shape[1]}")
-            block = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
-            for i, point in enumerate(points):
-                away = np.concatenate((best[i][0], np.sqrt(((block - point) ** 2).sum(axis=1))))
-                known = np.concatenate((best[i][1], ids))
-                if len(away) > 4 * k:
-                    some = away <= np.partition(away, k - 1)[k - 1]
-                    away, known = away[some], known[some]
-                order = np.lexsort((known, away))[:k]
-                best[i] = away[order], known[order]
-        for name, (away, known) in zip(names.tolist(), best):
-            if len(away):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(away), name)), pa.array(known), pa.array(away)], names=["query_id", "id", "distance"])
-
-    rows = vectors.select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull())
-    found = rows.mapInArrow(run, "query_id long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "id", "distance")
+                raise DimensionError(f"vectors of length {sorted(lengths)}, queries of length {points.shape[1]}")
+            block = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            squares = (block**2).sum(axis=1)
+            for at in range(0, len(names), QUERY_CHUNK):
+                some = slice(at, at + QUERY_CHUNK)
+                about = squares[:, None] - 2 * block @ points[some].T + sizes[some]
+                bound = best[some, -1] ** 2
+                if len(ids) >= k:
+                    bound = np.minimum(bound, np.partition(about, k - 1, axis=0)[k - 1])
+                slack = 1e-9 * (squares.max() + sizes[some] + 1)
+                row, column = np.nonzero(about <= bound + slack)
+                away = np.empty(len(row))
+                for part in range(0, len(row), 1 << 16):  # few of all pairs
+                    cut = slice(part, part + (1 << 16))
+                    away[cut] = np.sqrt(((block[row[cut]] - points[at + column[cut]]) ** 2).sum(axis=1))
+                width = len(best[some])
+                every = np.concatenate((np.repeat(np.arange(width), k), column))
+                distance, name = np.concatenate((best[some].ravel(), away)), np.concatenate((known[some].ravel(), ids[row]))
+                order = np.lexsort((name, distance, every))
+                first = np.searchsorted(every[order], np.arange(width))
+                taken = order[first[:, None] + np.arange(k)]
+                best[some], known[some] = distance[taken], name[taken]
+        at, place = np.nonzero(np.isfinite(best))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(known[at, place]), pa.array(best[at, place])], names=["query_id", "id", "distance"])
+
+    return rows.mapInArrow(run, "query_id long, id long, distance double")
+
+
+def _dimension(vectors: DataFrame, vector: str) -> int | None:
+    """The one length that vectors have; None without any."""
+    least, most = vectors.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least != most:
+        raise DimensionError(f"vectors of lengths {least} to {most}")
+    return least
+
+
+def save_index(vectors: DataFrame, path: str, id_column: str = "vec_id", vector: str = "embedding", append: bool = False) -> None:
+    """Keep vectors as an index: rows (id, vector) in Parquet at ``path``, new or behind what is there.
+
+    All vectors must have one length, that of the index if it has any; rows with a null id or vector are left out.
+    """
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
+    size = _dimension(rows, "vector")
+    held = _dimension(load_index(vectors.sparkSession, path), "vector") if append else None
+    if size is not None and held is not None and size != held:
+        raise DimensionError(f"vectors of length {size}, an index of length {held}")
+    rows.write.mode("append" if append else "errorifexists").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows (id, vector) of an index, to be given to :func:`search_index` and counted for its size."""
+    return spark.read.schema("id long, vector array<float>").parquet(path)
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows of :func:`nearest` among the rows of an index; none if the index is empty."""
+    named = queries.select(F.col(id_column).alias("id"), F.col(vector).alias("vector"))
+    return nearest(index, named, k, "id", "vector")

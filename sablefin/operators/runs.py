@@ -22,6 +22,11 @@ def latest(df: DataFrame, key: list[str], at: str, tie: list[str]) -> DataFrame:
     return last.select(*key, "last.*").select(*df.columns)
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to a table of the store: one run, one log line, or many."""
+    df.write.mode("append").parquet(path)
+
+
 def page(df: DataFrame, order: list[Column | str], offset: int, size: int = 1000) -> DataFrame:
     """Rows ``offset`` to ``offset + size`` along an order."""
     return df.orderBy(*order).offset(offset).limit(size)
@@ -107,3 +112,23 @@ def regressions(measured: DataFrame, baselines: DataFrame, tolerance: float = 0.
     once = measured.groupBy("operation").agg(F.avg("duration").alias("average"))
     out = once.join(F.broadcast(baselines), "operation").withColumn("ratio", F.col("average") / F.col("baseline"))  # a row for each operation
     return out.select("operation", F.round("average", 6).alias("average"), "baseline", F.round("ratio", 6).alias("ratio"), (F.col("ratio") > 1 + tolerance).alias("regressed"))
+
+
+def health(components: DataFrame, by: str, name: str, healthy: Column) -> DataFrame:
+    """Rows (by, components, unhealthy, status): ``healthy`` if all of its components are, else ``degraded``, with their names."""
+    once = components.groupBy(by).agg(F.count("*").alias("components"), F.array_join(F.sort_array(F.collect_set(F.when(~healthy, F.col(name)))), ",").alias("unhealthy"))
+    return once.withColumn("status", F.when(F.col("unhealthy") == "", "healthy").otherwise("degraded"))
+
+
+def cache_use(access: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """Rows (key, hits, misses, expired) of a cache's use: an access is a hit if the key was put or read at most ``seconds``
+    before, each of which renews its time; other accesses put it, and count as expired if it was there before."""
+    before = F.lag(at).over(Window.partitionBy(key).orderBy(at))
+    fresh = F.col(at) <= before + F.expr(f"INTERVAL {seconds} SECONDS")
+    marked = access.select(key, fresh.alias("fresh"))
+    return marked.groupBy(key).agg(F.count_if("fresh").alias("hits"), F.count_if(~F.coalesce("fresh", F.lit(False))).alias("misses"), F.count_if(~F.col("fresh")).alias("expired"))
+
+
+def invalidated(entries: DataFrame, prefix: str | None = None, key: str = "cache_key") -> DataFrame:
+    """What a cache keeps once the keys with a prefix are dropped; nothing without a prefix."""
+    return entries.where(F.lit(False)) if prefix is None else entries.where(~F.col(key).startswith(prefix))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sablefin.functions.patterns import LIBRARY, PATTERN_TYPES
+from sablefin.sources.scratch import temporary, written
 
 from .detect import match_count
 
@@ -81,27 +82,53 @@ def with_stop(progressed: DataFrame, window: int = STREAM_WINDOW, threshold: flo
     return progressed.withColumn("should_stop", settled)
 
 
+#: Values that a key's place in the order of parts can have.
+PLACES = 1 << 28
+
+
+def place_of(key: Column) -> Column:
+    """A key's place in the order of parts: 28 bits of a hash of the key as text."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def adaptive(df: DataFrame, key: str, columns: list[str], config: SamplingConfig | None = None, library: dict[str, list[str]] = LIBRARY) -> DataFrame:
     """Rows of :func:`progress` with ``should_stop``, from disjoint parts of growing size along a hash of the key.
 
-    Each part is a range of hash values, so it is a scan with a filter and no sort of all rows; parts are sized by the
-    number of rows, and the last one ends at ``most``. Scanning stops at the first part after which detection has settled.
+    Each part is a range of hash values; parts are sized by the number of rows, and the last one ends at ``most``. What all
+    parts together may need is written once, so the rows are scanned once, whatever their number. Reading stops at the first
+    part after which detection has settled. Rows with a null key are left out.
     """
     config = config or SamplingConfig()
+    spark = df.sparkSession
     total = df.count()
-    spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    rounds, done, size, found, history = 0, 0.0, float(config.least), None, []
-    while total and done < min(config.most, total):
-        upto = min(done + size, config.most, total)
-        part = df.where((spread >= int(done / total * (1 << 30))) & (spread < int(upto / total * (1 << 30)) + (upto == total)))
-        rows = batch_counts(part, F.lit(rounds), columns, library).collect()  # a row for each column and kind
-        held = df.sparkSession.createDataFrame(rows, "batch int, column_name string, pattern_type string, matches long, rows long")
-        found = held if found is None else found.union(held)
-        rounds, done, size = rounds + 1, upto, size * config.factor
-        history = with_stop(progress(found), config.window, config.threshold)
-        if history.where("should_stop").limit(1).count():
-            break
-    if found is None:
-        empty = df.sparkSession.createDataFrame([], "batch int, column_name string, pattern_type string, matches long, rows long")
-        return with_stop(progress(empty), config.window, config.threshold)
-    return history
+    end = min(config.most, total)
+    bound = lambda upto: int(upto / total * PLACES) + (upto == total)
+    place = place_of(F.col(key)).alias("__place")
+    history = None
+    with temporary():
+        drawn = written(df.select(*columns, place).where(F.col("__place") < bound(end)), "sample") if total else None
+        rounds, done, size, found = 0, 0.0, float(config.least), None
+        while total and done < end:
+            upto = min(done + size, end)
+            part = drawn.where((F.col("__place") >= bound(done)) & (F.col("__place") < bound(upto)))
+            rows = batch_counts(part, F.lit(rounds), columns, library).collect()  # a row for each column and kind
+            held = spark.createDataFrame(rows, _COUNTS)
+            found = held if found is None else found.union(held)
+            rounds, done, size = rounds + 1, upto, size * config.factor
+            history = with_stop(progress(found), config.window, config.threshold)
+            if history.where("should_stop").limit(1).count():
+                break
+    return with_stop(progress(spark.createDataFrame([], _COUNTS)), config.window, config.threshold) if history is None else history
+
+
+_COUNTS = "batch int, column_name string, pattern_type string, matches long, rows long"
+
+
+def with_strategy(history: DataFrame, most: int | None = None) -> DataFrame:
+    """``history`` with ``strategy``, a label of how far detection had read after each batch: ``EarlyStop`` if it had settled,
+    ``Fixed(n)`` if it had read the ``most`` rows it may, ``Progressive`` after the first batch, ``Adaptive`` after others."""
+    label = F.when(F.col("should_stop"), F.lit("EarlyStop"))
+    if most is not None:
+        label = label.when(F.col("rows_processed") >= most, F.lit(f"Fixed({most})"))
+    first = F.min("batch").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))  # a row for each batch
+    return history.withColumn("strategy", label.when(F.col("batch") == first, F.lit("Progressive")).otherwise(F.lit("Adaptive")))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from sablefin.errors import ModelError, RateLimitError, ScorerError, TimeoutExceeded
 from sablefin.sources.workers import reach_package
 
 # Keywords of sentiment.
@@ -33,15 +37,20 @@ def churn_score(customer_id: Column, tickets: Column, delays: Column) -> Column:
     return F.least(0.3 + F.coalesce(tickets, F.lit(0)) * 0.1 + F.coalesce(delays, F.lit(0)) * 0.15 + own, F.lit(1.0))
 
 
+# The sentences of a churn score's reasons.
+REASON_TICKETS, REASON_DELAYS = "High support contact (%d tickets)", "Payment delays (%d)"
+REASON_MANY, REASON_FEW, REASON_NONE = "Multiple risk indicators", "Good customer profile", "Standard risk assessment"
+
+
 def churn_reasoning(score: Column, tickets: Column, delays: Column) -> Column:
     reasons = F.array_compact(
         F.array(
-            F.when(tickets > 3, F.format_string("High support contact (%d tickets)", tickets)),
-            F.when(delays > 0, F.format_string("Payment delays (%d)", delays)),
-            F.when(score > HIGH_RISK, "Multiple risk indicators").when(score < 0.3, "Good customer profile"),
+            F.when(tickets > 3, F.format_string(REASON_TICKETS, tickets)),
+            F.when(delays > 0, F.format_string(REASON_DELAYS, delays)),
+            F.when(score > HIGH_RISK, REASON_MANY).when(score < 0.3, REASON_FEW),
         )
     )
-    return F.when(F.size(reasons) == 0, "Standard risk assessment").otherwise(F.array_join(reasons, ", "))
+    return F.when(F.size(reasons) == 0, REASON_NONE).otherwise(F.array_join(reasons, ", "))
 
 
 def risk_factors(tickets: Column, delays: Column) -> Column:
@@ -142,27 +151,128 @@ def number_after(text: Column, key: str) -> Column:
     return F.regexp_extract(text, f"{key}[^0-9]*([0-9]+)", 1).try_cast("long")
 
 
-def with_scorer(df: DataFrame, text_column: str, scorer: Callable[[list[str]], list[float]], batch: int = 10, per_second: float | None = None) -> DataFrame:
+def json_fields(text: Column, keys: list[str]) -> Column:
+    """A JSON object's values for ``keys`` as (field, text) structs, in this order; those that are not there are left out.
+
+    A text that is no JSON object has none.
+    """
+    parsed = F.from_json(text, F.lit("map<string,string>"))
+    pairs = F.array(*(F.struct(F.lit(k).alias("field"), F.try_element_at(parsed, F.lit(k)).alias("text")) for k in keys))
+    return F.when(parsed.isNull(), F.array().cast("array<struct<field:string,text:string>>")).otherwise(F.filter(pairs, lambda p: p["text"].isNotNull()))
+
+
+#: A customer's record in a prompt: the id, and the text up to the next one.
+CUSTOMER_ID = r"CUST-[0-9]{6}"
+
+
+def customer_records(prompt: Column) -> Column:
+    """The records of a prompt as (customer_id, support_tickets, payment_delays) structs: each begins with a customer's id and
+    goes on up to the next one; numbers that a record does not name are 0."""
+    ids = F.regexp_extract_all(prompt, F.lit(CUSTOMER_ID), F.lit(0))
+    bodies = F.slice(F.split(prompt, CUSTOMER_ID, -1), 2, F.greatest(F.size(ids), F.lit(1)))
+    number = lambda body, key: F.coalesce(number_after(body, key), F.lit(0).cast("long")).alias(key)
+    return F.zip_with(ids, bodies, lambda i, b: F.struct(i.alias("customer_id"), number(b, "support_tickets"), number(b, "payment_delays")))
+
+
+#: Words of a prompt that ask for an answer of a kind, the first kind with one counts; and what is then answered.
+CANNED = {
+    "medical": (["patient", "diagnosis", "medical"], {"risk_level": "moderate", "follow_up": "yes"}),
+    "fraud": (["fraud", "transaction", "merchant"], {"risk_score": "0.25", "flagged": "no"}),
+}
+GENERIC_ANSWER = {"status": "ok"}
+
+
+def canned_answer(prompt: Column) -> Column:
+    """(kind, answer as JSON) of a prompt, by its words; ``generic`` without any of them."""
+    low = F.lower(F.coalesce(prompt, F.lit("")))
+    row = lambda kind, answer: F.struct(F.lit(kind).alias("kind"), F.lit(json.dumps(answer)).alias("answer"))
+    out = row("generic", GENERIC_ANSWER)
+    for kind, (words, answer) in reversed(CANNED.items()):
+        out = F.when(_any(low, words), row(kind, answer)).otherwise(out)
+    return out
+
+
+class EndpointScorer:
+    """A scorer behind an HTTP endpoint, which gets ``{"texts": [...]}`` and answers ``{"scores": [...]}``.
+
+    429 is a :class:`RateLimitError` with the seconds of ``Retry-After``, no answer in time a :class:`TimeoutExceeded`, other
+    faults are :class:`ScorerError`.
+    """
+
+    def __init__(self, url: str, api_key: str | None = None, timeout: float = 30.0):
+        self.url, self.timeout, self._api_key = url, timeout, api_key
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self._api_key}"} if self._api_key else {})
+        request = urllib.request.Request(self.url, json.dumps({"texts": texts}).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                return list(json.load(answer)["scores"])
+        except urllib.error.HTTPError as e:
+            if e.code == 429:
+                wait = e.headers.get("Retry-After", "")
+                raise RateLimitError(retry_after=float(wait) if wait.replace(".", "", 1).isdigit() else None) from e
+            raise ScorerError(f"status {e.code}") from e
+        except TimeoutError as e:
+            raise TimeoutExceeded(f"no answer in {self.timeout} s") from e
+        except (urllib.error.URLError, KeyError, ValueError) as e:
+            raise ScorerError(type(e).__name__) from e
+
+
+def _scored(scorer: Callable[[list[str]], list[float]], texts: list[str], retries: int, wait: float) -> list[float]:
+    """The scorer's answer, after up to ``retries`` new tries: each waits twice as long, or as long as the scorer asks."""
+    for tries in range(retries + 1):
+        try:
+            got = list(scorer(texts))
+            if len(got) != len(texts):
+                raise ModelError(f"{len(got)} scores for {len(texts)} texts")
+            return got
+        except Exception as e:
+            if tries == retries or not getattr(e, "retryable", True):
+                raise
+            asked = getattr(e, "retry_after", None)
+            time.sleep(wait * 2**tries if asked is None else asked)
+    raise AssertionError
+
+
+def with_scorer(
+    df: DataFrame,
+    text_column: str,
+    scorer: Callable[[list[str]], list[float]],
+    batch: int = 10,
+    per_second: float | None = None,
+    retries: int = 0,
+    wait: float = 0.5,
+    keep_errors: bool = False,
+) -> DataFrame:
     """``df`` with a column ``score`` from an outside scorer, which gets ``batch`` texts at a time and must give as many scores.
 
-    A partition's calls keep to ``per_second``; repartition beforehand to bound how many run at once. Texts should be
-    tokenised first: the scorer sees nothing else.
+    A partition's calls keep to ``per_second``; repartition beforehand to bound how many run at once. A call that fails is
+    tried ``retries`` times more. After that the job fails, or, with ``keep_errors``, the batch's rows have no score and a
+    column ``error`` says why (null for the others). Texts should be tokenised first: the scorer sees nothing else.
     """
     reach_package(df.sparkSession)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         free = 0.0
         for frame in frames:
-            scores: list[float] = []
+            scores: list[float | None] = []
+            errors: list[str | None] = []
             for at in range(0, len(frame), batch):
                 if per_second:
                     time.sleep(max(0.0, free - time.monotonic()))
                     free = time.monotonic() + 1 / per_second
                 texts = frame[text_column].iloc[at : at + batch].tolist()
-                got = list(scorer(texts))
-                if len(got) != len(texts):
-                    raise ValueError(f"{len(got)} scores for {len(texts)} texts")
-                scores += got
-            yield frame.assign(score=pd.Series(scores, index=frame.index, dtype="float64"))
-
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+                try:
+                    scores += _scored(scorer, texts, retries, wait)
+                    errors += [None] * len(texts)
+                except Exception as e:
+                    if not keep_errors:
+                        raise
+                    scores += [None] * len(texts)
+                    errors += [f"{type(e).__name__}: {e}"] * len(texts)
+            out = frame.assign(score=pd.Series(scores, index=frame.index, dtype="float64"))
+            yield out.assign(error=pd.Series(errors, index=frame.index, dtype="object")) if keep_errors else out
+
+    more = [StructField("score", DoubleType()), *([StructField("error", StringType())] if keep_errors else [])]
+    return df.mapInPandas(run, StructType([*df.schema.fields, *more]))

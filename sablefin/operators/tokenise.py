@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sablefin.functions.patterns import TEXT_RULES, TOKEN_PREFIXES, Pattern, PatternSet
+from sablefin.functions.patterns import NECESSARY, TEXT_RULES, TOKEN_PREFIXES, Pattern, PatternSet
 from sablefin.functions.validators import MAX_MATCHES, MAX_TEXT_BYTES, cards, emails, guarded
 from sablefin.sources.scratch import written
 
 #: Stands for a match of rule k while later rules run: the k-th private-use character, which no rule matches.
 _FIRST_MARK = 0xE000
+#: Stands before a character of the text itself that is a mark, which another private-use character then replaces.
+_ESCAPE, _FIRST_ESCAPED, _ESCAPED_ESCAPE = "\uf8ff", 0xF700, "\uf7ff"
 TOKEN_REGEX = r"\[[A-Z0-9_]+-\d+\]"
 BOUNDED_REGEX = r"\b(?:EMAIL_|SSN_|PHONE_|CC_|IP_)?[0-9A-F]{8}\b"
 
@@ -23,6 +25,31 @@ def _mark(k: int) -> str:
     return chr(_FIRST_MARK + k)
 
 
+def _escapes(count: int) -> list[tuple[str, str]]:
+    pairs = [(_mark(k), _ESCAPE + chr(_FIRST_ESCAPED + k)) for k in range(count)]
+    return [(_ESCAPE, _ESCAPE + _ESCAPED_ESCAPE), *pairs]
+
+
+def _escaped(text: Column, count: int) -> Column:
+    """``text`` without any of the first ``count`` marks; what stands for them has no mark and is no word character either."""
+    out = text
+    for plain, stands_for in _escapes(count):
+        out = F.replace(out, F.lit(plain), F.lit(stands_for))
+    return F.when(text.rlike(f"[{_mark(0)}-{_mark(0xFF)}{_ESCAPE}]"), out).otherwise(text)
+
+
+def _unescaped(text: Column, count: int) -> Column:
+    out = text
+    for plain, stands_for in reversed(_escapes(count)):
+        out = F.replace(out, F.lit(stands_for), F.lit(plain))
+    return F.when(text.contains(_ESCAPE), out).otherwise(text)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _rules(patterns: PatternSet) -> list[Pattern]:
     return PatternSet(patterns).one_per_type().by_priority()
 
@@ -41,8 +68,10 @@ def marked(text: Column, rules: list[Pattern]) -> tuple[Column, list[Column]]:
 
 def with_marks(df: DataFrame, text_column: str, patterns: PatternSet) -> DataFrame:
     """``df`` with the columns ``__marked`` and ``__found`` (an array of matches for each rule)."""
-    text, found = marked(F.col(text_column), _rules(patterns))
-    return df.withColumn("__marked", text).withColumn("__found", F.array(*found))
+    rules = _rules(patterns)
+    text, found = marked(_escaped(F.col(text_column), len(rules)), rules)
+    found = [F.transform(f, lambda m: _unescaped(m, len(rules))) for f in found]
+    return df.withColumn("__marked", text).withColumn("__found", F.array(*found) if found else F.array().cast("array<array<string>>"))
 
 
 def _places(df: DataFrame, key: str, patterns: PatternSet) -> DataFrame:
@@ -101,30 +130,61 @@ def tokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, patte
     """``df`` with its text tokenised and the column ``tokens_used``, from a dictionary with columns original and token.
 
     Only documents with a match meet the dictionary; a frequent original is a skewed join key, which AQE splits. The
-    matches' tokens then take the marks' places in order.
+    matches' tokens then take the marks' places in order. Null keys are keys like any other, rows may repeat a key, and
+    characters that serve as marks may stand in a text. A match without a token in the dictionary is an error: it can
+    neither stay nor go.
     """
     rules = _rules(patterns)
     marks = with_marks(df, text_column, patterns)
     has = F.exists("__found", lambda f: F.size(f) > 0)
     used = _places(marks.where(has), key, patterns).join(tokens.select("original", "token"), "original")
     maps = used.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("original", "token"))).alias("__tokens"))
-    joined = marks.join(maps, marks[key] == maps["key"], "left").drop("key")
+    maps = maps.withColumnRenamed("key", "__key")
+    joined = marks.join(maps, marks[key].eqNullSafe(maps["__key"]), "left").drop("__key")
     text: Column = F.col("__marked")
+    missing = F.raise_error(F.lit("a match has no token in the dictionary")).cast("string")
     for k in range(len(rules)):
-        own = F.transform(F.get("__found", F.lit(k)), lambda m: F.col("__tokens")[m])
+        own = F.transform(F.get("__found", F.lit(k)), lambda m: F.coalesce(F.col("__tokens")[m], missing))
         pieces = F.zip_with(F.split(text, _mark(k), -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
         text = F.when(F.size(F.get("__found", F.lit(k))) > 0, F.array_join(pieces, "")).otherwise(text)
     in_order = F.array_distinct(F.transform(F.flatten("__found"), lambda m: F.col("__tokens")[m]))
-    out = joined.withColumn("tokens_used", F.coalesce(in_order, F.array().cast("array<string>"))).withColumn(text_column, text)
+    out = joined.withColumn("tokens_used", F.coalesce(in_order, F.array().cast("array<string>"))).withColumn(text_column, _unescaped(text, len(rules)))
     return out.drop("__marked", "__found", "__tokens")
 
 
+def record_dictionary(df: DataFrame, key: str, columns: list[str], patterns: PatternSet) -> DataFrame:
+    """:func:`dictionary` of several text columns at once: a row's columns count as places in the order given."""
+    cells = F.array(*(F.struct(F.struct(F.col(key).alias("row"), F.lit(i).alias("column")).alias("place"), F.col(c).alias("value")) for i, c in enumerate(columns)))
+    return dictionary(df.select(F.explode(cells).alias("cell")).select("cell.*"), "place", "value", patterns)
+
+
+def tokenise_columns(df: DataFrame, key: str, columns: list[str], tokens: DataFrame, patterns: PatternSet) -> DataFrame:
+    """``df`` with all the given text columns tokenised, and the tokens used in any of them in ``tokens_used``."""
+    used = []
+    for i, column in enumerate(columns):
+        df = tokenise(df, key, column, tokens, patterns).withColumnRenamed("tokens_used", f"__used_{i}")
+        used.append(f"__used_{i}")
+    return df.withColumn("tokens_used", F.array_distinct(F.flatten(F.array(*used)))).drop(*used)
+
+
+def merged_dictionary(known: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (original, pattern_type, number): a dictionary that was kept, with the originals of ``found`` that it lacks.
+
+    What is known keeps its number and kind; new originals get the numbers behind the largest known one, in their order.
+    """
+    fresh = found.join(known.select("original"), "original", "left_anti").select("original", "pattern_type", F.col("number").alias("place"))
+    last = known.agg((F.coalesce(F.max("number"), F.lit(-1)) + 1).alias("__next"))  # one row
+    fresh = numbered(fresh, ["place", "original"], "number").crossJoin(F.broadcast(last))
+    return known.select("original", "pattern_type", "number").union(fresh.select("original", "pattern_type", F.col("number") + F.col("__next")))
+
+
 def detokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, regex: str = TOKEN_REGEX) -> DataFrame:
     """``df`` with the tokens of a dictionary replaced by their originals; unknown tokens stay."""
     found = df.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(text_column, F.lit(regex), F.lit(0)))).alias("token"))
     known = found.join(tokens.select("token", "original"), "token")
     maps = known.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", "original"))).alias("__pairs"))
-    joined = df.join(maps, df[key] == maps["key"], "left").drop("key")
+    maps = maps.withColumnRenamed("key", "__key")
+    joined = df.join(maps, df[key].eqNullSafe(maps["__key"]), "left").drop("__key")
     return joined.withColumn(text_column, _restored(F.col(text_column), F.col("__pairs"), regex)).drop("__pairs")
 
 
@@ -141,38 +201,64 @@ def _replaced(text: Column, matches: Column, label: str) -> Column:
     return F.aggregate(F.array_distinct(matches), text, lambda acc, m: F.replace(acc, m, hash_token(m, label)))
 
 
-def tokenise_text(text: Column, rules: list[tuple[str, str]] = TEXT_RULES) -> Column:
-    """The text engine: rules in file order, at most ``MAX_MATCHES`` matches of each, literal replacement."""
+def _may_match(text: Column, regex: str) -> Column:
+    """Whether a text has what a rule's matches must have, if that is known: most texts have nothing of the kind."""
+    needed = NECESSARY.get(regex)
+    if needed is None:
+        return F.lit(True)
+    return text.contains(needed) if needed.isalpha() or needed == "@" else text.rlike(needed)
 
-    def one(acc: Column, rule: tuple[str, str]) -> Column:
-        label, regex = rule
-        return _replaced(acc, F.slice(F.regexp_extract_all(acc, F.lit(regex), F.lit(0)), 1, MAX_MATCHES), label)
 
-    return guarded(text, reduce(one, rules, text))
+def _matches(text: Column, regex: str, most: int | None) -> Column:
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    return found if most is None else F.slice(found, 1, most)
 
 
-def tokenise_secure(text: Column, rules: list[tuple[str, str]] = TEXT_RULES) -> Column:
+def tokenise_text(text: Column, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES) -> Column:
+    """The text engine: rules in file order, literal replacement of each rule's matches.
+
+    Texts above ``most_bytes`` stay as they are, and of each rule so many matches count; both guards are off (None) where
+    nothing may be left in a text.
+    """
+
+    def step(label: str, regex: str) -> Callable[[Column], Column]:
+        return lambda acc: F.when(_may_match(acc, regex), _replaced(acc, _matches(acc, regex, most_matches), label)).otherwise(acc)
+
+    out = text
+    for label, regex in rules:
+        out = _once(out, step(label, regex))
+    return out if most_bytes is None else guarded(text, out, most_bytes)
+
+
+def tokenise_secure(text: Column, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES) -> Column:
     """The validating engine: valid addresses, then cards that pass the Luhn check, then the other rules' matches, which
-    are all collected before any is replaced."""
+    are all collected before any is replaced. The guards are those of :func:`tokenise_text`."""
     others = [(label, regex) for label, regex in rules if label != "EMAIL" and "CREDIT" not in label and "CARD" not in label]
-    after_emails = _replaced(text, emails(text), "EMAIL")
-    after_cards = _replaced(after_emails, cards(after_emails), "CREDIT_CARD")
-    out = after_cards
-    for label, regex in others:
-        out = _replaced(out, F.slice(F.regexp_extract_all(after_cards, F.lit(regex), F.lit(0)), 1, MAX_MATCHES), label)
-    return guarded(text, out)
+
+    def step(base: Column, label: str, regex: str) -> Callable[[Column], Column]:
+        return lambda acc: F.when(_may_match(base, regex), _replaced(acc, _matches(base, regex, most_matches), label)).otherwise(acc)
+
+    def rest(base: Column) -> Column:
+        out = base
+        for label, regex in others:
+            out = _once(out, step(base, label, regex))
+        return out
+
+    after_emails = F.when(text.contains("@"), _replaced(text, emails(text), "EMAIL")).otherwise(text)
+    after_cards = _once(after_emails, lambda t: F.when(t.rlike("[0-9]{4}"), _replaced(t, cards(t), "CREDIT_CARD")).otherwise(t))
+    out = _once(after_cards, rest)
+    return out if most_bytes is None else guarded(text, out, most_bytes)
 
 
-def text_tokens(df: DataFrame, text_column: str, rules: list[tuple[str, str]] = TEXT_RULES) -> DataFrame:
+def text_tokens(df: DataFrame, text_column: str, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES) -> DataFrame:
     """Rows (original, label, token): the text engine's dictionary, one row for each distinct match."""
     text = F.col(text_column)
 
     def rows(label: str, regex: str) -> Column:
-        found = F.slice(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), 1, MAX_MATCHES)
-        return F.transform(found, lambda m: F.struct(m.alias("original"), F.lit(label).alias("label"), hash_token(m, label).alias("token")))
+        return F.transform(_matches(text, regex, most_matches), lambda m: F.struct(m.alias("original"), F.lit(label).alias("label"), hash_token(m, label).alias("token")))
 
     parts = [rows(label, regex) for label, regex in rules]
-    short = df.where(F.octet_length(text) <= MAX_TEXT_BYTES)
+    short = df if most_bytes is None else df.where(F.octet_length(text) <= most_bytes)
     return short.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").distinct()
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sablefin.errors import PatternError
 from sablefin.functions.patterns import LIBRARY, TEXT_RULES, PatternSet, default_pii, with_custom
@@ -37,15 +38,24 @@ class Sablefin:
         """What each column holds, from all rows."""
         return detect.detect_columns(df, columns or df.columns, self.library)
 
-    def obfuscate(self, df: DataFrame, key: str, text_column: str) -> tuple[DataFrame, DataFrame]:
-        """The table with its text tokenised, and the dictionary that leads back."""
-        tokens = tokenise.dictionary(df, key, text_column, self.patterns)
+    def obfuscate(self, df: DataFrame, key: str, text_column: str | list[str] | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The table with its text tokenised, and the dictionary that leads back.
+
+        All the columns named are tokenised, or, without names, all text columns but the key. ``known`` is a dictionary that
+        was kept: its originals keep their tokens.
+        """
+        names = [text_column] if isinstance(text_column, str) else text_column or [f.name for f in df.schema if isinstance(f.dataType, StringType) and f.name != key]
+        features.require_columns(df, names)
+        tokens = tokenise.record_dictionary(df, key, names, self.patterns)
+        tokens = tokens if known is None else tokenise.merged_dictionary(known, tokens)
         tokens = tokens.withColumn("token", tokenise.counter_token(F.col("pattern_type"), F.col("number")))
-        return tokenise.tokenise(df, key, text_column, tokens, self.patterns), tokens
+        return tokenise.tokenise_columns(df, key, names, tokens, self.patterns), tokens
 
-    def restore(self, df: DataFrame, key: str, text_column: str, tokens: DataFrame) -> DataFrame:
+    def restore(self, df: DataFrame, key: str, text_column: str | list[str], tokens: DataFrame) -> DataFrame:
         """The table with its tokens replaced by what they stand for."""
-        return tokenise.detokenise(df, key, text_column, tokens)
+        for name in [text_column] if isinstance(text_column, str) else text_column:
+            df = tokenise.detokenise(df, key, name, tokens)
+        return df
 
     def profile(self, df: DataFrame, key: str, columns: list[str] | None = None) -> DataFrame:
         """Columns by how much they look like prose worth analysing."""
@@ -59,8 +69,8 @@ class Sablefin:
         features.require_columns(df, names)
         return score.multi_field(df, key, names)
 
-    def score(self, df: DataFrame, key: str, text_column: str, scorer: Callable[[list[str]], list[float]], **limits: float) -> DataFrame:
-        """Scores of an outside scorer, which sees tokenised text alone; the result has the texts as they were."""
-        hidden = df.withColumn(text_column, tokenise.tokenise_text(F.col(text_column), TEXT_RULES))
-        scored = score.with_scorer(hidden, text_column, scorer, **limits).select(key, "score")
-        return df.join(scored, key)
+    def score(self, df: DataFrame, text_column: str, scorer: Callable[[list[str]], list[float]], **limits: float) -> DataFrame:
+        """``df`` with the scores of an outside scorer, which sees tokenised text alone, however long a text is and however many
+        matches it has. Rows stay as they are, repeated ones too."""
+        hidden = df.withColumn("__hidden", tokenise.tokenise_text(F.col(text_column), TEXT_RULES, most_bytes=None, most_matches=None))
+        return score.with_scorer(hidden, "__hidden", scorer, **limits).drop("__hidden")

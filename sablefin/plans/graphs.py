@@ -9,6 +9,7 @@ from sablefin.operators import features, graph
 from sablefin.sources import scratch, tables
 
 from .common import Registry
+from .profiling import feature_sql
 
 registry = Registry()
 
@@ -206,6 +207,16 @@ def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(vectors, vectors.where("vec_id % 100 = 0")).withColumn("distance", F.round("distance", 6))
 
 
+@registry.add("knn_index", f"{_KNN_SQL} SELECT query_id, place, id, round(distance, 6) AS distance FROM ranked WHERE place <= 5")
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in an index that is written, added to and read again."""
+    vectors, path = tables.parquet(spark, sf_dir, "embeddings"), scratch.new_path(spark, "knn-index")
+    graph.save_index(vectors.where("label < 5"), path)
+    graph.save_index(vectors.where("label >= 5"), path, append=True)
+    found = graph.search_index(graph.load_index(spark, path), vectors.where("vec_id % 100 = 0"), k=5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @registry.add("knn_batch", f"{_KNN_SQL} SELECT query_id, place, r.id, e.label FROM ranked r LEFT JOIN embeddings e ON e.vec_id = r.id WHERE place <= 3")
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest of each query, with what is known of them looked up by id."""
@@ -232,10 +243,26 @@ def vector_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@registry.add("profile_table")
+_PROFILE_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+_CELLS = ", ".join(f"{{c: '{c}', v: CAST({c} AS VARCHAR)}}" for c in _PROFILE_COLUMNS)
+_PROFILE_LONG = f"long AS (SELECT cell.c AS column_name, cell.v AS value FROM (SELECT unnest([{_CELLS}]) AS cell FROM part))"
+
+
+@registry.add(
+    "profile_table",
+    f"""{feature_sql(_PROFILE_LONG)}, nodes AS (SELECT column_name, list(value ORDER BY place) AS v FROM vectors GROUP BY 1),
+      edges AS (SELECT a.column_name AS a, b.column_name AS b, list_cosine_similarity(a.v, b.v) AS weight FROM nodes a JOIN nodes b ON a.column_name < b.column_name),
+      ends AS (SELECT a AS column_name, weight FROM edges WHERE weight >= 0.4 UNION ALL SELECT b, weight FROM edges WHERE weight >= 0.4),
+      central AS (SELECT n.column_name, coalesce(sum(e.weight), 0) / (SELECT count(*) - 1 FROM nodes) AS centrality FROM nodes n LEFT JOIN ends e USING (column_name) GROUP BY 1),
+      s AS (SELECT column_name, avg(CASE WHEN regexp_matches(value, '{features.NUMBER}') THEN 1 ELSE 0 END) AS numeric, avg(strlen(value)) AS bytes FROM long GROUP BY 1),
+      classified AS (SELECT column_name, CASE WHEN numeric > 0.9 THEN 'Numeric' WHEN bytes > 15 AND numeric < 0.1 THEN 'TextLong' ELSE 'Unknown' END AS column_type,
+        round(CASE WHEN numeric > 0.9 THEN numeric WHEN bytes > 15 AND numeric < 0.1 THEN 0.9 ELSE 0.5 END, 6) AS confidence FROM s)
+      SELECT column_name, column_type, confidence, round(centrality, 6) AS centrality,
+        round(0.7 * round(confidence * CASE column_type WHEN 'TextLong' THEN 1.0 ELSE 0.1 END, 6) + 0.3 * centrality, 6) AS score FROM classified JOIN central USING (column_name)""",
+)
 def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of the parts: kind, confidence, and centrality in the graph of their feature vectors, ranked."""
-    long = tables.long_form(tables.parquet(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+    long = tables.long_form(tables.parquet(spark, sf_dir, "part"), "p_partkey", _PROFILE_COLUMNS)
     scores = features.type_scores(features.classify(long)).withColumnRenamed("column_name", "id")
     nodes = scratch.written(features.feature_vectors(long).select(F.col("column_name").alias("id"), F.col("features").alias("embedding")), "column-nodes")
     joined = scores.join(graph.centrality(nodes, graph.similarity_graph(nodes)), "id", "left")

@@ -119,9 +119,51 @@ def header_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.parquet(spark, sf_dir, "customer").select("c_name", places.alias("places"))
 
 
-@registry.add("feature_vector")
+def feature_sql(long: str) -> str:
+    """DuckDB: rows (column_name, place, value) of the feature vectors of a long table."""
+    lengths = "SELECT column_name, unnest([300, 301, 302, 303]) AS place, unnest([round(avg(strlen(value)), 6), min(strlen(value)), max(strlen(value)), round(stddev_pop(strlen(value)), 6)]) AS value FROM long GROUP BY 1"
+    ratios = """SELECT column_name, unnest([304, 305, 306, 307]) AS place, unnest([round(d / n, 6), round(a / n, 6), round(w / n, 6), round((n - d - a - w) / n, 6)]) AS value
+        FROM (SELECT column_name, sum(length(regexp_replace(value, '[^0-9]', '', 'g'))) AS d, sum(length(regexp_replace(value, '\\P{L}', '', 'g'))) AS a,
+              sum(length(regexp_replace(value, '[^ \\t\\n\\r\\f\\v]', '', 'g'))) AS w, sum(length(value)) AS n FROM long GROUP BY 1)"""
+    header = """SELECT column_name, place, CASE WHEN list_contains(places, place) THEN 1.0 ELSE 0.0 END AS value
+        FROM (SELECT column_name, list_transform(string_split(column_name, ''), lambda ch, i: (unicode(ch) * i) % 300) AS places FROM (SELECT DISTINCT column_name FROM long)), (SELECT unnest(range(300)) AS place)"""
+    entropies = f"SELECT column_name, unnest([308, 309, 310, 311]) AS place, unnest([entropy, normalised, rate, simpson]) AS value FROM ({_entropy_sql(long)} {_ENTROPY_COLUMNS})"
+    hashed = """SELECT names.column_name, 312 + names.bucket AS place, coalesce(round(n / total, 6), 0) AS value
+        FROM (SELECT DISTINCT column_name, unnest(range(64)) AS bucket FROM long) names
+        LEFT JOIN (SELECT column_name, CAST('0x' || substr(md5(gram), 1, 15) AS BIGINT) % 64 AS bucket, count(*) AS n, sum(count(*)) OVER (PARTITION BY column_name) AS total
+                   FROM (SELECT column_name, unnest(list_transform(range(1, length(value) - 1), lambda i: value[i:i + 2])) AS gram FROM long) GROUP BY 1, 2) USING (column_name, bucket)"""
+    parts = " UNION ALL ".join(f"SELECT column_name, CAST(place AS INT) AS place, CAST(value AS DOUBLE) AS value FROM ({x})" for x in (header, lengths, ratios, entropies, hashed))
+    return f"WITH {long}, vectors AS ({parts})"
+
+
+@registry.add("feature_vector", f"{feature_sql(_LONG_SQL)} SELECT * FROM vectors")
 def feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_vectors(_parts(spark, sf_dir))
+    return features.feature_vectors(_parts(spark, sf_dir)).select("column_name", F.posexplode("features").alias("place", "value"))
+
+
+def _by_length(vectors: list[list[float]]) -> list[list[float]]:
+    """A stand-in for a model: how far the mean length is below 20; it refuses columns whose values are all as long."""
+    if any(v[301] == v[302] for v in vectors):
+        raise ValueError("nothing to learn from")
+    return [[1 - min(v[300] / 20, 1.0), min(v[300] / 20, 1.0)] for v in vectors]
+
+
+@registry.add(
+    "classify_by_model",
+    f"""WITH {_LONG_SQL}, s AS (SELECT column_name, avg(CASE WHEN regexp_matches(value, '{features.NUMBER}') THEN 1 ELSE 0 END) AS numeric, avg(strlen(value)) AS bytes,
+          min(strlen(value)) = max(strlen(value)) AS refused, least(round(avg(strlen(value)), 6) / 20, 1) AS long FROM long GROUP BY 1)
+        SELECT column_name, CASE WHEN NOT refused THEN CASE WHEN 1 - long >= long THEN 'TextShort' ELSE 'TextLong' END
+                                 WHEN numeric > 0.9 THEN 'Numeric' WHEN bytes > 15 AND numeric < 0.1 THEN 'TextLong' ELSE 'Unknown' END AS column_type,
+          round(CASE WHEN NOT refused THEN greatest(long, 1 - long) WHEN numeric > 0.9 THEN numeric WHEN bytes > 15 AND numeric < 0.1 THEN 0.9 ELSE 0.5 END, 6) AS confidence FROM s""",
+)
+def classify_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each column by itself, so that a column which the model refuses is classified by rules."""
+    named = _parts(spark, sf_dir)
+    found = None
+    for name in ("p_name", "p_brand", "p_type", "p_size"):
+        one = features.classify_by_model(named.where(F.col("column_name") == name), _by_length, ["TextShort", "TextLong"])
+        found = one if found is None else found.union(one)
+    return found
 
 
 @registry.add(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablefin.errors import ScorerError
 from sablefin.operators import estimate, score
 from sablefin.sources import tables
 
@@ -235,7 +236,7 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _now(history: DataFrame) -> Column:
-    return F.lit(history.agg(F.max("created_at")).first()[0])
+    return history.agg(F.max("created_at")).scalar()
 
 
 _MULTIPLIER = "CASE chain_type WHEN 'sentiment' THEN 1.0::DOUBLE WHEN 'entity' THEN 1.5::DOUBLE WHEN 'classification' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END"
@@ -316,3 +317,73 @@ def eta_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def eta_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimate.dispatch(_requests(spark, sf_dir), _samples(spark, sf_dir), _history(spark, sf_dir))
+
+
+_RECENT_SQL = f"WITH {_HISTORY}"
+
+
+@registry.add("eta_recent", f"{_RECENT_SQL} SELECT id, chain_type FROM (SELECT *, row_number() OVER (PARTITION BY chain_type ORDER BY created_at DESC, id DESC) AS place FROM history) WHERE place <= 1000")
+def eta_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that rates are taken from: the last thousand of each kind."""
+    return estimate.recent(_history(spark, sf_dir), ["created_at", "id"]).select("id", "chain_type")
+
+
+@registry.add("eta_record", f"{_RECENT_SQL} SELECT id, CASE WHEN actual_seconds IS NULL AND id % 2 = 0 THEN id % 77 ELSE actual_seconds END AS actual_seconds FROM history")
+def eta_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _history(spark, sf_dir)
+    ended = history.where("id % 2 = 0").select("id", (F.col("id") % 77).alias("actual_seconds"))
+    return estimate.recorded(history, ended).select("id", "actual_seconds")
+
+
+@registry.add("eta_cleanup", f"{_RECENT_SQL} SELECT id FROM history WHERE created_at >= {_NOW} - INTERVAL 90 DAY")
+def eta_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _history(spark, sf_dir)
+    return estimate.kept(history, _now(history)).select("id")
+
+
+@registry.add("json_fields", "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS text FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the events' properties say of two keys, one of which none has."""
+    events = tables.parquet(spark, sf_dir, "events")
+    return events.select("event_id", F.explode(score.json_fields(F.col("props"), ["k", "none"])).alias("x")).select("event_id", "x.*")
+
+
+@registry.add(
+    "customer_records",
+    """SELECT o_orderkey AS prompt, printf('CUST-%06d', o_orderkey % 1000000 + n) AS customer_id, (o_orderkey + n) % 7 AS support_tickets, CASE WHEN n = 1 THEN (o_orderkey + n) % 4 ELSE 0 END AS payment_delays
+       FROM orders, (SELECT unnest([0, 1]) AS n)""",
+)
+def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of two records each, of which the first does not name its delays."""
+    k = F.col("o_orderkey")
+    record = lambda n, *rest: F.concat(F.format_string("CUST-%06d", k % 1000000 + n), F.lit(" with support_tickets: "), ((k + n) % 7).cast("string"), *rest)
+    delays = [F.lit(", payment_delays = "), ((k + 1) % 4).cast("string"), F.lit(".")]
+    prompt = F.concat(F.lit("Score these:\n"), record(0), F.lit("\n"), record(1, *delays))
+    return _orders(spark, sf_dir).select(k.alias("prompt"), F.explode(score.customer_records(prompt)).alias("r")).select("prompt", "r.*")
+
+
+@registry.add(
+    "canned_answers",
+    """SELECT o_orderkey AS id, (['generic', 'medical', 'fraud'])[o_orderkey % 3 + 1] AS kind,
+         (['{"status": "ok"}', '{"risk_level": "moderate", "follow_up": "yes"}', '{"risk_score": "0.25", "flagged": "no"}'])[o_orderkey % 3 + 1] AS answer FROM orders""",
+)
+def canned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asks = F.element_at(F.array(F.lit("Hello"), F.lit("Patient 7: which diagnosis?"), F.lit("Is this TRANSACTION odd?")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return _orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), score.canned_answer(asks).alias("a")).select("id", "a.kind", "a.answer")
+
+
+def _refusing(texts: list[str]) -> list[float]:
+    """A stand-in for an outside scorer, which refuses some texts."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ScorerError("refused")
+    return [len(t) / 10 for t in texts]
+
+
+@registry.add(
+    "scorer_errors",
+    "SELECT c_custkey AS id, CASE WHEN length(c_name || c_mktsegment) % 7 = 0 THEN NULL ELSE length(c_name || c_mktsegment) / 10 END AS score, CASE WHEN length(c_name || c_mktsegment) % 7 = 0 THEN 'ScorerError: refused' END AS error FROM customer",
+)
+def scorer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores one by one, with what was refused after two more tries told in a column."""
+    rows = tables.parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("text"))
+    return score.with_scorer(rows, "text", _refusing, batch=1, retries=2, wait=0.0, keep_errors=True).drop("text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.operators import runs
-from sablefin.sources import tables
+from sablefin.sources import scratch, tables
 
 from .common import Registry
 
@@ -99,7 +99,7 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    now = F.lit(events.agg(F.max("ts")).first()[0])
+    now = events.agg(F.max("ts")).scalar()
     kept = events.withColumn("expires_at", F.col("ts") + F.make_dt_interval(days=F.col("event_id").cast("int") % 7))
     return runs.unexpired(kept, "expires_at", now).select("event_id", "user_id", "expires_at")
 
@@ -190,3 +190,35 @@ def slo_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def perf_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     baselines = spark.createDataFrame([("view", 50.0), ("click", 40.0), ("purchase", 30.0)], "operation string, baseline double")
     return runs.regressions(_events(spark, sf_dir).select(F.col("event_type").alias("operation"), F.col("value").alias("duration")), baselines)
+
+
+@registry.add(
+    "health_rollup",
+    """WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, max(value) <= 99 AS healthy FROM events GROUP BY 1, 2)
+       SELECT hour, count(*) AS components, coalesce(string_agg(CASE WHEN NOT healthy THEN event_type END, ',' ORDER BY event_type), '') AS unhealthy,
+         CASE WHEN bool_and(healthy) THEN 'healthy' ELSE 'degraded' END AS status FROM h GROUP BY 1""",
+)
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hour's kinds of events as components, which are healthy if no value is above 99."""
+    parts = _events(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg((F.max("value") <= 99).alias("healthy"))
+    return runs.health(parts, "hour", "event_type", F.col("healthy"))
+
+
+@registry.add(
+    "cache_use",
+    """WITH a AS (SELECT user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) <= 36000 AS fresh FROM events)
+       SELECT user_id, count(*) FILTER (WHERE fresh) AS hits, count(*) FILTER (WHERE fresh IS NOT TRUE) AS misses, count(*) FILTER (WHERE NOT fresh) AS expired FROM a GROUP BY 1""",
+)
+def cache_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.cache_use(_events(spark, sf_dir), "user_id", "ts", 36000)
+
+
+@registry.add("store_append", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines added to the store in three writes and read again."""
+    path = scratch.new_path(spark, "log-store")
+    events = _events(spark, sf_dir)
+    for part in range(3):
+        runs.append(events.where(F.col("event_id") % 3 == part), path)
+    stored = spark.read.schema(events.schema).parquet(path)
+    return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))

@@ -71,22 +71,48 @@ def plateau_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.with_stop(sampling.progress(_counts(spark, sf_dir)), window=3, threshold=0.5).select("batch", "confidence", "should_stop")
 
 
-@registry.add("adaptive_sample")
+def _stop_sql(progress: str, window: int, threshold: float) -> str:
+    return f"""SELECT *, count(*) OVER l = {window} AND avg(confidence) OVER l >= {threshold} AND var_pop(confidence) OVER l < 0.001 AS should_stop
+        FROM {progress} WINDOW l AS (ORDER BY batch ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"""
+
+
+_LEAST, _FACTOR, _THRESHOLD = 100, 1.5, 0.5
+#: The contacts' ids dealt to parts of 100, 150, 225, ... rows along a hash of the id.
+_PARTS_SQL = f"""RECURSIVE sizes AS (SELECT count(*) AS total, least(count(*), 100000) AS upto FROM customer),
+  parts AS (SELECT 0 AS batch, 0.0::DOUBLE AS low, least({_LEAST}.0::DOUBLE, upto) AS high, {_LEAST}.0::DOUBLE AS size FROM sizes
+    UNION ALL SELECT batch + 1, high, least(high + size * {_FACTOR}, upto), size * {_FACTOR} FROM parts, sizes WHERE high < upto),
+  bounds AS (SELECT batch, CAST(floor(low / total * {sampling.PLACES}) AS BIGINT) AS low, CAST(floor(high / total * {sampling.PLACES}) AS BIGINT) + CASE WHEN high = total THEN 1 ELSE 0 END AS high FROM parts, sizes)"""
+_DEALT_SQL = "(SELECT c.*, b.batch FROM contacts c JOIN bounds b ON CAST('0x' || substr(md5(CAST(c.id AS VARCHAR)), 1, 7) AS BIGINT) >= b.low AND CAST('0x' || substr(md5(CAST(c.id AS VARCHAR)), 1, 7) AS BIGINT) < b.high)"
+_ADAPTIVE_SQL = _PROGRESS_SQL.replace("WITH contacts", f"WITH {_PARTS_SQL}, contacts", 1).replace(f"id % {BATCHES} AS batch", "batch").replace("FROM contacts GROUP BY", f"FROM {_DEALT_SQL} GROUP BY")
+
+
+@registry.add("adaptive_sample", f"{_ADAPTIVE_SQL}, stops AS ({_stop_sql('progress', 3, _THRESHOLD)}) SELECT * FROM stops WHERE batch <= (SELECT coalesce(min(batch), 1000000) FROM stops WHERE should_stop)")
 def adaptive_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of the contacts until detection settles: a sampling operator, so it reads no more than it needs."""
-    return sampling.adaptive(_contacts(spark, sf_dir), "id", COLUMNS, sampling.SamplingConfig(threshold=0.5))
+    return sampling.adaptive(_contacts(spark, sf_dir), "id", COLUMNS, sampling.SamplingConfig(least=_LEAST, factor=_FACTOR, threshold=_THRESHOLD))
 
 
-@registry.add("stream_detect")
+@registry.add("stream_detect", f"{_PROGRESS_SQL} {_stop_sql('progress', 5, 0.95)}")
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contacts as a stream of files; all of them, as the threshold is out of reach."""
+    """The contacts as a stream of ten files, written one after another; all of them, as the threshold is out of reach."""
     path = scratch.new_path(spark, "stream-source")
     contacts = _contacts(spark, sf_dir)
-    contacts.repartition(BATCHES, "id").write.parquet(path)
+    for batch in range(BATCHES):
+        contacts.where(F.col("id") % BATCHES == batch).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(contacts.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return streaming.detect_stream(stream, COLUMNS)
 
 
+@registry.add(
+    "detect_strategy",
+    f"""{_PROGRESS_SQL}, stops AS ({_stop_sql('progress', 3, 0.5)})
+        SELECT batch, CASE WHEN should_stop THEN 'EarlyStop' WHEN rows_processed >= 1000 THEN 'Fixed(1000)' WHEN batch = 0 THEN 'Progressive' ELSE 'Adaptive' END AS strategy FROM stops""",
+)
+def detect_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = sampling.with_stop(sampling.progress(_counts(spark, sf_dir)), window=3, threshold=0.5)
+    return sampling.with_strategy(history, 1000).select("batch", "strategy")
+
+
 _LINES_SQL = f"WITH {CONTACTS}, lines AS (SELECT id, note || ' ' || ssn AS line FROM contacts) SELECT line FROM ({_in_steps_sql('lines', 'id', 'line')})"
 
 

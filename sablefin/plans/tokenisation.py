@@ -39,10 +39,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return found.withColumn("token", tokenise.bounded_token(F.col("pattern_type"), F.col("number")))
 
 
-def _chain_sql(token: str) -> str:
-    """DuckDB: marks, matches and dictionary of the contacts' notes, rule by rule."""
+def _chain_sql(token: str, source: str = "SELECT id, note AS t FROM contacts") -> str:
+    """DuckDB: marks, matches and dictionary of the contacts' notes (or of another source of ids and texts), rule by rule."""
     rules = default_pii().by_priority()
-    steps = [CONTACTS, "s0 AS (SELECT id, note AS t FROM contacts)"]
+    steps = [CONTACTS, f"s0 AS ({source})"]
     for k, rule in enumerate(rules):
         kept = ", ".join(f"f{i}" for i in range(k))
         kept = f"{kept}, " if kept else ""
@@ -82,6 +82,33 @@ def tokenise_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.tokenise(df, "id", "note", _bounded(df), default_pii()).select("id", "note")
 
 
+_RECORDS = ["email", "ssn", "phone", "note"]
+_CELLS_SQL = f"""SELECT {{'row': id, 'col': c}} AS id, t FROM (SELECT id, unnest(range({len(_RECORDS)})) AS c, unnest([{', '.join(_RECORDS)}]) AS t FROM contacts)"""
+_TURNED_SQL = ", ".join(f"max(CASE WHEN id.col = {i} THEN note END) AS {c}" for i, c in enumerate(_RECORDS))
+
+
+@registry.add("obfuscate_records", _chain_sql(_COUNTER, _CELLS_SQL) + f" SELECT id.row AS id, {_TURNED_SQL} FROM done GROUP BY 1")
+def obfuscate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text columns of the contacts, with one dictionary."""
+    df = _contacts(spark, sf_dir)
+    tokens = tokenise.record_dictionary(df, "id", _RECORDS, default_pii())
+    tokens = tokens.withColumn("token", tokenise.counter_token(F.col("pattern_type"), F.col("number")))
+    return tokenise.tokenise_columns(df, "id", _RECORDS, tokens, default_pii()).drop("tokens_used")
+
+
+@registry.add(
+    "merge_dictionary",
+    _chain_sql(_COUNTER, "SELECT id, note AS t FROM contacts")
+    + """, known AS (SELECT original, pattern_type, number FROM dictionary WHERE number < 100),
+         fresh AS (SELECT original, pattern_type, row_number() OVER (ORDER BY number) + (SELECT max(number) FROM known) AS number FROM dictionary WHERE number >= 100)
+       SELECT * FROM known UNION ALL SELECT * FROM fresh""",
+)
+def merge_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred entries, kept from before, with all that the notes hold."""
+    found = scratch.written(_numbers(_contacts(spark, sf_dir)), "dictionary")
+    return tokenise.merged_dictionary(found.where("number < 100"), found)
+
+
 @registry.add("detokenise", f"WITH {CONTACTS} SELECT id, note FROM contacts")
 def detokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _contacts(spark, sf_dir)
@@ -120,13 +147,14 @@ def _replaced_sql(text: str, matches: str, label: str) -> str:
     return f"list_reduce(list_prepend({text}, {matches}), lambda acc, m: replace(acc, m, {_hash_sql('m', label)}))"
 
 
-def _in_steps_sql(table: str, key: str, column: str) -> str:
-    """DuckDB: the text engine as a chain of subqueries over a table."""
+def _in_steps_sql(table: str, key: str, column: str, guarded: bool = True) -> str:
+    """DuckDB: the text engine as a chain of subqueries over a table, with or without its guards."""
+    most = "[1:1000]" if guarded else ""
     first, second = TEXT_RULES
     regex_1, regex_2 = quoted(first[1]), quoted(second[1])
-    one = f"SELECT {key}, {column} AS t, {_replaced_sql(column, f'(regexp_extract_all({column}, {regex_1}))[1:1000]', first[0])} AS u FROM {table}"
-    two = f"SELECT {key}, t, {_replaced_sql('u', f'(regexp_extract_all(u, {regex_2}))[1:1000]', second[0])} AS v FROM ({one})"
-    return f"SELECT {key}, CASE WHEN strlen(t) > {MAX_TEXT_BYTES} THEN t ELSE v END AS {column} FROM ({two})"
+    one = f"SELECT {key}, {column} AS t, {_replaced_sql(column, f'(regexp_extract_all({column}, {regex_1})){most}', first[0])} AS u FROM {table}"
+    two = f"SELECT {key}, t, {_replaced_sql('u', f'(regexp_extract_all(u, {regex_2})){most}', second[0])} AS v FROM ({one})"
+    return f"SELECT {key}, {f'CASE WHEN strlen(t) > {MAX_TEXT_BYTES} THEN t ELSE v END' if guarded else 'v'} AS {column} FROM ({two})"
 
 
 @registry.add("tokenise_text", _in_steps_sql("documents", "doc_id", "text"))
@@ -134,6 +162,18 @@ def tokenise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("doc_id", tokenise.tokenise_text(F.col("text")).alias("text"))
 
 
+_LONG_TEXTS = "(SELECT doc_id, repeat(text || ' a' || doc_id || '@example.com 123-45-6789 ', 1 + CAST(doc_id % 40 AS INT)) AS text FROM documents)"
+
+
+@registry.add("tokenise_text_exact", f"SELECT doc_id, strlen(text) AS bytes, md5(text) AS digest FROM ({_in_steps_sql(_LONG_TEXTS, 'doc_id', 'text', guarded=False)})")
+def tokenise_text_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of up to 40 copies, with nothing left in them however long they are."""
+    more = F.concat("text", F.lit(" a"), F.col("doc_id").cast("string"), F.lit("@example.com 123-45-6789 "))
+    long = _texts(spark, sf_dir).select("doc_id", F.repeat(more, (F.col("doc_id") % 40 + 1).cast("int")).alias("text"))
+    done = tokenise.tokenise_text(F.col("text"), most_bytes=None, most_matches=None)
+    return long.select("doc_id", done.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 _CARDS = f"list_filter(regexp_extract_all(u, {quoted(CARD_REGEX)}), lambda c: {luhn_sql('c')})"
 _OTHERS = f"(regexp_extract_all(v, {quoted(TEXT_RULES[1][1])}))[1:1000]"
 _SECURE_SQL = f"""
@@ -243,5 +283,5 @@ def token_dict_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lru_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = tables.parquet(spark, sf_dir, "events")
-    now = F.lit(events.agg(F.max("ts")).first()[0])
+    now = events.agg(F.max("ts")).scalar()
     return tokenise.survivors(events, "user_id", "ts", F.octet_length("props"), now, entries=500, budget=4096, ttl_seconds=86400 * 20)

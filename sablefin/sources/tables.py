@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sablefin.errors import ConfigError
+
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
@@ -35,9 +37,21 @@ def csv_stream(spark: SparkSession, path: str, schema: str, delimiter: str = ","
     return reader.option("maxFilesPerTrigger", files_per_trigger).csv(path)
 
 
-def jdbc(spark: SparkSession, url: str, query: str, fetch_size: int = 1000, **options: str) -> DataFrame:
-    """A query's rows from a database; limits and filters put on the result are pushed down to it."""
-    return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch_size), **options).load()
+def jdbc(
+    spark: SparkSession, url: str, query: str, fetch_size: int = 1000, column: str | None = None, lower: int | None = None, upper: int | None = None, partitions: int = 1, **options: str
+) -> DataFrame:
+    """A query's rows from a database; limits and filters put on the result are pushed down to it.
+
+    With a whole-number ``column`` and its bounds the rows are read by ``partitions`` tasks, each a range of the column; rows
+    beyond the bounds are in the first and last ranges. Without, one task reads all rows.
+    """
+    reader = spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **options)
+    if column is None:
+        return reader.option("query", query).load()
+    if lower is None or upper is None or partitions < 1:
+        raise ConfigError("a column to read by needs both bounds and a number of partitions")
+    ranges = {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
+    return reader.options(dbtable=f"({query}) rows_of_query", **ranges).load()
 
 
 def memory(spark: SparkSession, records: list[dict], schema: str) -> DataFrame:

@@ -1,12 +1,19 @@
 """Exact values and edge cases of the other operators."""
 
+import http.server
+import json
+import threading
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sablefin import cli
-from sablefin.errors import PatternError
+from sablefin.errors import CancelledError, ConfigError, DimensionError, ModelError, PatternError, RateLimitError, ScorerError, StoreError, ValidationError
 from sablefin.operators import features, graph, runs, sampling, score, tokenise
 from sablefin.plans.api import Sablefin
+from sablefin.plans.control import ProfileCache, RunControl
 from sablefin.sources import tables
 from sablefin.streaming import detection as streaming
 
@@ -115,7 +122,7 @@ def test_event_time_windows(spark, tmp_path):
 
 def test_scorer_hook(spark):
     df = spark.createDataFrame([(i, f"text {i} a{i}@b.com") for i in range(25)], "id long, text string").repartition(2)
-    found = Sablefin(spark).score(df, "id", "text", lambda texts: [float("@" in t) for t in texts], batch=10)
+    found = Sablefin(spark).score(df, "text", lambda texts: [float("@" in t) for t in texts], batch=10)
     assert found.count() == 25 and {r.score for r in found.collect()} == {0.0}
     with pytest.raises(Exception, match="scores for"):
         score.with_scorer(df, "text", lambda texts: [1.0]).collect()
@@ -160,3 +167,180 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["analyze", path, "--dry-run", "--columns", "name,review_notes"]).first().estimated_time_seconds == 0
     assert cli.run(spark, ["profile", path]).first().name == "review_notes"
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+def test_command_line_hides_all_columns_and_restores_them(spark, tmp_path):
+    path, kept, out = (str(tmp_path / x) for x in ("people.csv", "dictionary", "hidden"))
+    with open(path, "w") as lines:
+        lines.write("id,mail,notes\n1,a@b.com,123-45-6789 of a@b.com\n2,c@d.org,\n")
+    hidden = cli.run(spark, ["obfuscate", path, "--dictionary", kept, "--output", out, "--format", "csv"]).collect()
+    assert not any("@" in str(r) or "6789" in str(r) for r in hidden)
+    named = cli.run(spark, ["obfuscate", path, "--columns", "mail,notes"]).collect()
+    assert [(r.mail, r.notes) for r in named] == [(r.mail, r.notes) for r in hidden]
+    back = cli.run(spark, ["restore", out, "--dictionary", kept, "--columns", "mail,notes"]).orderBy("id").collect()
+    assert [(r.mail, r.notes) for r in back] == [("a@b.com", "123-45-6789 of a@b.com"), ("c@d.org", None)]
+    with pytest.raises(ConfigError):
+        cli.run(spark, ["restore", out])
+
+
+def test_outside_scorer_sees_no_number(spark):
+    long = "word " * 30_000 + "123-45-6789"
+    df = spark.createDataFrame([(1, long), (1, long), (None, "123-45-6789"), (2, None)], "id long, text string")
+    found = Sablefin(spark).score(df, "text", lambda texts: [float("6789" in (t or "")) for t in texts]).collect()
+    assert sorted((str(r.id), r.text or "", r.score) for r in found) == sorted((str(k), t or "", 0.0) for k, t in [(1, long), (1, long), (None, "123-45-6789"), (2, None)])
+
+
+def test_retries_and_waits(spark, monkeypatch):
+    waited, calls = [], []
+    monkeypatch.setattr(score.time, "sleep", waited.append)
+
+    def scorer(texts):
+        calls.append(texts)
+        if len(calls) == 1:
+            raise RateLimitError(retry_after=7.0)
+        if len(calls) == 2:
+            raise ScorerError("busy")
+        return [1.0] * len(texts)
+
+    assert score._scored(scorer, ["a"], 3, 0.5) == [1.0] and waited == [7.0, 1.0]
+    with pytest.raises(ModelError):
+        score._scored(lambda texts: [], ["a"], 3, 0.5)  # not worth another try
+    calls.clear()
+    with pytest.raises(RateLimitError):
+        score._scored(scorer, ["a"], 0, 0.5)
+
+
+def test_endpoint(spark):
+    seen = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["texts"]
+            seen.append(self.headers.get("Authorization"))
+            if texts == ["slow down"]:
+                self.send_response(429)
+                self.send_header("Retry-After", "3")
+                self.end_headers()
+                return
+            self.send_response(200 if texts != ["bad"] else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps({"scores": [len(t) for t in texts]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        scorer = score.EndpointScorer(f"http://127.0.0.1:{server.server_port}", "key", 5.0)
+        assert scorer(["a", "bcd"]) == [1, 3] and seen == ["Bearer key"]
+        with pytest.raises(RateLimitError) as limit:
+            scorer(["slow down"])
+        assert limit.value.retry_after == 3.0
+        with pytest.raises(ScorerError):
+            scorer(["bad"])
+    finally:
+        server.shutdown()
+
+
+def test_prompt_parsers(spark):
+    df = spark.createDataFrame([('{"a": "x", "b": 1}',), ("no json",), (None,)], "p string")
+    found = [[tuple(x) for x in r[0]] for r in df.select(score.json_fields(F.col("p"), ["b", "a", "c"])).collect()]
+    assert found == [[("b", "1"), ("a", "x")], [], []]
+    prompt = "CUST-000001 support_tickets: 3 payment_delays 2\nCUST-000002 nothing\nCUST-12"
+    df = spark.createDataFrame([(prompt,), ("none",)], "p string")
+    found = [[tuple(x) for x in r[0]] for r in df.select(score.customer_records(F.col("p"))).collect()]
+    assert found == [[("CUST-000001", 3, 2), ("CUST-000002", 0, 0)], []]
+
+
+def test_nearest_in_blocks_equals_a_plain_search(spark, monkeypatch):
+    rng = np.random.RandomState(3)
+    points = rng.randint(0, 4, (400, 3)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(1000, None)], "vec_id long, embedding array<double>").repartition(5)
+    plain = {(q, n + 1, i) for q in range(0, 400, 7) for n, i in enumerate(np.lexsort((np.arange(400), ((points - points[q]) ** 2).sum(axis=1)))[:6])}
+    for most, chunk in ((100_000, 1024), (10, 3)):
+        monkeypatch.setattr(graph, "MAX_QUERIES", most)
+        monkeypatch.setattr(graph, "QUERY_CHUNK", chunk)
+        assert {(r.query_id, r.place, r.id) for r in graph.nearest(df, df.where("vec_id % 7 = 0 AND vec_id < 400"), k=6).collect()} == plain
+    few = graph.nearest(df.where("vec_id < 3"), df.where("vec_id = 0"), k=6).collect()
+    assert len(few) == 3
+
+
+def test_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (None, [1.0, 1.0]), (4, None)], "vec_id long, embedding array<double>")
+    graph.save_index(df.limit(0), path)
+    assert graph.load_index(spark, path).count() == 0 and graph.search_index(graph.load_index(spark, path), df).count() == 0
+    graph.save_index(df, path, append=True)
+    assert graph.load_index(spark, path).count() == 2
+    found = graph.search_index(graph.load_index(spark, path), df.where("vec_id = 1"), k=5).orderBy("place").collect()
+    assert [(r.id, r.distance) for r in found] == [(1, 0.0), (2, 5.0)]
+    other = spark.createDataFrame([(9, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(DimensionError):
+        graph.save_index(other, path, append=True)
+    with pytest.raises(Exception, match="length"):
+        graph.search_index(graph.load_index(spark, path), other).collect()
+
+
+def test_ranks_of_one_task_equal_those_of_joins(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    edges = spark.createDataFrame([(i, (i * i + 1) % 12, 1.0 + i % 3) for i in range(11)], "src long, dst long, weight double")
+    both = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(graph, "SMALL_GRAPH", most)
+        both.append([graph.pagerank(nodes, links(edges), most=10).orderBy("id").collect() for links in (graph.undirected_links, graph.weighted_links)])
+    for one, other in zip(*both):
+        assert [r.id for r in one] == [r.id for r in other] == list(range(12))
+        assert max(abs(a["rank"] - b["rank"]) for a, b in zip(one, other)) < 1e-12
+
+
+def test_too_many_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_NODES", 2)
+    with pytest.raises(ValidationError):
+        graph.similarity_graph(spark.createDataFrame([(i, [1.0]) for i in range(3)], "id long, embedding array<double>"))
+
+
+def test_database_read_by_parts(spark):
+    url = "jdbc:derby:memory:sablefin;create=true"
+    rows = spark.createDataFrame([(i, f"name {i}") for i in range(100)], "id int, name string")
+    rows.write.format("jdbc").options(url=url, dbtable="people").save()
+    whole = tables.jdbc(spark, url, 'SELECT "id", "name" FROM people WHERE "id" < 90')
+    parts = tables.jdbc(spark, url, 'SELECT "id", "name" FROM people WHERE "id" < 90', column="id", lower=10, upper=80, partitions=4)
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 90
+    with pytest.raises(ConfigError):
+        tables.jdbc(spark, url, "SELECT 1", column="ID")
+
+
+def test_runs_in_the_background(spark):
+    control = RunControl(spark)
+    done = control.start(lambda: spark.range(10).count())
+    assert control.result(done, 60) == 10 and control.status(done) == "completed" and not control.cancel(done)
+    failed = control.start(lambda: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        control.result(failed, 60)
+    assert control.status(failed) == "failed"
+    slow = control.start(lambda: spark.range(0, 10**13, 1, 4).selectExpr("count_if(id % 7 = 3)").collect())
+    time.sleep(1.5)
+    assert control.status(slow) == "running" and control.cancel(slow) and control.status(slow) == "cancelled"
+    with pytest.raises(CancelledError):
+        control.result(slow, 60)
+    with pytest.raises(StoreError):
+        control.status("none")
+
+
+def test_profiles_are_kept_for_a_while(spark):
+    now, made = [0.0], []
+    cache = ProfileCache(10, lambda: now[0])
+    make = lambda: made.append(1) or spark.range(3)
+    assert len(cache.get("a", make)) == 3 and len(cache.get("a", make)) == 3 and len(made) == 1
+    now[0] = 10.0
+    cache.get("a", make)
+    cache.invalidate("a")
+    cache.get("a", make)
+    assert len(made) == 3 and (cache.hits, cache.misses) == (1, 3)
+
+
+def test_cache_entries(spark):
+    entries = spark.createDataFrame([("a/1",), ("a/2",), ("b",)], "cache_key string")
+    assert [r[0] for r in runs.invalidated(entries, "a/").collect()] == ["b"] and runs.invalidated(entries).count() == 0

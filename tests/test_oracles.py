@@ -51,9 +51,9 @@ def test_query_equals_its_sql_twin(spark, con, sf_dir, name):
     assert not differ, differ[:3]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in ORACLES and n != "pipeline"))
-def test_query_without_a_twin_runs(spark, sf_dir, name):
-    assert entry.queries()[name](spark, sf_dir).count() >= 0
+def test_only_operators_without_a_twin_lack_one():
+    """Each of these is held against a plain computation or a round trip in tests/llm."""
+    assert all(n.startswith("op") or n == "pipeline" for n in entry.queries() if n not in ORACLES)
 
 
 def test_entry(spark):

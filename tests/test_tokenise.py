@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,6 +40,62 @@ def test_round_trips(spark, texts):
     assert {r.id: r.text for r in restored.collect()} == dict(enumerate(texts))
 
 
+MARKS = st.text("\ue000\ue001\ue003\uf8ff\uf700\uf7ffa-1 ", max_size=12)
+HARD = st.one_of(st.none(), st.lists(st.one_of(EMAIL, SSN, PLAIN, MARKS), max_size=6).map(" ".join), st.lists(st.one_of(SSN, MARKS), max_size=4).map("".join))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(HARD, min_size=1, max_size=14))
+def test_round_trips_of_hard_texts(spark, texts):
+    """Characters that serve as marks, null texts, null and repeated keys, and a text of 200 KB."""
+    texts = [*texts, "call 123-45-6789 now", "xy 123-45-6789 end \ue000\uf8ff", "word " * 40_000 + "a@b.com 123-45-6789"]
+    rows = [(None if i % 3 == 0 else i % 5, i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, n long, text string")
+    tokens = tokenise.dictionary(df, "id", "text", default_pii())
+    tokens = tokens.withColumn("token", tokenise.counter_token(F.col("pattern_type"), F.col("number")))
+    done = tokenise.tokenise(df, "id", "text", tokens, default_pii())
+    hidden = {r.n: r.text for r in done.collect()}
+    originals = [r.original for r in tokens.collect()]
+    assert len(hidden) == len(texts) and "123-45-6789" in originals
+    assert not any(o in (t or "") for t in hidden.values() for o in originals)
+    back = {r.n: r.text for r in tokenise.detokenise(done, "id", "text", tokens).collect()}
+    assert back == dict(enumerate(texts))
+    exact = df.select("n", tokenise.tokenise_text(F.col("text"), most_bytes=None, most_matches=None).alias("text"))
+    known = tokenise.text_tokens(df, "text", most_bytes=None, most_matches=None)
+    assert {r.n: r.text for r in tokenise.detokenise(exact, "n", "text", known).collect()} == dict(enumerate(texts))
+    assert "123-45-6789" not in exact.where(f"n = {len(texts) - 1}").first().text
+
+
+def test_a_match_without_a_token_is_an_error(spark):
+    df = spark.createDataFrame([(1, "call 123-45-6789 now")], "id long, text string")
+    none = spark.createDataFrame([], "original string, token string")
+    with pytest.raises(Exception, match="no token"):
+        tokenise.tokenise(df, "id", "text", none, default_pii()).collect()
+
+
+def test_more_matches_than_the_guard(spark):
+    text = " ".join(f"{i % 900 + 100:03d}-{i % 90 + 10:02d}-{i % 9000 + 1000:04d}" for i in range(1500))
+    df = spark.createDataFrame([(text,)], "text string")
+    guarded, exact, secure = df.select(
+        tokenise.tokenise_text(F.col("text")), tokenise.tokenise_text(F.col("text"), most_bytes=None, most_matches=None), tokenise.tokenise_secure(F.col("text"), most_bytes=None, most_matches=None)
+    ).first()
+    rest = re.compile(r"\b\d{3}-\d{2}-\d{4}\b")
+    assert len(rest.findall(guarded)) == 500 and not rest.findall(exact) and not rest.findall(secure)
+
+
+def test_records_and_kept_dictionaries(spark):
+    df = spark.createDataFrame([(1, "a@b.com", "c@d.org 123-45-6789"), (2, None, "a@b.com"), (2, "x", "c@d.org")], "id long, mail string, note string")
+    tokens = tokenise.record_dictionary(df, "id", ["mail", "note"], default_pii())
+    assert [(r.original, r.number) for r in tokens.orderBy("number").collect()] == [("a@b.com", 0), ("123-45-6789", 1), ("c@d.org", 2)]
+    known = spark.createDataFrame([("c@d.org", "EMAIL", 7), ("old", "EMAIL", 9)], "original string, pattern_type string, number long")
+    merged = tokenise.merged_dictionary(known, tokens)
+    assert {(r.original, r.number) for r in merged.collect()} == {("c@d.org", 7), ("old", 9), ("a@b.com", 10), ("123-45-6789", 11)}
+    merged = merged.withColumn("token", tokenise.counter_token(F.col("pattern_type"), F.col("number")))
+    done = tokenise.tokenise_columns(df, "id", ["mail", "note"], merged, default_pii())
+    assert sorted((r.mail, r.note, tuple(r.tokens_used)) for r in done.where("id = 1").collect()) == [("[EMAIL-10]", "[EMAIL-7] [SSN-11]", ("[EMAIL-10]", "[SSN-11]", "[EMAIL-7]"))]
+    assert done.count() == 3
+
+
 def test_priority_and_reuse(spark):
     df = spark.createDataFrame([(1, "4111111111111111 and 123-45-6789"), (2, "123-45-6789 again")], "id long, text string")
     tokens = tokenise.dictionary(df, "id", "text", default_pii()).collect()
