@@ -17,7 +17,7 @@ __all__ = [
 ]
 
 #: Rows and bytes that Spark hands to a Python worker at once: many short texts, or a few long ones.
-ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,22 +65,26 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-#: Rows that one key may have in a shuffle join.
-HOT_ROWS = 1 << 12
+#: Rows that one key may have in a shuffle join, as long as those with more can be broadcast.
+HOT_ROWS = 1 << 9
 
 
 def hot_join(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined (inner or left_semi) with ``found``, which has each key once and, in ``many``, how many of ``rows`` have it.
+    """``rows`` joined (inner or left_semi) with ``found``, a written table that has each key once and, in ``many``, how many of
+    ``rows`` have it.
 
-    Keys above ``HOT_ROWS`` are joined by broadcast, so that no task gets all rows of a hot key, and the others by shuffle.
-    They are counted first; were there too many of them to broadcast, AQE would have to split them.
+    Keys with many rows are broadcast, so that no task gets all rows of a hot key, and the others are joined by shuffle; were
+    there too many of them, only those with still more rows are.
     """
-    hot = found.where(F.col("many") > HOT_ROWS)
-    count = hot.limit(BROADCAST_ROWS + 1).count()
-    if not 0 < count <= BROADCAST_ROWS:
-        return rows.join(found.drop("many"), key, how)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("many") <= HOT_ROWS).drop("many"), key, how)
-    return rows.join(F.broadcast(hot.drop("many")), key, how).union(cold)
+    most = HOT_ROWS
+    while (count := found.where(F.col("many") > most).limit(BROADCAST_ROWS + 1).count()) > BROADCAST_ROWS:
+        most *= 16
+    cold = rows.join(found.where(F.col("many") <= most).drop("many"), key, how)
+    if not count:
+        return cold
+    hot = F.broadcast(found.where(F.col("many") > most).drop("many"))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col("many") <= most).drop("many"), key, how)
+    return rows.join(hot, key, how).union(cold)
 
 
 def cells(keyed: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
