@@ -17,7 +17,7 @@ __all__ = [
 ]
 
 #: Rows and bytes that Spark hands to a Python worker at once: many short texts, or a few long ones.
-ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
