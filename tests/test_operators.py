@@ -173,9 +173,9 @@ def test_command_line_hides_all_columns_and_restores_them(spark, tmp_path):
     path, kept, out = (str(tmp_path / x) for x in ("people.csv", "dictionary", "hidden"))
     with open(path, "w") as lines:
         lines.write("id,mail,notes\n1,a@b.com,123-45-6789 of a@b.com\n2,c@d.org,\n")
-    hidden = cli.run(spark, ["obfuscate", path, "--dictionary", kept, "--output", out, "--format", "csv"]).collect()
+    hidden = cli.run(spark, ["obfuscate", path, "--dictionary", kept, "--output", out, "--format", "csv"]).orderBy("id").collect()
     assert not any("@" in str(r) or "6789" in str(r) for r in hidden)
-    named = cli.run(spark, ["obfuscate", path, "--columns", "mail,notes"]).collect()
+    named = cli.run(spark, ["obfuscate", path, "--columns", "mail,notes"]).orderBy("id").collect()
     assert [(r.mail, r.notes) for r in named] == [(r.mail, r.notes) for r in hidden]
     back = cli.run(spark, ["restore", out, "--dictionary", kept, "--columns", "mail,notes"]).orderBy("id").collect()
     assert [(r.mail, r.notes) for r in back] == [("a@b.com", "123-45-6789 of a@b.com"), ("c@d.org", None)]
