@@ -13,6 +13,7 @@ from .gif import op2_gif_media
 from .language import op9_language_id
 from .licences import op4_licence_scan
 from .packing import op8_hilbert_packing
+from .secrets import OP13_SQL, op13_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .substrings import op6_substring_dedup
 from .tokens import op3_token_counts
@@ -31,10 +32,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_packing": op8_hilbert_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "op13_secret_scan": op13_secret_scan,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_benchmark_decontamination": OP1_SQL, "op10_chat_formatting": OP10_SQL, "pipeline": pipeline.ORACLE_SQL}
+    found = {
+        "op1_benchmark_decontamination": OP1_SQL,
+        "op10_chat_formatting": OP10_SQL,
+        "op13_secret_scan": OP13_SQL,
+        "pipeline": pipeline.ORACLE_SQL,
+    }
     return {name: sql for name, sql in found.items() if sql}
