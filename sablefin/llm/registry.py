@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import pipeline
 from .chat import OP10_SQL, op10_chat_formatting
+from .collocations import OP12_SQL, op12_collocations
 from .decontaminate import OP1_SQL, op1_benchmark_decontamination
 from .gif import op2_gif_media
 from .language import op9_language_id
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_packing": op8_hilbert_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "op12_collocations": op12_collocations,
         "op13_secret_scan": op13_secret_scan,
         "pipeline": pipeline.run,
     }
@@ -41,6 +43,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op1_benchmark_decontamination": OP1_SQL,
         "op10_chat_formatting": OP10_SQL,
+        "op12_collocations": OP12_SQL,
         "op13_secret_scan": OP13_SQL,
         "pipeline": pipeline.ORACLE_SQL,
     }
