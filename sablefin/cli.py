@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,22 @@ def parser() -> argparse.ArgumentParser:
         verb.add_argument("--format", choices=["json", "csv", "parquet"], default="json")
         verb.add_argument("--patterns", help="JSON file of rules")
         verb.add_argument("--columns", help="names, separated by commas; obfuscate and restore take all columns but the key without them")
-        verb.add_argument("--dictionary", help="folder of the tokens' dictionary (Parquet): obfuscate writes it, restore needs it")
+        verb.add_argument("--dictionary", help="folder of the tokens' dictionary (Parquet): obfuscate adds to it, restore needs it")
         verb.add_argument("--rows", type=int, default=10_000, help="rows to sample")
         verb.add_argument("--dry-run", action="store_true")
     return out
 
 
+def kept_dictionary(spark: SparkSession, folder: str | None) -> DataFrame | None:
+    """The dictionary of earlier calls, if the folder has one."""
+    try:
+        return spark.read.parquet(folder) if folder else None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def run(spark: SparkSession, argv: list[str]) -> DataFrame:
     """Do what the arguments say and return the result's rows."""
     args = parser().parse_args(argv)
@@ -44,9 +55,12 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame:
             kinds = {r.pattern_type for r in found.select("pattern_type").collect()}
             save_patterns(PatternSet(p for p in library.patterns if p.pattern_type in kinds), args.patterns)
     elif args.verb == "obfuscate":
-        found, tokens = library.obfuscate(df, args.key, columns)
+        known = kept_dictionary(spark, args.dictionary)
+        found, tokens = library.obfuscate(df, args.key, columns, known)
         if args.dictionary and not args.dry_run:
-            tables.write(tokens, args.dictionary, "parquet")
+            # What is kept stays as it is, so that files of earlier calls can be restored; only new originals are added.
+            fresh = tokens if known is None else tokens.join(known.select("original"), "original", "left_anti").select(*known.columns)
+            fresh.write.mode("append").parquet(args.dictionary)
     elif args.verb == "restore":
         if not args.dictionary:
             raise ConfigError("restore needs --dictionary")

@@ -18,7 +18,9 @@ _FIRST_MARK = 0xE000
 #: Stands before a character of the text itself that is a mark, which another private-use character then replaces.
 _ESCAPE, _FIRST_ESCAPED, _ESCAPED_ESCAPE = "\uf8ff", 0xF700, "\uf7ff"
 TOKEN_REGEX = r"\[[A-Z0-9_]+-\d+\]"
-BOUNDED_REGEX = r"\b(?:EMAIL_|SSN_|PHONE_|CC_|IP_)?[0-9A-F]{8}\b"
+BOUNDED_REGEX = r"\b(?:EMAIL_|SSN_|PHONE_|CC_|IP_|LITERAL_)?[0-9A-F]{8}\b"
+#: What looks like a token in a text that holds none yet gets a token of this kind, so that it comes back as it was.
+LITERAL = "LITERAL"
 
 
 def _mark(k: int) -> str:
@@ -51,7 +53,11 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _rules(patterns: PatternSet) -> list[Pattern]:
-    return PatternSet(patterns).one_per_type().by_priority()
+    """One rule for each kind in order of priority, behind one for what looks like a token of these kinds in the text itself."""
+    own = PatternSet(patterns).one_per_type().by_priority()
+    prefixes = "|".join(sorted({TOKEN_PREFIXES[r.pattern_type] for r in own if r.pattern_type in TOKEN_PREFIXES} | {f"{LITERAL}_"}))
+    bare = "?" if any(r.pattern_type not in TOKEN_PREFIXES for r in own) else ""
+    return [Pattern(LITERAL, rf"{TOKEN_REGEX}|\b(?:{prefixes}){bare}[0-9A-F]{{8}}\b"), *own]
 
 
 def marked(text: Column, rules: list[Pattern]) -> tuple[Column, list[Column]]:
@@ -100,7 +106,7 @@ def dictionary(df: DataFrame, key: str, text_column: str, patterns: PatternSet)
     """Rows (original, pattern_type, number): each distinct match, numbered from 0 by its first place.
 
     Places are ordered by key, then rule by priority, then position; a text that several kinds match has the kind of its
-    first place.
+    first place. What looks like a token in a text is an original of its own, so no text can pass for another one's token.
     """
     names = F.array(*(F.lit(r.pattern_type) for r in _rules(patterns)))
     places = _places(with_marks(df.select(key, text_column), text_column, patterns), key, patterns)
@@ -116,14 +122,15 @@ def counter_token(pattern_type: Column, number: Column) -> Column:
 
 def bounded_token(pattern_type: Column, number: Column) -> Column:
     """A prefix for the kind (none for some) and the number as eight hexadecimal digits."""
-    pairs = [F.lit(x) for item in TOKEN_PREFIXES.items() for x in item]
+    pairs = [F.lit(x) for item in (TOKEN_PREFIXES | {LITERAL: f"{LITERAL}_"}).items() for x in item]
     return F.concat(F.coalesce(F.create_map(*pairs)[pattern_type], F.lit("")), F.format_string("%08X", number))
 
 
-def hash_token(original: Column, label: str) -> Column:
+def hash_token(original: Column, label: str | Column) -> Column:
     """``[LABEL-h]`` with 60 bits of a hash of text and label: no dictionary is needed to make it."""
-    digest = F.conv(F.substring(F.md5(F.concat(original, F.lit(f"|{label}"))), 1, 15), 16, 10)
-    return F.concat(F.lit(f"[{label}-"), digest, F.lit("]"))
+    before, behind = (F.lit(f"[{label}-"), F.lit(f"|{label}")) if isinstance(label, str) else (F.concat(F.lit("["), label, F.lit("-")), F.concat(F.lit("|"), label))
+    digest = F.conv(F.substring(F.md5(F.concat(original, behind)), 1, 15), 16, 10)
+    return F.concat(before, digest, F.lit("]"))
 
 
 def tokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, patterns: PatternSet) -> DataFrame:
@@ -250,6 +257,33 @@ def tokenise_secure(text: Column, rules: list[tuple[str, str]] = TEXT_RULES, mos
     return out if most_bytes is None else guarded(text, out, most_bytes)
 
 
+def hidden(df: DataFrame, text_column: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """``df`` with what any of the rules (label, regex) matches in the text replaced by hash tokens.
+
+    Rules go in the order given, each over what the ones before it have left; of a kind there may be several. Nothing that a
+    rule puts in is matched by a later one, and there are no guards.
+    """
+    count = len(rules)
+    rows = df.withColumn("__marked", _escaped(F.col(text_column), count))
+    for k, (_, regex) in enumerate(rules):  # a projection for each rule: nested in one, every rule would run all before it again
+        worth = _may_match(F.col("__marked"), regex)
+        found = F.when(worth, F.regexp_extract_all("__marked", F.lit(regex), F.lit(0)))
+        text = F.when(worth, F.regexp_replace("__marked", regex, _mark(k))).otherwise(F.col("__marked"))
+        rows = rows.select(*(c for c in rows.columns if c != "__marked"), text.alias("__marked"), found.alias(f"__found_{k}"))
+    matches = F.array(*(F.col(f"__found_{k}") for k in range(count))) if rules else F.array().cast("array<array<string>>")
+    rows = rows.withColumn("__found", matches).drop(*(f"__found_{k}" for k in range(count)))
+    labels = F.array(*(F.lit(label) for label, _ in rules)) if rules else F.array().cast("array<string>")
+    marks = F.array(*(F.lit(_mark(k)) for k in range(count))) if rules else F.array().cast("array<string>")
+
+    def filled(text: Column, k: Column) -> Column:
+        own = F.transform(F.get("__found", k), lambda m: hash_token(_unescaped(m, count), F.get(labels, k)))
+        pieces = F.zip_with(F.split(text, F.get(marks, k), -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+        return F.when(F.size(own) > 0, F.array_join(pieces, "")).otherwise(text)
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.col("__marked"), filled) if rules else F.col("__marked")
+    return rows.withColumn(text_column, _unescaped(out, count)).drop("__marked", "__found")
+
+
 def text_tokens(df: DataFrame, text_column: str, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES) -> DataFrame:
     """Rows (original, label, token): the text engine's dictionary, one row for each distinct match."""
     text = F.col(text_column)
@@ -262,19 +296,78 @@ def text_tokens(df: DataFrame, text_column: str, rules: list[tuple[str, str]] =
     return short.select(F.explode(F.concat(*parts)).alias("x")).select("x.*").distinct()
 
 
-def tokenise_nested(column: Column, schema: T.DataType, rules: list[tuple[str, str]] = TEXT_RULES) -> Column:
+def tokenise_nested(
+    column: Column, schema: T.DataType, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES
+) -> Column:
     """The same value with every string leaf tokenised: structs, arrays and map values are walked by their type, names,
-    map keys, numbers and nulls stay."""
-    if isinstance(schema, T.StringType):
-        return tokenise_text(column, rules)
-    if isinstance(schema, T.StructType):
-        parts = [tokenise_nested(column[f.name], f.dataType, rules).alias(f.name) for f in schema.fields]
-        return F.when(column.isNotNull(), F.struct(*parts))
-    if isinstance(schema, T.ArrayType):
-        return F.transform(column, lambda x: tokenise_nested(x, schema.elementType, rules))
-    if isinstance(schema, T.MapType):
-        return F.transform_values(column, lambda _, v: tokenise_nested(v, schema.valueType, rules))
-    return column
+    map keys, numbers and nulls stay. JSON whose shape no schema tells goes through :func:`tokenise_json` or, as VARIANT,
+    :func:`tokenise_variant`. The guards are those of :func:`tokenise_text`."""
+
+    def walk(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return tokenise_text(value, rules, most_bytes, most_matches)
+        if isinstance(kind, T.VariantType):
+            return tokenise_variant(value, rules, most_bytes, most_matches)
+        if isinstance(kind, T.StructType):
+            parts = [walk(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*parts))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: walk(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda _, v: walk(v, kind.valueType))
+        return value
+
+    return walk(column, schema)
+
+
+#: A string of JSON text with the colon that makes it a name. Possessive, so that long strings take no stack.
+_JSON_STRING = r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?'
+
+
+def _decoded(literal: Column) -> Column:
+    """What a JSON string literal stands for."""
+    return F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
+
+
+def _encoded(text: Column) -> Column:
+    """A text as JSON string literal."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def json_leaves(text: Column) -> Column:
+    """The string values of a JSON text at any depth, in order; a text that isn't JSON is a single one, null has none."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(_JSON_STRING), F.lit(0)), lambda x: ~x.endswith(":"))
+    return F.when(F.try_parse_json(text).isNotNull(), F.transform(found, _decoded)).when(text.isNotNull(), F.array(text))
+
+
+def tokenise_json(text: Column, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES) -> Column:
+    """JSON text of any shape with every string value tokenised, at any depth; no schema is needed.
+
+    Names, numbers, booleans, nulls, blanks, order and repeated names stay as they are written, and so does the notation of a
+    string that nothing changes. A text that isn't JSON is tokenised as a whole; null stays null. The guards hold for each
+    string. One pass over the text, without a shuffle.
+    """
+
+    def leaf(literal: Column) -> Column:
+        def changed(value: Column) -> Column:
+            return _once(tokenise_text(value, rules, most_bytes, most_matches), lambda done: F.when(done == value, literal).otherwise(_encoded(done)))
+
+        return F.when(literal.endswith(":"), literal).otherwise(F.coalesce(_once(_decoded(literal), changed), literal))
+
+    def rebuilt(whole: Column) -> Column:
+        strings = F.transform(F.regexp_extract_all(whole, F.lit(_JSON_STRING), F.lit(0)), leaf)
+        pieces = F.zip_with(F.split(whole, _JSON_STRING, -1), strings, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return F.when(F.try_parse_json(text).isNotNull(), rebuilt(text)).otherwise(tokenise_text(text, rules, most_bytes, most_matches))
+
+
+def tokenise_variant(
+    value: Column, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES
+) -> Column:
+    """A VARIANT value with every string in it tokenised: as :func:`tokenise_json` on its JSON text, parsed again."""
+    return F.parse_json(tokenise_json(F.to_json(value), rules, most_bytes, most_matches))
 
 
 def record_id(df: DataFrame) -> Column:
@@ -285,9 +378,11 @@ def record_id(df: DataFrame) -> Column:
     return F.lit(None).cast("string")
 
 
-def tokenise_records(df: DataFrame, columns: list[str], rules: list[tuple[str, str]] = TEXT_RULES) -> DataFrame:
+def tokenise_records(
+    df: DataFrame, columns: list[str], rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = MAX_TEXT_BYTES, most_matches: int | None = MAX_MATCHES
+) -> DataFrame:
     """Rows (id, *columns, tokens_used): records with all their string columns tokenised and the tokens in them."""
-    changed = [tokenise_text(F.col(c), rules).alias(c) for c in columns]
+    changed = [tokenise_text(F.col(c), rules, most_bytes, most_matches).alias(c) for c in columns]
     out = df.select(record_id(df).alias("__id"), *changed)
     used = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(TOKEN_REGEX), F.lit(0)) for c in columns))))
     return out.withColumn("tokens_used", used).withColumnRenamed("__id", "record_id")

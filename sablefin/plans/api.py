@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sablefin.errors import PatternError
-from sablefin.functions.patterns import LIBRARY, TEXT_RULES, PatternSet, default_pii, with_custom
+from sablefin.functions.patterns import LIBRARY, PatternSet, default_pii, with_custom
 from sablefin.operators import detect, features, score, tokenise
 from sablefin.sources import tables
 
@@ -71,6 +71,12 @@ class Sablefin:
 
     def score(self, df: DataFrame, text_column: str, scorer: Callable[[list[str]], list[float]], **limits: float) -> DataFrame:
         """``df`` with the scores of an outside scorer, which sees tokenised text alone, however long a text is and however many
-        matches it has. Rows stay as they are, repeated ones too."""
-        hidden = df.withColumn("__hidden", tokenise.tokenise_text(F.col(text_column), TEXT_RULES, most_bytes=None, most_matches=None))
-        return score.with_scorer(hidden, "__hidden", scorer, **limits).drop("__hidden")
+        matches it has. Rows stay as they are, repeated ones too.
+
+        All that this object's patterns and any regex of its library match is replaced, the patterns first, in order of
+        priority.
+        """
+        rules = [(p.pattern_type, p.regex) for p in self.patterns.active().by_priority()]
+        rules += [(kind, regex) for kind, regexes in self.library.items() for regex in regexes if (kind, regex) not in rules]
+        concealed = tokenise.hidden(df.withColumn("__hidden", F.col(text_column)), "__hidden", rules)
+        return score.with_scorer(concealed, "__hidden", scorer, **limits).drop("__hidden")

@@ -242,6 +242,54 @@ def tokenise_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("id", F.to_json(tokenise.tokenise_nested(F.col("record"), records.schema["record"].dataType)).alias("record"))
 
 
+_JSON_RECORDS = f"""records AS (
+  SELECT 'event' || event_id AS key, props AS record, props AS hidden FROM events
+  UNION ALL
+  SELECT 'contact' || id, replace(shape, '?', email), replace(shape, '?', {_hash_sql('email', 'EMAIL')}) FROM (
+    SELECT id, email, CASE id % 5
+      WHEN 0 THEN '{{"who?":{{"mail" : ["?",' || id || ',null,true,{{"deep":[["?"]]}}]}},"n":1.50}}'
+      WHEN 1 THEN '["to ? and \\\"?\\\"", -1e5, "?",{{}}]'
+      WHEN 2 THEN '"?"'
+      WHEN 3 THEN '{{"at":"2024-01-01","caf\\u00e9":"na\\u00efve ","id":' || (id + 100000000) || '}}'
+      ELSE 'no json: ?' END AS shape FROM contacts))"""
+
+
+@registry.add("tokenise_json", f"WITH {CONTACTS}, {_JSON_RECORDS} SELECT key, CASE WHEN record LIKE '%\"who%' THEN replace(hidden, 'who' || {_hash_sql('mail', 'EMAIL')}, 'who' || mail) ELSE hidden END AS record FROM (SELECT *, 'customer' || substr(key, 8) || '@example.com' AS mail FROM records)")
+def tokenise_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of no common shape: names, numbers, blanks and what isn't a string stay, strings are tokenised at any depth."""
+    number = F.col("id") % 5
+    shapes = [
+        F.concat(F.lit('{"who?":{"mail" : ["?",'), F.col("id").cast("string"), F.lit(',null,true,{"deep":[["?"]]}]},"n":1.50}')),
+        F.lit('["to ? and \\"?\\"", -1e5, "?",{}]'),
+        F.lit('"?"'),
+        F.concat(F.lit('{"at":"2024-01-01","caf\\u00e9":"na\\u00efve ","id":'), (F.col("id") + 100000000).cast("string"), F.lit("}")),
+        F.lit("no json: ?"),
+    ]
+    shape = F.when(number == 0, shapes[0]).when(number == 1, shapes[1]).when(number == 2, shapes[2]).when(number == 3, shapes[3]).otherwise(shapes[4])
+    contacts = _contacts(spark, sf_dir).select(F.concat(F.lit("contact"), F.col("id").cast("string")).alias("key"), F.replace(shape, F.lit("?"), F.col("email")).alias("record"))
+    events = tables.parquet(spark, sf_dir, "events").select(F.concat(F.lit("event"), F.col("event_id").cast("string")).alias("key"), F.col("props").alias("record"))
+    return events.union(contacts).select("key", tokenise.tokenise_json(F.col("record")).alias("record"))
+
+
+_LITERALS = "note || ' [EMAIL-' || (id % 50) || '] EMAIL_' || printf('%08X', id % 50) || ' [LITERAL-0] [SSN-1'"
+
+
+@registry.add("restore_literals", f"WITH {CONTACTS} SELECT id, {_LITERALS} AS note, {_LITERALS} AS bounded, true AS hidden FROM contacts")
+def restore_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes that hold other rows' tokens as text, tokenised by both engines and restored; ``hidden``: none was seen meanwhile."""
+    number = F.col("id") % 50
+    note = F.concat("note", F.lit(" [EMAIL-"), number.cast("string"), F.lit("] EMAIL_"), F.format_string("%08X", number), F.lit(" [LITERAL-0] [SSN-1"))
+    df = _contacts(spark, sf_dir).select("id", note.alias("note"))
+    tokens = scratch.written(_numbers(df), "dictionary")
+    out = None
+    for name, token, regex in (("note", tokenise.counter_token, tokenise.TOKEN_REGEX), ("bounded", tokenise.bounded_token, tokenise.BOUNDED_REGEX)):
+        own = tokens.withColumn("token", token(F.col("pattern_type"), F.col("number")))
+        done = tokenise.tokenise(df, "id", "note", own, default_pii()).withColumn("hidden", ~F.col("note").rlike("@example"))
+        back = tokenise.detokenise(done, "id", "note", own, regex).select("id", F.col("note").alias(name), "hidden")
+        out = back if out is None else out.join(back.withColumnRenamed("hidden", "also"), "id").select("id", "note", "bounded", (F.col("hidden") & F.col("also")).alias("hidden"))
+    return out
+
+
 @registry.add(
     "obfuscate_summary",
     _chain_sql(_COUNTER)

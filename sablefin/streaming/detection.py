@@ -17,9 +17,14 @@ def lines(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFra
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def tokenise_lines(spark: SparkSession, source: str, target: str, rules: list[tuple[str, str]] = TEXT_RULES) -> StreamingQuery:
-    """Tokenise what lies in a folder into another one, exactly once; the query ends when all of it is read."""
-    done = lines(spark, source).select(tokenise_text(F.col("value"), rules).alias("value"))
+def tokenise_lines(
+    spark: SparkSession, source: str, target: str, rules: list[tuple[str, str]] = TEXT_RULES, most_bytes: int | None = None, most_matches: int | None = None
+) -> StreamingQuery:
+    """Tokenise what lies in a folder into another one, exactly once; the query ends when all of it is read.
+
+    Lines leave the system here, so by default none is too long and none has too many matches to be tokenised.
+    """
+    done = lines(spark, source).select(tokenise_text(F.col("value"), rules, most_bytes, most_matches).alias("value"))
     writer = done.writeStream.format("text").option("checkpointLocation", new_path(spark, "stream-checkpoint"))
     return writer.trigger(availableNow=True).start(target)
 

@@ -190,6 +190,54 @@ def test_outside_scorer_sees_no_number(spark):
     assert sorted((str(r.id), r.text or "", r.score) for r in found) == sorted((str(k), t or "", 0.0) for k, t in [(1, long), (1, long), (None, "123-45-6789"), (2, None)])
 
 
+#: A value of every kind of the library, as a text may hold it.
+PRIVATE = {
+    "EMAIL": "a.person@example.org",
+    "SSN": "123-45-6789",
+    "PHONE": "555-123-4567",
+    "CREDIT_CARD": "4111111111111111",
+    "IP_ADDRESS": "10.21.32.43",
+    "DATE_OF_BIRTH": "1990-12-31",
+    "MRN": "MRN: 7654321",
+    "DRIVERS_LICENSE": "D1234567",
+    "BANK_ACCOUNT": "12345678901",
+    "PASSPORT": "passport: X98765Z",
+}
+
+
+def test_outside_scorer_sees_no_kind_of_the_library(spark):
+    library = Sablefin(spark)
+    assert set(PRIVATE) == set(library.library)
+    library.add_pattern("BADGE", "badge-[a-z]+")
+    values = [*PRIVATE.values(), "badge-secret"]
+    texts = [f"x {v} y" for v in values] + [" ".join(values), "plain \ue000 text", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+    def scorer(seen):
+        return [-1.0 if t is None else float(sum(v in t for v in values)) + 100 * t.count("[") for t in seen]
+
+    found = {r.id: r.score for r in library.score(df, "text", scorer).collect()}
+    shown = {i: s % 100 for i, s in found.items() if s >= 0}
+    assert not any(shown.values()), shown
+    assert all(found[i] >= 100 for i in range(len(values))) and found[len(values)] >= 100 * len(values)
+    assert found[len(values) + 1] == 0
+
+
+def test_second_obfuscate_keeps_the_first_restorable(spark, tmp_path):
+    kept, out = str(tmp_path / "kept"), [str(tmp_path / n) for n in ("one", "two")]
+    files = [str(tmp_path / f"{n}.csv") for n in ("one", "two")]
+    rows = ["id,mail\n1,a@b.com\n2,c@d.org\n", "id,mail\n1,e@f.net\n2,a@b.com\n3,[EMAIL-0]\n"]
+    for path, text in zip(files, rows):
+        with open(path, "w") as lines:
+            lines.write(text)
+    for path, target in zip(files, out):
+        cli.run(spark, ["obfuscate", path, "--dictionary", kept, "--output", target, "--format", "csv"])
+    tokens = spark.read.parquet(kept).collect()
+    assert len({r.token for r in tokens}) == len({r.original for r in tokens}) == len(tokens) == 4
+    back = [[r.mail for r in cli.run(spark, ["restore", x, "--dictionary", kept, "--columns", "mail"]).orderBy("id").collect()] for x in out]
+    assert back == [["a@b.com", "c@d.org"], ["e@f.net", "a@b.com", "[EMAIL-0]"]]
+
+
 def test_retries_and_waits(spark, monkeypatch):
     waited, calls = [], []
     monkeypatch.setattr(score.time, "sleep", waited.append)

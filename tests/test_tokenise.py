@@ -1,5 +1,6 @@
 """Invariants of detection and tokenisation."""
 
+import json
 import re
 
 import pytest
@@ -41,7 +42,8 @@ def test_round_trips(spark, texts):
 
 
 MARKS = st.text("\ue000\ue001\ue003\uf8ff\uf700\uf7ffa-1 ", max_size=12)
-HARD = st.one_of(st.none(), st.lists(st.one_of(EMAIL, SSN, PLAIN, MARKS), max_size=6).map(" ".join), st.lists(st.one_of(SSN, MARKS), max_size=4).map("".join))
+LIKE_TOKENS = st.from_regex(r"\A\[?(EMAIL|LITERAL|SSN)[-_]0{0,7}[0-9A-F]\]?\Z")
+HARD = st.one_of(st.none(), st.lists(st.one_of(EMAIL, LIKE_TOKENS), max_size=6).map(" ".join), st.lists(st.one_of(EMAIL, SSN, PLAIN, MARKS), max_size=6).map(" ".join), st.lists(st.one_of(SSN, MARKS), max_size=4).map("".join))
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -183,3 +185,85 @@ def test_sealing(spark):
     key = bytes(range(32))
     df = spark.createDataFrame([("a",), ("",), (None,)], "s string").withColumn("x", tokenise.sealed(F.col("s"), key))
     assert [(r.n, r.s == r.o) for r in df.select("s", F.octet_length("x").alias("n"), tokenise.opened(F.col("x"), key).alias("o")).collect()] == [(29, True), (28, True), (None, True)]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(st.lists(st.one_of(EMAIL, SSN, LIKE_TOKENS, PLAIN), max_size=6).map(" ".join), min_size=3, max_size=14))
+def test_texts_that_hold_tokens_come_back(spark, texts):
+    """By both engines; a rule without a prefix for its tokens makes any eight hexadecimal digits look like one."""
+    texts = [*texts, "I type [EMAIL-0] and [LITERAL-0]", "a@b.com EMAIL_00000000 LITERAL_00000001 00000002", "x 00000000 badge-1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    patterns = PatternSet([*default_pii(), Pattern("BADGE", r"badge-\d")])
+    numbers = tokenise.dictionary(df, "id", "text", patterns)
+    for token, regex in ((tokenise.counter_token, tokenise.TOKEN_REGEX), (tokenise.bounded_token, tokenise.BOUNDED_REGEX)):
+        tokens = numbers.withColumn("token", token(F.col("pattern_type"), F.col("number")))
+        done = tokenise.tokenise(df, "id", "text", tokens, patterns)
+        assert {r.id: r.text for r in tokenise.detokenise(done, "id", "text", tokens, regex).collect()} == dict(enumerate(texts))
+
+
+def _walked(value, change):
+    if isinstance(value, str):
+        return change(value)
+    if isinstance(value, dict):
+        return {k: _walked(v, change) for k, v in value.items()}
+    return [_walked(v, change) for v in value] if isinstance(value, list) else value
+
+
+LEAF = st.one_of(st.none(), st.booleans(), st.integers(-(10**9), 10**9), st.floats(-1e6, 1e6), EMAIL, st.text('a"\\\n\t@é\U0001f600{[:,', max_size=8), SSN.map(lambda s: f'"{s}":'))
+JSON = st.recursive(LEAF, lambda inner: st.one_of(st.lists(inner, max_size=4), st.dictionaries(st.one_of(EMAIL, st.text('ab":\\', max_size=4)), inner, max_size=4)), max_leaves=12)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.tuples(JSON, st.booleans(), st.sampled_from([None, 1])), min_size=4, max_size=20))
+def test_json_of_any_shape(spark, values):
+    """Against a walk over the parsed value; what isn't a string is compared as it is written."""
+    texts = [json.dumps(v, ensure_ascii=a, indent=i) for v, a, i in values]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    leaves = {x for row in df.select(tokenise.json_leaves(F.col("text")).alias("x")).collect() for x in row.x}
+    changed = {x: y for x, y in df.sparkSession.createDataFrame([(x,) for x in leaves], "x string").select("x", tokenise.tokenise_text(F.col("x")).alias("y")).collect()}
+    found = df.select("id", tokenise.tokenise_json(F.col("text")).alias("text"), F.to_json(tokenise.tokenise_variant(F.try_parse_json("text"))).alias("variant")).collect()
+    for i, text, variant in found:
+        want = _walked(values[i][0], changed.__getitem__)
+        assert json.loads(text) == want
+        if want == values[i][0]:
+            assert text == texts[i]
+        if variant is not None:
+            assert json.loads(variant) == pytest.approx(want) if isinstance(want, float) else True
+            assert [x for x in _strings(json.loads(variant))] == sorted_strings(want, json.loads(variant))
+
+
+def _strings(value):
+    if isinstance(value, str):
+        yield value
+    for inner in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
+        yield from _strings(inner)
+
+
+def sorted_strings(want, got):
+    """The strings of ``want`` in the order in which ``got``, whose names a VARIANT has sorted, holds them."""
+    if isinstance(want, str):
+        return [want]
+    if isinstance(want, dict):
+        return [x for k in got for x in sorted_strings(want[k], got[k])]
+    return [x for w, g in zip(want, got) for x in sorted_strings(w, g)] if isinstance(want, list) else []
+
+
+def test_json_edges(spark):
+    long = '"' + "a\\n" * 60_000 + ' a@b.com"'
+    texts = [None, "", "  ", "no json a@b.com", '{"a@b.com":"x"', '{"a":1,"a":"a@b.com"}', '{"n":12345678901234567890.10,"e":1E5 ,"s":"a\\u0040b.com"}', long, "[" * 60 + '"a@b.com"' + "]" * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = [r.t for r in df.select("id", tokenise.tokenise_json(F.col("text"), most_bytes=None).alias("t")).orderBy("id").collect()]
+    assert rows[:3] == texts[:3] and "@" not in rows[3] + rows[4]
+    assert rows[5].startswith('{"a":1,"a":"[EMAIL-') and rows[6].startswith('{"n":12345678901234567890.10,"e":1E5 ,"s":"[EMAIL-')
+    assert "@" not in rows[7] and rows[7].startswith(long[:1000]) and rows[8].startswith("[" * 60 + '"[EMAIL-')
+
+
+def test_guards_can_be_switched_off_everywhere(spark):
+    text = "word " * 30_000 + "a@b.com"
+    df = spark.createDataFrame([(1, text, (text,))], "id long, text string, record struct<x:string>")
+    kind = df.schema["record"].dataType
+    on = df.select(tokenise.tokenise_nested(F.col("record"), kind).alias("r"), tokenise.tokenise_json(F.to_json("record")).alias("j"))
+    off = df.select(tokenise.tokenise_nested(F.col("record"), kind, most_bytes=None).alias("r"), tokenise.tokenise_json(F.to_json("record"), most_bytes=None).alias("j"))
+    assert "@" in on.first().r.x and "@" in on.first().j
+    assert "@" not in off.first().r.x and "@" not in off.first().j
+    assert "@" in tokenise.tokenise_records(df, ["text"]).first().text and "@" not in tokenise.tokenise_records(df, ["text"], most_bytes=None).first().text
