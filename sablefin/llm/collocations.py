@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_broadcast, small_batches, table, temporary, utf8, written
+from .common import bounded_broadcast, numbered, small_batches, table, temporary, utf8, written
 
 #: Occurrences that a phrase needs, words that it has at most, and how many phrases of a language are reported.
 LEAST, MOST_WORDS, TOP = 30, 4, 2000
 #: A phrase is dropped if a longer one that holds it has at least so many hundredths of its occurrences.
 INSIDE = 80
 #: Bytes of text that are encoded together. Only a piece without any separator may be longer than that.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Frequent words or n-grams that are broadcast at once; more of them are joined by shuffle.
 BROADCAST_GRAMS = 1 << 19
 #: Rows that Python workers get at once where rows are a few numbers.
@@ -161,16 +161,6 @@ def _run_lengths(rows: DataFrame, least: int) -> DataFrame:
     return rows.select("key", "high", "many").repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key long, high long, a long")
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written with a column ``id`` from 1 without gaps: only the sizes of its partitions meet in one place."""
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = written(df.withColumn("__part", F.spark_partition_id()).withColumn("__row", row), name)
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    return placed.join(F.broadcast(starts), "__part").withColumn("id", F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__size", "__before")
-
-
 def _known(chunks: DataFrame, rows: DataFrame, frequent: DataFrame, key: list[str]) -> DataFrame:
     """``chunks`` with ``known``, the (j, id) of those of their ``rows`` (chunk, j, *key) that are among ``frequent``."""
     met = rows.join(bounded_broadcast(frequent.select(*key, "id"), BROADCAST_GRAMS), key)
@@ -218,7 +208,7 @@ def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str =
         words = chunks.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "many")).alias("j", "x"))
         words = words.select("chunk", "lang", (F.col("j") + 1).alias("j"), F.col("x.words").alias("word"), F.col("x.many").alias("many"))
         counted = words.groupBy("lang", "word").agg(F.sum("many").alias("a")).where(F.col("a") >= least)
-        frequent = _numbered(counted, "words")
+        frequent = numbered(counted, "words")
         one = F.array("a")
         full = [frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", one.alias("pre"), one.alias("suf"))]
         halves = []
@@ -230,7 +220,7 @@ def collocations(docs: DataFrame, lang_column: str = "lang", text_column: str =
             rows = rows.select("chunk", (F.col("j") + 1).alias("j"), F.col("x.keys").alias("key"), F.col("x.highs").cast("long").alias("high"), F.col("x.many").alias("many"))
             key = ["key", "high"]
             with narrow_rows(spark):
-                frequent = _numbered(_run_lengths(rows, least), f"frequent-{size}")
+                frequent = numbered(_run_lengths(rows, least), f"frequent-{size}")
             halves.append(frequent.select("id", "a", _half(True).alias("left"), _half(False).alias("right")))
             full.append(written(_spelt(halves[-1], full[-1]), f"spelt-{size}"))
         kept = None

@@ -12,7 +12,7 @@ from sablefin.sources.scratch import drop_written, shared_dir, temporary, writte
 from sablefin.sources.workers import reach_package
 
 __all__ = [
-    "bounded_broadcast", "buffers", "cells", "drop_written", "hot_join", "is_held_out", "sampled", "shared_dir", "small_batches", "table", "temporary",
+    "bounded_broadcast", "buffers", "cells", "drop_written", "hot_join", "is_held_out", "numbered", "sampled", "shared_dir", "small_batches", "table", "temporary",
     "utf8", "written",
 ]
 
@@ -102,6 +102,17 @@ def cells(keyed: DataFrame, keys: list[str], item: str, most: int) -> DataFrame:
     return pairs.select(*keys, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), item, "n")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written with a column ``id`` from 1 without gaps, in the order of its partitions and of the rows in them: only the
+    partitions' sizes meet in one place."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(df.withColumn("__part", F.spark_partition_id()).withColumn("__row", row), name)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("id", F.col("__before") + F.col("__row") + 1).drop("__part", "__row", "__size", "__before")
+
+
 #: Parts of a group that a sample is drawn from, so that no group of rows has to be ordered by one task.
 SLOTS = 64
 

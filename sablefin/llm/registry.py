@@ -16,6 +16,7 @@ from .licences import op4_licence_scan
 from .packing import op8_hilbert_packing
 from .secrets import OP13_SQL, op13_secret_scan
 from .simhash import op7_simhash_near_dedup
+from .spelling import OP11_SQL, op11_spelling_variants
 from .substrings import op6_substring_dedup
 from .tokens import op3_token_counts
 from .toxicity import op5_toxicity
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hilbert_packing": op8_hilbert_packing,
         "op9_language_id": op9_language_id,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_collocations": op12_collocations,
         "op13_secret_scan": op13_secret_scan,
         "pipeline": pipeline.run,
@@ -43,6 +45,7 @@ def oracle_sql() -> dict[str, str]:
     found = {
         "op1_benchmark_decontamination": OP1_SQL,
         "op10_chat_formatting": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
         "op12_collocations": OP12_SQL,
         "op13_secret_scan": OP13_SQL,
         "pipeline": pipeline.ORACLE_SQL,

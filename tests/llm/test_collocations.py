@@ -75,8 +75,8 @@ def test_small_chunks_and_shuffle_joins(spark, monkeypatch):
 
 def test_ids_beyond_32_bits(spark, monkeypatch):
     """Keys that differ in the high bits alone stay apart."""
-    plain = collocations._numbered
-    monkeypatch.setattr(collocations, "_numbered", lambda df, name: (lambda t: t.withColumn("id", (t["id"] % 3) * (1 << 32) + t["id"] / 3 + 1).withColumn("id", collocations.F.col("id").cast("long")))(plain(df, name)))
+    plain = collocations.numbered
+    monkeypatch.setattr(collocations, "numbered", lambda df, name: (lambda t: t.withColumn("id", (t["id"] % 3) * (1 << 32) + t["id"] / 3 + 1).withColumn("id", collocations.F.col("id").cast("long")))(plain(df, name)))
     rows = made(3, 100)
     assert found(spark, rows) == brute(rows, 5, 4)
 
