@@ -67,3 +67,7 @@ class CancelledError(SablefinError):
 
 class StoreError(SablefinError):
     """A run store that cannot be read or written."""
+
+
+class StreamRowError(SablefinError):
+    """A row of a stream that fails a check, where such rows are not set aside."""

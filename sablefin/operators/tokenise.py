@@ -86,6 +86,13 @@ def _places(df: DataFrame, key: str, patterns: PatternSet) -> DataFrame:
     return rules.select("key", "rule", F.posexplode("matches").alias("position", "original"))
 
 
+def places(df: DataFrame, text_column: str, patterns: PatternSet) -> DataFrame:
+    """Rows (original, pattern_type) of every match in the texts, repeats included."""
+    names = F.array(*(F.lit(r.pattern_type) for r in _rules(patterns)))
+    rules = with_marks(df.select(text_column), text_column, patterns).select(F.posexplode("__found").alias("rule", "matches"))
+    return rules.select(F.explode("matches").alias("original"), F.element_at(names, F.col("rule") + 1).alias("pattern_type"))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with consecutive numbers from 0 along ``order``, which must tell all rows apart.
 
@@ -189,7 +196,7 @@ def detokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, reg
     """``df`` with the tokens of a dictionary replaced by their originals; unknown tokens stay."""
     found = df.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(text_column, F.lit(regex), F.lit(0)))).alias("token"))
     known = found.join(tokens.select("token", "original"), "token")
-    maps = known.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("token", "original"))).alias("__pairs"))
+    maps = known.groupBy("key").agg(F.collect_set(F.struct("token", "original")).alias("__pairs"))
     maps = maps.withColumnRenamed("key", "__key")
     joined = df.join(maps, df[key].eqNullSafe(maps["__key"]), "left").drop("__key")
     return joined.withColumn(text_column, _restored(F.col(text_column), F.col("__pairs"), regex)).drop("__pairs")
