@@ -107,11 +107,10 @@ def accuracy(history: DataFrame, now: Column, days: int = 30) -> DataFrame:
 
 def dispatch(requests: DataFrame, samples: DataFrame, history: DataFrame) -> DataFrame:
     """``requests`` with the best estimate there is and its ``method``: the mean of runs with the same rows and columns, or
-    the regression, or the default."""
+    the regression, or the default. Each request keeps its row, repeated ones and those with nulls, too."""
     same = history.where("actual_seconds IS NOT NULL").groupBy("chain_type", F.col("row_count").alias("rows"), F.col("column_count").alias("columns"))
     same = same.agg(F.floor(F.avg("actual_seconds")).alias("seen"))
     fitted = regression(requests, samples).withColumnRenamed("seconds", "fitted").drop("lower", "upper")
-    plain = default(requests).select(*requests.columns, F.col("seconds").alias("plain"))
-    joined = fitted.join(plain, requests.columns).join(same, ["chain_type", "rows", "columns"], "left")
+    joined = default(fitted).withColumnRenamed("seconds", "plain").join(same, ["chain_type", "rows", "columns"], "left")
     method = F.when(F.col("seen").isNotNull(), "historical").when(F.col("fitted").isNotNull(), "regression").otherwise("default")
     return joined.select(*requests.columns, F.coalesce("seen", "fitted", "plain").alias("seconds"), method.alias("method"))

@@ -6,8 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,13 +14,15 @@ from sablefin.errors import DimensionError, ValidationError
 from sablefin.sources.scratch import drop_written, temporary, written
 from sablefin.sources.workers import reach_package
 
+from .cells import similar_pairs
+
 DAMPING, TOLERANCE = 0.85, 1e-4
 #: Queries, and bytes of their vectors, that are sent to every executor at once; more are searched for in blocks.
 MAX_QUERIES, QUERY_BYTES = 100_000, 128 << 20
 #: Queries whose distances from a batch of rows are held at once.
 QUERY_CHUNK = 1024
-#: Nodes and links that one task ranks by itself.
-SMALL_GRAPH = 100_000
+#: Edges of a graph that is written as one text.
+MAX_EDGES = 100_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -60,27 +61,34 @@ def combined(cosine_of: Column, jaccard_of: Column, cosine_weight: float = 0.7,
     return cosine_of * cosine_weight + jaccard_of * jaccard_weight
 
 
+#: Nodes whose pairs are all compared: the columns of a schema.
+MAX_NODES = 20_000
+
+
 def pairs(nodes: DataFrame) -> DataFrame:
     """Rows (a, b, ...) of all two nodes with a < b, for graphs of columns: as many nodes as a schema has columns.
 
-    The columns of ``nodes`` other than ``id`` come twice, with ``_a`` and ``_b`` behind their names.
+    The columns of ``nodes`` other than ``id`` come twice, with ``_a`` and ``_b`` behind their names. More than ``MAX_NODES``
+    nodes raise :class:`ValidationError`: similar ones among them are found by :func:`similarity_graph`.
     """
+    if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
+        raise ValidationError(f"more than {MAX_NODES} nodes")
     left = nodes.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in nodes.columns if c != "id"))
     right = nodes.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in nodes.columns if c != "id"))
     return left.join(right, F.col("a") < F.col("b"))
 
 
-#: Nodes of a graph whose pairs are all compared: the columns of a schema.
-MAX_NODES = 20_000
-
-
 def similarity_graph(nodes: DataFrame, vector: str = "embedding", threshold: float = 0.4) -> DataFrame:
     """Edges (src, dst, weight) between nodes whose vectors' cosine is at least ``threshold``.
 
-    For graphs of columns: more than ``MAX_NODES`` nodes raise :class:`ValidationError`, as all pairs are compared.
+    Up to ``MAX_NODES`` nodes, as of columns, are all compared. Of more nodes only those meet whose vectors may be similar
+    (:func:`sablefin.operators.cells.similar_pairs`), where nodes with equal vectors count as the one with the smallest id; a
+    threshold of 0 or less, under which all pairs would be edges, raises :class:`ValidationError` then.
     """
     if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
-        raise ValidationError(f"more than {MAX_NODES} nodes")
+        if threshold <= 0:
+            raise ValidationError(f"more than {MAX_NODES} nodes")
+        return similar_pairs(nodes.select("id", vector), threshold, vector)
     found = pairs(nodes.select("id", vector)).withColumn("weight", cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b")))
     return prune(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), threshold)
 
@@ -119,50 +127,17 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = 100, normalise: bool = True) -> DataFrame:
     """Rows (id, rank) along links (src, dst, share): a node hands ``share`` of its rank on, and starts with 1 by the number.
 
-    Every five rounds the largest change is looked at. What nodes without links have is not dealt out again. A graph counted
-    to be small, as graphs of columns are, is ranked by one task; of a larger one each round is one join and one
-    aggregation with map-side combine, and ranks are written every five rounds, so lineage stays short.
+    Every five rounds the largest change is looked at. What nodes without links have is not dealt out again. Each round is one
+    join and one aggregation with map-side combine, and ranks are written every five rounds, so lineage stays short.
     """
     total = nodes.count()
-    small = nodes.select("id").limit(SMALL_GRAPH + 1).count() + links.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH
-    if small:
-        ranks = _ranked_by_one_task(nodes.select("id").distinct(), links, total, damping, tolerance, most)
-    else:
-        with temporary() as keep:
-            ranks = keep(_ranked_by_joins(nodes, links, total, damping, tolerance, most))
+    with temporary() as keep:
+        ranks = keep(_ranked_by_joins(nodes, links, total, damping, tolerance, most))
     if not normalise:
         return ranks
     return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("all")))).select("id", (F.col("rank") / F.col("all")).alias("rank"))  # one row
 
 
-def _ranked_by_one_task(ids: DataFrame, links: DataFrame, total: int, damping: float, tolerance: float, most: int) -> DataFrame:
-    kind = ids.schema["id"].dataType.simpleString()
-    reach_package(ids.sparkSession)
-    rows = ids.select(F.col("id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(None).cast("double").alias("share"))
-    rows = rows.union(links.select(F.col("src").cast(kind), F.col("dst").cast(kind), F.col("share").cast("double")))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        share = table.column("share")
-        names = table.column("src").filter(share.is_null()).combine_chunks()
-        edges = table.filter(share.is_valid())
-        at = [pc.fill_null(pc.index_in(edges.column(c), value_set=names), -1).to_numpy() for c in ("src", "dst")]
-        inside = (at[0] >= 0) & (at[1] >= 0)
-        src, dst, given = at[0][inside], at[1][inside], edges.column("share").to_numpy()[inside]
-        rank = np.full(len(names), 1.0 / max(total, 1))
-        for i in range(1, most + 1):
-            before = rank
-            rank = (1 - damping) / max(total, 1) + damping * np.bincount(dst, rank[src] * given, len(names))
-            if i % 5 == 0 and (not len(rank) or np.abs(rank - before).max() < tolerance):
-                break
-        yield pa.RecordBatch.from_arrays([names, pa.array(rank)], names=["id", "rank"])
-
-    return rows.coalesce(1).mapInArrow(run, f"id {kind}, rank double")
-
-
 def _ranked_by_joins(nodes: DataFrame, links: DataFrame, total: int, damping: float, tolerance: float, most: int) -> DataFrame:
     links = written(links, "links")
     ids = written(nodes.select("id").distinct(), "nodes")
@@ -201,15 +176,24 @@ def top(df: DataFrame, by: str, key: list[str], k: int) -> DataFrame:
     return df.orderBy(F.desc(by), *key).limit(k)
 
 
+def _small(edges: DataFrame) -> DataFrame:
+    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+        raise ValidationError(f"more than {MAX_EDGES} edges in one text")
+    return edges
+
+
 def to_dot(edges: DataFrame) -> DataFrame:
-    """One row (dot): an undirected graph in DOT, its edges in order. For graphs that people look at."""
+    """One row (dot): an undirected graph in DOT, its edges in order. For graphs that people look at: more than ``MAX_EDGES``
+    edges raise :class:`ValidationError`."""
+    edges = _small(edges)
     line = F.format_string('  "%s" -- "%s" [label="%.2f", weight=%.2f];', F.col("src").cast("string"), F.col("dst").cast("string"), "weight", "weight")
     rows = edges.select(F.struct("src", "dst", line.alias("line")).alias("e")).agg(F.sort_array(F.collect_list("e")).alias("es"))
     return rows.select(F.concat(F.lit("graph G {\n"), F.array_join("es.line", "\n"), F.lit("\n}")).alias("dot"))
 
 
 def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row (json): nodes and edges of a small graph."""
+    """One row (json): nodes and edges of a small graph; more than ``MAX_EDGES`` of either raise :class:`ValidationError`."""
+    nodes, edges = _small(nodes), _small(edges)
     left = nodes.agg(F.sort_array(F.collect_list("id")).alias("nodes"))
     right = edges.agg(F.sort_array(F.collect_list(F.struct("src", "dst", F.round("weight", 6).alias("weight")))).alias("edges"))
     return left.crossJoin(right).select(F.to_json(F.struct("nodes", "edges")).alias("json"))  # one row each
@@ -226,15 +210,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
 
     Queries are counted and sent to the executors in blocks of at most ``MAX_QUERIES`` and about ``QUERY_BYTES``. Each
     partition keeps its best k for each query, which are at most k rows for each query and partition, of which the best k
-    are taken. Vectors of another length than the queries' raise :class:`DimensionError`; rows with a null vector are passed
-    over; without rows or queries there is no result.
+    are taken. Vectors of another length than the queries' raise :class:`DimensionError`; rows with a null id or vector are
+    passed over; without rows or queries there is no result.
     """
     reach_package(vectors.sparkSession)
-    wanted = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    wanted = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     count, least, most = wanted.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if least != most:
         raise DimensionError(f"queries of lengths {least} to {most}")
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     blocks = max(-(-count // MAX_QUERIES), -(-count * 8 * (most or 0) // QUERY_BYTES), 1)
     found = None
     for block in range(blocks):
@@ -293,35 +277,3 @@ def _nearest_to(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(known[at, place]), pa.array(best[at, place])], names=["query_id", "id", "distance"])
 
     return rows.mapInArrow(run, "query_id long, id long, distance double")
-
-
-def _dimension(vectors: DataFrame, vector: str) -> int | None:
-    """The one length that vectors have; None without any."""
-    least, most = vectors.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
-    if least != most:
-        raise DimensionError(f"vectors of lengths {least} to {most}")
-    return least
-
-
-def save_index(vectors: DataFrame, path: str, id_column: str = "vec_id", vector: str = "embedding", append: bool = False) -> None:
-    """Keep vectors as an index: rows (id, vector) in Parquet at ``path``, new or behind what is there.
-
-    All vectors must have one length, that of the index if it has any; rows with a null id or vector are left out.
-    """
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
-    size = _dimension(rows, "vector")
-    held = _dimension(load_index(vectors.sparkSession, path), "vector") if append else None
-    if size is not None and held is not None and size != held:
-        raise DimensionError(f"vectors of length {size}, an index of length {held}")
-    rows.write.mode("append" if append else "errorifexists").parquet(path)
-
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    """The rows (id, vector) of an index, to be given to :func:`search_index` and counted for its size."""
-    return spark.read.schema("id long, vector array<float>").parquet(path)
-
-
-def search_index(index: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows of :func:`nearest` among the rows of an index; none if the index is empty."""
-    named = queries.select(F.col(id_column).alias("id"), F.col(vector).alias("vector"))
-    return nearest(index, named, k, "id", "vector")

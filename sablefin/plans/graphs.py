@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablefin.operators import features, graph
+from sablefin.operators import cells, features, graph
 from sablefin.sources import scratch, tables
 
 from .common import Registry
@@ -13,11 +13,11 @@ from .profiling import feature_sql
 
 registry = Registry()
 
-# Nodes: the ten labels of the embeddings, with their mean vector and a set of remainders.
+# Nodes: the ten labels of the embeddings, with their mean vector and the set of steps in which their first elements lie.
 _NODES_SQL = """dims AS (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
   means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM dims GROUP BY 1, 2),
   nodes AS (SELECT label AS id, list(x ORDER BY i) AS v FROM means GROUP BY 1),
-  tokens AS (SELECT label AS id, list_sort(list(DISTINCT vec_id % 13)) AS s FROM embeddings WHERE vec_id % (label + 2) = 0 GROUP BY 1),
+  tokens AS (SELECT label AS id, list_sort(list(DISTINCT CAST(floor(CAST(embedding[1] AS DOUBLE) * 40) AS BIGINT))) AS s FROM embeddings GROUP BY 1),
   pairs AS (SELECT a.id AS a, b.id AS b, a.v AS va, b.v AS vb, ta.s AS sa, tb.s AS sb FROM nodes a JOIN nodes b ON a.id < b.id
             JOIN tokens ta ON ta.id = a.id JOIN tokens tb ON tb.id = b.id),
   scored AS (SELECT a, b, list_cosine_similarity(va, vb) AS cosine, len(list_intersect(sa, sb)) / len(list_distinct(list_concat(sa, sb))) AS jaccard FROM pairs)"""
@@ -29,8 +29,8 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
     means = dims.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     lists = means.groupBy(F.col("label").alias("id")).agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p")).select("id", F.col("p.x").alias("embedding"))
-    kept = vectors.where(F.col("vec_id") % (F.col("label") + 2) == 0)
-    tokens = kept.groupBy(F.col("label").alias("id")).agg(F.collect_set(F.col("vec_id") % 13).alias("tokens"))
+    step = F.floor(F.get("embedding", F.lit(0)).cast("double") * 40)
+    tokens = vectors.groupBy(F.col("label").alias("id")).agg(F.collect_set(step).alias("tokens"))
     return lists.join(tokens, "id")
 
 
@@ -209,12 +209,27 @@ def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("knn_index", f"{_KNN_SQL} SELECT query_id, place, id, round(distance, 6) AS distance FROM ranked WHERE place <= 5")
 def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search in an index that is written, added to and read again."""
-    vectors, path = tables.parquet(spark, sf_dir, "embeddings"), scratch.new_path(spark, "knn-index")
-    graph.save_index(vectors.where("label < 5"), path)
-    graph.save_index(vectors.where("label >= 5"), path, append=True)
-    found = graph.search_index(graph.load_index(spark, path), vectors.where("vec_id % 100 = 0"), k=5)
-    return found.withColumn("distance", F.round("distance", 6))
+    """The same search in an index of cells that is written, added to and read again."""
+    with scratch.temporary() as keep:
+        vectors, path = tables.parquet(spark, sf_dir, "embeddings"), scratch.new_path(spark, "knn-index")
+        cells.save_index(vectors.where("label < 5"), path)
+        cells.save_index(vectors.where("label >= 5"), path, append=True)
+        found = cells.search_index(cells.load_index(spark, path), vectors.where("vec_id % 100 = 0"), k=5)
+        found = keep(scratch.written(found.withColumn("distance", F.round("distance", 6)), "found"))
+        scratch.drop_path(spark, path)
+        return found
+
+
+@registry.add(
+    "similar_vectors",
+    """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS v, min(vec_id) AS id FROM embeddings GROUP BY 1),
+       p AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS weight FROM v a JOIN v b ON a.id < b.id)
+       SELECT x AS src, y AS dst, round(weight, 6) AS weight FROM p WHERE weight >= 0.3""",
+)
+def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All two embeddings with a cosine of 0.3 or more, met in cells."""
+    vectors = tables.parquet(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return cells.similar_pairs(vectors, 0.3).withColumn("weight", F.round("weight", 6))
 
 
 @registry.add("knn_batch", f"{_KNN_SQL} SELECT query_id, place, r.id, e.label FROM ranked r LEFT JOIN embeddings e ON e.vec_id = r.id WHERE place <= 3")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sablefin.errors import ScorerError
 from sablefin.operators import estimate, score
 from sablefin.sources import tables
 
-from .common import Registry, quoted
+from .api import Sablefin
+from .common import CONTACTS, Registry, quoted
 
 registry = Registry()
 
@@ -387,3 +390,23 @@ def scorer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores one by one, with what was refused after two more tries told in a column."""
     rows = tables.parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("text"))
     return score.with_scorer(rows, "text", _refusing, batch=1, retries=2, wait=0.0, keep_errors=True).drop("text")
+
+
+_PRIVATE = "'mail ' || email || ' or call ' || phone || ' ssn ' || ssn || ' card 4' || lpad(CAST(id AS VARCHAR), 15, '0') || ' ip 10.1.2.' || (id % 256) || ' born 1990-12-31'"
+
+
+@registry.add("score_hidden", f"WITH {CONTACTS} SELECT id, {_PRIVATE} AS text, 6.0::DOUBLE AS score FROM contacts")
+def score_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an outside scorer sees of texts with six kinds of private values: six tokens and none of the values."""
+    parts = [
+        F.lit("mail "), "email", F.lit(" or call "), "phone", F.lit(" ssn "), "ssn", F.lit(" card 4"), F.lpad(F.col("id").cast("string"), 15, "0"),
+        F.lit(" ip 10.1.2."), (F.col("id") % 256).cast("string"), F.lit(" born 1990-12-31"),
+    ]
+    texts = tables.contacts(tables.parquet(spark, sf_dir, "customer")).select("id", F.concat(*parts).alias("text"))
+    return Sablefin(spark).score(texts, "text", _tokens_seen)
+
+
+def _tokens_seen(texts: list[str]) -> list[float]:
+    """A scorer for tests: the number of tokens in a text, below 0 if a private value is left in it."""
+    left = re.compile(r"@example|(?<![0-9])555-|(?<![0-9])10\.1\.|1990-12|(?<![0-9-])[0-9]{16}(?![0-9\]])|(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}")
+    return [-1.0 if left.search(t) else float(t.count("[")) for t in texts]

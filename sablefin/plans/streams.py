@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablefin.functions.patterns import LIBRARY
-from sablefin.operators import sampling
+from sablefin.functions.patterns import LIBRARY, default_pii
+from sablefin.operators import sampling, tokenise
 from sablefin.operators.tokenise import tokenise_text
 from sablefin.sources import scratch, tables
 from sablefin.streaming import detection as streaming
+from sablefin.streaming import state
 
 from .common import CONTACTS, Registry, count_sql, quoted
-from .tokenisation import _in_steps_sql
+from .tokenisation import _COUNTER, _chain_sql, _in_steps_sql
 
 registry = Registry()
 COLUMNS = ["email", "ssn", "phone"]
@@ -156,3 +157,56 @@ def src_csv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = stream.writeStream.format("parquet").option("checkpointLocation", scratch.new_path(spark, "csv-checkpoint"))
     writer.trigger(availableNow=True).start(target).awaitTermination()
     return spark.read.schema("id long, email string, note string").parquet(target)
+
+
+_NOTES = "stream-notes"
+
+
+def _written_notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The contacts' notes in five files, to be read as a stream."""
+    path = scratch.new_path(spark, _NOTES)
+    notes = _contacts(spark, sf_dir).select("id", "note")
+    notes.repartition(5, "id").write.parquet(path)
+    return notes, path
+
+
+@registry.add("stream_dictionary", _chain_sql(_COUNTER) + " SELECT id, note, (SELECT count(*) FROM dictionary) AS entries, true AS hidden FROM contacts")
+def stream_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes tokenised as a stream in two runs, one file and then two in a batch, and restored with the dictionary that the
+    state kept; ``entries``: its originals if each has one token, ``hidden``: no address was left meanwhile."""
+    with scratch.temporary() as keep:
+        notes, path = _written_notes(spark, sf_dir)
+        target, kept, checkpoint = (scratch.new_path(spark, n) for n in ("stream-done", "stream-dictionary", "stream-checkpoint"))
+        for files in (1, 2):
+            stream = spark.readStream.schema(notes.schema).option("maxFilesPerTrigger", files).parquet(path)
+            state.tokenise_stream(stream, "id", "note", default_pii(), target, kept, checkpoint, buckets=8).awaitTermination()
+            notes.limit(0).write.mode("append").parquet(path)
+        done, tokens = (spark.read.option("basePath", x).parquet(f"{x}/batch=*") for x in (target, kept))
+        entries = tokens.agg(F.when((F.count_distinct("original") == F.count("*")) & (F.count_distinct("token") == F.count("*")), F.count("*")).alias("entries"))
+        hidden = done.withColumn("hidden", ~F.col("note").rlike("@example"))
+        back = tokenise.detokenise(hidden, "id", "note", tokens).select("id", "note", "hidden")
+        out = keep(scratch.written(back.crossJoin(F.broadcast(entries)).select("id", "note", "entries", "hidden"), "stream-restored"))  # one row
+        for folder in (path, target, kept, checkpoint):
+            scratch.drop_path(spark, folder)
+        return out
+
+
+@registry.add("stream_quarantine", f"WITH {CONTACTS} SELECT id, CASE WHEN id % 7 = 0 THEN 'no JSON' WHEN id % 11 = 0 THEN 'too long' END AS error FROM contacts")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as JSON lines, some cut short and some too long, as a stream; those are set aside with their error."""
+    with scratch.temporary() as keep:
+        path, target, aside, checkpoint = (scratch.new_path(spark, n) for n in (_NOTES, "stream-done", "stream-aside", "stream-checkpoint"))
+        line = F.to_json(F.struct("note"))
+        line = F.when(F.col("id") % 7 == 0, F.left(line, F.lit(9))).when(F.col("id") % 11 == 0, F.concat(line, F.repeat(F.lit(" "), F.lit(1000)))).otherwise(line)
+        lines = _contacts(spark, sf_dir).select("id", line.alias("line"))
+        lines.repartition(5, "id").write.parquet(path)
+        checks = {"no JSON": F.try_parse_json("line").isNotNull(), "too long": F.octet_length("line") <= 1000}
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 2).parquet(path)
+        change = lambda df: df.withColumn("line", tokenise.tokenise_json(F.col("line")))
+        state.with_quarantine(stream, checks, change, target, aside, checkpoint).awaitTermination()
+        good, bad = (spark.read.option("basePath", x).parquet(f"{x}/batch=*") for x in (target, aside))
+        rows = good.select("id", F.lit(None).cast("string").alias("error")).union(bad.select("id", "error"))
+        out = keep(scratch.written(rows, "stream-checked"))
+        for folder in (path, target, aside, checkpoint):
+            scratch.drop_path(spark, folder)
+        return out

@@ -56,8 +56,13 @@ def drop_written(df: DataFrame) -> None:
     """Delete what :func:`written` made for ``df``, once nothing reads it any more."""
     path = getattr(df, "_sablefin_path", None)
     if path:
-        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        drop_path(df.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager

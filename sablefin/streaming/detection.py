@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import deque
+from functools import reduce
+from operator import add
+from statistics import fmean, pvariance
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sablefin.functions.patterns import LIBRARY, TEXT_RULES
-from sablefin.operators.sampling import STREAM_WINDOW, THRESHOLD, batch_counts, progress, with_stop
+from sablefin.operators.detect import match_count
+from sablefin.operators.sampling import MAX_VARIANCE, STREAM_WINDOW, THRESHOLD, confidence_of, with_stop
 from sablefin.operators.tokenise import tokenise_text
 from sablefin.sources.scratch import new_path
 
@@ -36,34 +42,60 @@ def detect_stream(
     threshold: float = THRESHOLD,
     max_rows: int | None = None,
     library: dict[str, list[str]] = LIBRARY,
+    results: str | None = None,
+    checkpoint: str | None = None,
 ) -> DataFrame:
     """Rows of progress with ``should_stop`` for each micro-batch until detection settles, rows reach ``max_rows`` or the
     stream ends.
 
-    Each micro-batch leaves one row for each column and kind in the shared folder; what a batch wrote is replaced if it runs
-    again, so nothing counts twice after a failure.
+    What has been found so far is a running aggregate in the state store, one row whatever has been read, and each micro-batch
+    leaves one row of results that is computed from it: a batch costs what it holds. The row is replaced if the batch runs again, so
+    nothing counts twice after a failure. With ``results`` and ``checkpoint`` (folders) a later call goes on where this one
+    ended.
     """
     spark = stream.sparkSession
-    path = new_path(spark, "stream-counts")
-    state = {"rows": 0, "stop": False}
+    path = results or new_path(spark, "stream-results")
+    settled: deque[float] = deque(maxlen=window)
+    state = {"stop": False}
 
     def each(batch: DataFrame, number: int) -> None:
         if state["stop"]:
             return
-        counts = batch_counts(batch, F.lit(number).cast("long"), columns, library)
-        counts.write.mode("overwrite").parquet(f"{path}/number={number}")
-        found = spark.read.parquet(path).drop("number")
-        last = with_stop(progress(found), window, threshold).orderBy(F.desc("batch")).first()
-        if last is not None:
-            state["rows"] = last["rows_processed"]
-            state["stop"] = bool(last["should_stop"]) or (max_rows is not None and state["rows"] >= max_rows)
-
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+        found = batch.select(F.lit(number).cast("long").alias("id"), *so_far(columns, library)).first()
+        if found is None:  # a batch without rows
+            return
+        spark.createDataFrame([found], _RESULT).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        settled.append(found["confidence"])
+        high = len(settled) == window and fmean(settled) >= threshold and pvariance(settled) < MAX_VARIANCE
+        state["stop"] = high or (max_rows is not None and found["rows_processed"] >= max_rows)
+
+    writer = running_counts(stream, columns, library).writeStream.outputMode("update").foreachBatch(each)
+    query = writer.option("checkpointLocation", checkpoint or new_path(spark, "stream-checkpoint")).trigger(availableNow=True).start()
     while query.isActive:
         if query.awaitTermination(1) or state["stop"]:
             break
     query.stop()
-    return with_stop(progress(spark.read.parquet(path).drop("number")), window, threshold)
+    held = spark.read.schema(f"{_RESULT}, batch long").option("basePath", path).parquet(f"{path}/batch=*")
+    return with_stop(held.drop("batch").withColumnRenamed("id", "batch"), window, threshold)
+
+
+_RESULT = "id long, rows_processed long, patterns_found long, kinds long, columns long, confidence double"
+
+
+def running_counts(stream: DataFrame, columns: list[str], library: dict[str, list[str]] = LIBRARY) -> DataFrame:
+    """One row of a stream's matches so far, a column for each column and kind, and its ``rows``; tasks add up before they meet."""
+    sums = [F.coalesce(F.sum(match_count(F.col(c).cast("string"), r)), F.lit(0)).alias(f"{c}|{t}") for c in columns for t, r in library.items()]
+    return stream.agg(*sums, F.count("*").alias("rows"))
+
+
+def so_far(columns: list[str], library: dict[str, list[str]] = LIBRARY) -> list[Column]:
+    """Rows, matches, kinds, columns and confidence of the row of :func:`running_counts`."""
+    total = lambda names: reduce(add, (F.col(f"`{c}|{t}`") for c, t in names))
+    kinds = reduce(add, ((total((c, t) for c in columns) > 0).cast("long") for t in library))
+    filled = reduce(add, ((total((c, t) for t in library) > 0).cast("long") for c in columns))
+    found = total((c, t) for c in columns for t in library)
+    score = F.round(confidence_of(found, F.col("rows"), kinds, filled), 6)
+    return [F.col("rows").alias("rows_processed"), found.alias("patterns_found"), kinds.alias("kinds"), filled.alias("columns"), score.alias("confidence")]
 
 
 def clicks_by_window(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

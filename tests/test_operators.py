@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sablefin import cli
 from sablefin.errors import CancelledError, ConfigError, DimensionError, ModelError, PatternError, RateLimitError, ScorerError, StoreError, ValidationError
-from sablefin.operators import features, graph, runs, sampling, score, tokenise
+from sablefin.operators import estimate, features, graph, runs, sampling, score, tokenise
 from sablefin.plans.api import Sablefin
 from sablefin.plans.control import ProfileCache, RunControl
 from sablefin.sources import tables
@@ -314,32 +314,35 @@ def test_nearest_in_blocks_equals_a_plain_search(spark, monkeypatch):
     assert len(few) == 3
 
 
-def test_index(spark, tmp_path):
-    path = str(tmp_path / "index")
-    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (None, [1.0, 1.0]), (4, None)], "vec_id long, embedding array<double>")
-    graph.save_index(df.limit(0), path)
-    assert graph.load_index(spark, path).count() == 0 and graph.search_index(graph.load_index(spark, path), df).count() == 0
-    graph.save_index(df, path, append=True)
-    assert graph.load_index(spark, path).count() == 2
-    found = graph.search_index(graph.load_index(spark, path), df.where("vec_id = 1"), k=5).orderBy("place").collect()
-    assert [(r.id, r.distance) for r in found] == [(1, 0.0), (2, 5.0)]
-    other = spark.createDataFrame([(9, [1.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(DimensionError):
-        graph.save_index(other, path, append=True)
-    with pytest.raises(Exception, match="length"):
-        graph.search_index(graph.load_index(spark, path), other).collect()
+def test_nearest_passes_over_null_ids(spark):
+    df = spark.createDataFrame([(1, [0.0]), (None, [0.0]), (2, [1.0]), (3, None)], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.id) for r in graph.nearest(df, df, k=1).orderBy("query_id").collect()] == [(1, 1), (2, 2)]
 
 
-def test_ranks_of_one_task_equal_those_of_joins(spark, monkeypatch):
+def test_ranks_against_a_matrix(spark):
     nodes = spark.createDataFrame([(i,) for i in range(12)], "id long")
-    edges = spark.createDataFrame([(i, (i * i + 1) % 12, 1.0 + i % 3) for i in range(11)], "src long, dst long, weight double")
-    both = []
-    for most in (100_000, 0):
-        monkeypatch.setattr(graph, "SMALL_GRAPH", most)
-        both.append([graph.pagerank(nodes, links(edges), most=10).orderBy("id").collect() for links in (graph.undirected_links, graph.weighted_links)])
-    for one, other in zip(*both):
-        assert [r.id for r in one] == [r.id for r in other] == list(range(12))
-        assert max(abs(a["rank"] - b["rank"]) for a, b in zip(one, other)) < 1e-12
+    edges = [(i, (i * i + 1) % 12, 1.0 + i % 3) for i in range(11)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    for links, weighted in ((graph.undirected_links, False), (graph.weighted_links, True)):
+        share = np.zeros((12, 12))
+        for a, b, w in edges:
+            share[b, a] += w if weighted else 1
+            if not weighted:
+                share[a, b] += 1
+        share /= np.maximum(share.sum(axis=0), 1e-300)
+        rank = np.full(12, 1 / 12)
+        for _ in range(10):
+            rank = 0.15 / 12 + 0.85 * share @ rank
+        found = graph.pagerank(nodes, links(df), most=10, tolerance=0.0).orderBy("id").collect()
+        assert np.abs(np.array([r["rank"] for r in found]) - rank / rank.sum()).max() < 1e-12
+
+
+def test_dispatch_keeps_every_request(spark):
+    requests = spark.createDataFrame([(10, 2, "a"), (10, 2, "a"), (None, 2, "a"), (10, 2, None)], "rows long, columns long, chain_type string")
+    samples = spark.createDataFrame([("a", 100, 2, 1000)], "chain_type string, rows long, columns long, elapsed_ms long")
+    history = spark.createDataFrame([("a", 10, 2, 7)], "chain_type string, row_count long, column_count long, actual_seconds long")
+    found = estimate.dispatch(requests, samples, history).collect()
+    assert sorted((str(r.rows), str(r.chain_type), r.method) for r in found) == [("10", "None", "default"), ("10", "a", "historical"), ("10", "a", "historical"), ("None", "a", "default")]
 
 
 def test_too_many_nodes(spark, monkeypatch):
