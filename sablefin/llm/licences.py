@@ -61,7 +61,7 @@ BINDS = {"with": 3, "and": 2, "or": 1}
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _TAG_LINE = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_TOKEN = re.compile(r"[()/]|[A-Za-z0-9.+:-]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -81,13 +81,16 @@ def to_postfix(expression: str, known: frozenset[str] = IDENTIFIERS) -> list[str
     """The licence expression at a text's beginning in postfix order (shunting-yard; with binds before and, and before or).
 
     It ends where prose begins: at an operand or ``(`` behind an operand, a ``)`` that none opened, or an identifier that is
-    not known; an operator before that is prose, too. None if there is no expression or a parenthesis stays open.
+    not known. What counts is the longest beginning that ends with an operand or ``)``: an operator or ``(`` behind that is prose,
+    too, and parentheses that are open there are closed. A slash reads as or; full stops and colons behind a name aren't
+    its own. None if there is no expression.
     """
     out: list[str] = []
     stack: list[str] = []
+    complete: list[str] | None = None
     wants_operand = True
     for token in _TOKEN.findall(expression):
-        low = token.lower()
+        low = "or" if token == "/" else token.lower().rstrip(".:")
         if low in BINDS:
             if wants_operand:
                 break
@@ -96,7 +99,7 @@ def to_postfix(expression: str, known: frozenset[str] = IDENTIFIERS) -> list[str
             stack.append(low)
             wants_operand = True
         elif token == "(":
-            if not wants_operand:
+            if not wants_operand or stack[-1:] == ["with"]:
                 break
             stack.append("(")
         elif token == ")":
@@ -109,12 +112,9 @@ def to_postfix(expression: str, known: frozenset[str] = IDENTIFIERS) -> list[str
                 break
             out.append(low)
             wants_operand = False
-    if wants_operand and stack and stack[-1] in BINDS:
-        stack.pop()
-        wants_operand = False
-    if wants_operand or "(" in stack:
-        return None
-    return out + stack[::-1]
+        if not wants_operand:
+            complete = out + [x for x in reversed(stack) if x != "("]
+    return complete
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
