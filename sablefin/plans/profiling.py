@@ -214,7 +214,14 @@ def profile_cli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.profile(_mixed(spark, sf_dir))
 
 
-@registry.add("auto_discover", "SELECT unnest(['review_notes', 'text']) AS column_name")
+@registry.add(
+    "auto_discover",
+    """SELECT 'text' AS column_name, count(*) FILTER (text <> '') AS filled FROM documents UNION ALL
+       SELECT 'review_notes', count(*) FILTER (source <> '') FROM documents""",
+)
 def auto_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = features.auto_discover(["quantity", "flag", "review_notes", *tables.parquet(spark, sf_dir, "documents").columns])
-    return spark.createDataFrame([(n,) for n in names], "column_name string")
+    """Columns whose names say that they are prose, and how many rows have something in them."""
+    docs = tables.parquet(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.col("source").alias("review_notes"))
+    names = features.auto_discover(docs.columns)
+    long = tables.long_form(docs, "doc_id", names)
+    return long.groupBy("column_name").agg(F.count_if(F.col("value") != "").alias("filled"))

@@ -19,7 +19,7 @@ registry = Registry()
 _CUSTOMERS = """customers AS (
   SELECT printf('CUST-%06d', i) AS customer_id, 'customer' || i || '@example.com' AS email, printf('555-%03d-%04d', i % 900 + 100, i % 10000) AS phone,
          printf('2024-%02d-%02d', i % 12 + 1, i % 28 + 1) AS last_purchase, i % 7 AS support_tickets, CASE WHEN i % 4 = 0 THEN i % 4 ELSE 0 END AS payment_delays,
-         i % 200 + 50 AS monthly_usage FROM range(1, 101) t(i))"""
+         i % 200 + 50 AS monthly_usage FROM (SELECT c_custkey AS i FROM customer) t)"""
 # Customers of the tables: tickets and delays follow from the key.
 _REAL = """scored AS (
   SELECT c_custkey, c_name, c_custkey % 7 AS tickets, c_custkey % 3 AS delays,
@@ -35,7 +35,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("gen_churn", f"WITH {_CUSTOMERS} SELECT * FROM customers")
 def gen_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.churn_customers(spark)
+    return tables.churn_customers(tables.parquet(spark, sf_dir, "customer"), "c_custkey")
 
 
 _PEOPLE = "printf('%03d-%02d-%04d', i % 900 + 100, i % 99 + 1, i % 9000 + 1000) AS ssn, printf('555-%03d-%04d', i % 900 + 100, i % 10000) AS phone"
@@ -44,20 +44,20 @@ _PEOPLE = "printf('%03d-%02d-%04d', i % 900 + 100, i % 99 + 1, i % 9000 + 1000)
 @registry.add(
     "gen_medical",
     f"""SELECT printf('PAT-%06d', i) AS patient_id, {_PEOPLE}, printf('%d-%02d-%02d', i % 50 + 1950, i % 12 + 1, i % 28 + 1) AS date_of_birth,
-        ({tables.DIAGNOSES})[i % 8 + 1] AS diagnosis_codes, i % 12 + 1 AS visit_count, printf('2024-%02d-%02d', i % 12 + 1, i % 28 + 1) AS last_visit FROM range(1, 51) t(i)""",
+        ({tables.DIAGNOSES})[i % 8 + 1] AS diagnosis_codes, i % 12 + 1 AS visit_count, printf('2024-%02d-%02d', i % 12 + 1, i % 28 + 1) AS last_visit FROM (SELECT c_custkey AS i FROM customer) t""",
 )
 def gen_medical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.patients(spark)
+    return tables.patients(tables.parquet(spark, sf_dir, "customer"), "c_custkey")
 
 
 @registry.add(
     "gen_fraud",
     f"""SELECT printf('TXN-%08d', i) AS transaction_id, printf('%04d-%04d-%04d-%04d', i % 1000 + 4000, i % 9000 + 1000, i % 9000 + 1000, i % 9000 + 1000) AS credit_card, {_PEOPLE},
         CASE WHEN i % 50 = 0 THEN i * 10.0 + 5000.0 ELSE i % 500 + 10.0 END::DOUBLE AS amount, ({tables.MERCHANTS})[i % 8 + 1] AS merchant,
-        printf('2024-%02d-%02dT%02d:%02d:00Z', i % 12 + 1, i % 28 + 1, i % 24, i * 7 % 60) AS timestamp, ({tables.LOCATIONS})[i % 6 + 1] AS location FROM range(1, 201) t(i)""",
+        printf('2024-%02d-%02dT%02d:%02d:00Z', i % 12 + 1, i % 28 + 1, i % 24, i * 7 % 60) AS timestamp, ({tables.LOCATIONS})[i % 6 + 1] AS location FROM (SELECT o_orderkey AS i FROM orders) t""",
 )
 def gen_fraud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.transactions(spark)
+    return tables.transactions(tables.parquet(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @registry.add("churn_score", f"WITH {_REAL} SELECT c_custkey, round(score, 6) AS score FROM scored")
@@ -96,7 +96,7 @@ def churn_top(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT total BETWEEN 95 AND 105 AS records_ok, total > 0 AS any_ok, average BETWEEN 0.3 AND 0.7 AS average_ok, high_risk BETWEEN 4 AND 6 AS high_risk_ok FROM t""",
 )
 def scenario_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.churn_customers(spark)
+    rows = tables.churn_customers(tables.parquet(spark, sf_dir, "customer"), "c_custkey")
     scored = rows.select(score.churn_score(F.col("customer_id"), F.col("support_tickets"), F.col("payment_delays")).alias("score"))
     return score.scenario_check(score.churn_summary(scored), (95, 105), (0.3, 0.7), 5)
 

@@ -41,11 +41,12 @@ def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).where("run_id = 33")
 
 
-@registry.add("logs_by_column", f"WITH {_LOGS} SELECT * FROM logs WHERE run_id = (SELECT max(run_id) FROM logs) AND column_name = 'column_1' ORDER BY created_at, log_id")
+@registry.add("logs_by_column", f"WITH {_LOGS} SELECT * FROM logs WHERE run_id = (SELECT max(run_id) FROM logs WHERE column_name = 'column_0') AND column_name = 'column_0' ORDER BY created_at, log_id")
 def logs_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = _logs(spark, sf_dir)
+    """The logs of a column in the newest run that has any."""
+    logs = _logs(spark, sf_dir).where("column_name = 'column_0'")
     newest = logs.agg(F.max("run_id").alias("run_id"))
-    return logs.join(F.broadcast(newest), "run_id").where("column_name = 'column_1'").orderBy("created_at", "log_id")  # one row
+    return logs.join(F.broadcast(newest), "run_id").orderBy("created_at", "log_id")  # one row
 
 
 @registry.add("logs_page", f"WITH {_LOGS} SELECT * FROM logs ORDER BY created_at, run_id, log_id LIMIT 1000 OFFSET 1000")

@@ -219,7 +219,7 @@ _CUSTOMERS_SQL = """customers AS (
   SELECT printf('CUST-%06d', i) AS customer_id, 'customer' || i || '@example.com' AS email,
          printf('555-%03d-%04d', i % 900 + 100, i % 10000) AS phone, printf('2024-%02d-%02d', i % 12 + 1, i % 28 + 1) AS last_purchase,
          i % 7 AS support_tickets, CASE WHEN i % 4 = 0 THEN i % 4 ELSE 0 END AS payment_delays, i % 200 + 50 AS monthly_usage
-  FROM range(1, 101) t(i))"""
+  FROM (SELECT c_custkey AS i FROM customer) t)"""
 
 
 @registry.add(
@@ -227,7 +227,7 @@ _CUSTOMERS_SQL = """customers AS (
     f"WITH {_CUSTOMERS_SQL} SELECT customer_id AS record_id, {_hash_sql('email', 'EMAIL')} AS email, phone, {_hash_sql('email', 'EMAIL')} AS tokens_used FROM customers",
 )
 def tokenise_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tokenise.tokenise_records(tables.churn_customers(spark), ["email", "phone"])
+    done = tokenise.tokenise_records(tables.churn_customers(tables.parquet(spark, sf_dir, "customer"), "c_custkey"), ["email", "phone"])
     return done.withColumn("tokens_used", F.array_join("tokens_used", ","))
 
 

@@ -95,10 +95,10 @@ def contacts(customer: DataFrame) -> DataFrame:
     return customer.select(i.alias("id"), email.alias("email"), _ssn(i).alias("ssn"), _phone(i).alias("phone"), note.alias("note"))
 
 
-def churn_customers(spark: SparkSession, n: int = 100) -> DataFrame:
-    """Made-up customers by modular arithmetic."""
-    i = F.col("i")
-    return spark.range(1, n + 1).toDF("i").select(
+def churn_customers(rows: DataFrame, key: str) -> DataFrame:
+    """Made-up customers by modular arithmetic on a table's keys, one for each row."""
+    i = F.col(key)
+    return rows.select(
         _number("CUST-%06d", i).alias("customer_id"),
         F.concat(F.lit("customer"), i.cast("string"), F.lit("@example.com")).alias("email"),
         _phone(i).alias("phone"),
@@ -119,10 +119,10 @@ def _one_of(names: list[str], i: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
 
 
-def patients(spark: SparkSession, n: int = 50) -> DataFrame:
-    """Made-up patient records by modular arithmetic."""
-    i = F.col("i")
-    return spark.range(1, n + 1).toDF("i").select(
+def patients(rows: DataFrame, key: str) -> DataFrame:
+    """Made-up patient records by modular arithmetic on a table's keys, one for each row."""
+    i = F.col(key)
+    return rows.select(
         _number("PAT-%06d", i).alias("patient_id"),
         _ssn(i).alias("ssn"),
         _phone(i).alias("phone"),
@@ -133,11 +133,11 @@ def patients(spark: SparkSession, n: int = 50) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, n: int = 200) -> DataFrame:
-    """Made-up card transactions by modular arithmetic; every fiftieth has a suspiciously high amount."""
-    i = F.col("i")
+def transactions(rows: DataFrame, key: str) -> DataFrame:
+    """Made-up card transactions by modular arithmetic; every fiftieth has a suspiciously high amount on a table's keys, one for each row."""
+    i = F.col(key)
     group = i % 9000 + 1000
-    return spark.range(1, n + 1).toDF("i").select(
+    return rows.select(
         _number("TXN-%08d", i).alias("transaction_id"),
         _number("%04d-%04d-%04d-%04d", i % 1000 + 4000, group, group, group).alias("credit_card"),
         _ssn(i).alias("ssn"),
