@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from sablefin.errors import ModelError, RateLimitError, ScorerError, TimeoutExceeded
 from sablefin.sources.workers import reach_package
 
+from .leases import Lease
+
 # Keywords of sentiment.
 POSITIVE = ["excellent", "great", "amazing", "love", "wonderful", "fantastic", "good", "recommend"]
 NEGATIVE = ["bad", "terrible", "hate", "awful", "poor", "issue", "problem", "cancel"]
@@ -219,10 +223,12 @@ class EndpointScorer:
             raise ScorerError(type(e).__name__) from e
 
 
-def _scored(scorer: Callable[[list[str]], list[float]], texts: list[str], retries: int, wait: float) -> list[float]:
-    """The scorer's answer, after up to ``retries`` new tries: each waits twice as long, or as long as the scorer asks."""
+def _scored(scorer: Callable[[list[str]], list[float]], texts: list[str], retries: int, wait: float, begin: Callable[[], None] = lambda: None) -> list[float]:
+    """The scorer's answer, after up to ``retries`` new tries: each waits twice as long, or as long as the scorer asks. Every try
+    calls ``begin`` first."""
     for tries in range(retries + 1):
         try:
+            begin()
             got = list(scorer(texts))
             if len(got) != len(texts):
                 raise ModelError(f"{len(got)} scores for {len(texts)} texts")
@@ -235,6 +241,19 @@ def _scored(scorer: Callable[[list[str]], list[float]], texts: list[str], retrie
     raise AssertionError
 
 
+class _Pace:
+    """Calls of one task that begin ``interval`` seconds apart, whichever of its threads they come from."""
+
+    def __init__(self, interval: float) -> None:
+        self._interval, self._free, self._guard = interval, 0.0, threading.Lock()
+
+    def take(self) -> None:
+        with self._guard:
+            start = max(time.monotonic(), self._free)
+            self._free = start + self._interval
+        time.sleep(max(0.0, start - time.monotonic()))
+
+
 def with_scorer(
     df: DataFrame,
     text_column: str,
@@ -244,35 +263,43 @@ def with_scorer(
     retries: int = 0,
     wait: float = 0.5,
     keep_errors: bool = False,
+    in_flight: int = 1,
+    per_second_in_all: float | None = None,
 ) -> DataFrame:
     """``df`` with a column ``score`` from an outside scorer, which gets ``batch`` texts at a time and must give as many scores.
 
-    A partition's calls keep to ``per_second``; repartition beforehand to bound how many run at once. A call that fails is
-    tried ``retries`` times more. After that the job fails, or, with ``keep_errors``, the batch's rows have no score and a
-    column ``error`` says why (null for the others). Texts should be tokenised first: the scorer sees nothing else.
+    A task has up to ``in_flight`` calls running at once, for which the scorer must be fit for threads; rows keep their place
+    whichever call ends first. A task's calls keep to ``per_second``, and those of all tasks together, retries included, to
+    ``per_second_in_all``, for which the driver leases the times at which calls may begin. A call that fails is tried
+    ``retries`` times more. After that the job fails, or, with ``keep_errors``, the batch's rows have no score and a column
+    ``error`` says why (null for the others). Texts should be tokenised first: the scorer sees nothing else.
     """
     reach_package(df.sparkSession)
+    lease = Lease(df.sparkSession, per_second_in_all) if per_second_in_all else None
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free = 0.0
-        for frame in frames:
-            scores: list[float | None] = []
-            errors: list[str | None] = []
-            for at in range(0, len(frame), batch):
-                if per_second:
-                    time.sleep(max(0.0, free - time.monotonic()))
-                    free = time.monotonic() + 1 / per_second
-                texts = frame[text_column].iloc[at : at + batch].tolist()
-                try:
-                    scores += _scored(scorer, texts, retries, wait)
-                    errors += [None] * len(texts)
-                except Exception as e:
-                    if not keep_errors:
-                        raise
-                    scores += [None] * len(texts)
-                    errors += [f"{type(e).__name__}: {e}"] * len(texts)
-            out = frame.assign(score=pd.Series(scores, index=frame.index, dtype="float64"))
-            yield out.assign(error=pd.Series(errors, index=frame.index, dtype="object")) if keep_errors else out
+        pace = _Pace(1 / per_second) if per_second else None
+
+        def begin() -> None:
+            for limit in (pace, lease):
+                if limit is not None:
+                    limit.take()
+
+        def call(texts: list[str]) -> tuple[list[float | None], list[str | None]]:
+            try:
+                return _scored(scorer, texts, retries, wait, begin), [None] * len(texts)
+            except Exception as e:
+                if not keep_errors:
+                    raise
+                return [None] * len(texts), [f"{type(e).__name__}: {e}"] * len(texts)
+
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                parts = [frame[text_column].iloc[at : at + batch].tolist() for at in range(0, len(frame), batch)]
+                told = list(pool.map(call, parts))  # in order
+                scores, errors = ([x for answer in told for x in answer[i]] for i in (0, 1))
+                out = frame.assign(score=pd.Series(scores, index=frame.index, dtype="float64"))
+                yield out.assign(error=pd.Series(errors, index=frame.index, dtype="object")) if keep_errors else out
 
     more = [StructField("score", DoubleType()), *([StructField("error", StringType())] if keep_errors else [])]
     return df.mapInPandas(run, StructType([*df.schema.fields, *more]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sablefin import cli
 from sablefin.errors import CancelledError, ConfigError, DimensionError, ModelError, PatternError, RateLimitError, ScorerError, StoreError, ValidationError
-from sablefin.operators import estimate, features, graph, runs, sampling, score, tokenise
+from sablefin.operators import estimate, features, graph, leases, runs, sampling, score, tokenise
 from sablefin.plans.api import Sablefin
 from sablefin.plans.control import ProfileCache, RunControl
 from sablefin.sources import tables
@@ -395,3 +395,48 @@ def test_profiles_are_kept_for_a_while(spark):
 def test_cache_entries(spark):
     entries = spark.createDataFrame([("a/1",), ("a/2",), ("b",)], "cache_key string")
     assert [r[0] for r in runs.invalidated(entries, "a/").collect()] == ["b"] and runs.invalidated(entries).count() == 0
+
+
+def test_calls_in_flight_keep_one_quota(spark):
+    """Twelve partitions with up to five calls each: never more calls in any stretch than the quota, several at once, rows in
+    their places."""
+    begun, running, most = [], [0], [0]
+    guard = threading.Lock()
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            with guard:
+                begun.append(time.monotonic())
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["texts"]
+            time.sleep(0.15 + 0.1 * (len(texts[0]) % 3))
+            with guard:
+                running[0] -= 1
+            self.send_response(500 if "x12" in texts and len(begun) < 30 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"scores": [float(t[1:]) for t in texts]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        df = spark.range(0, 96, 1, 12).select("id", F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"))
+        scorer = score.EndpointScorer(f"http://127.0.0.1:{server.server_port}")
+        rows = score.with_scorer(df, "text", scorer, batch=2, retries=40, wait=0.0, in_flight=5, per_second_in_all=25.0).collect()
+    finally:
+        server.shutdown()
+    assert [(r.id, r.score) for r in rows] == [(i, float(i)) for i in range(96)]
+    assert len(begun) >= 48 and most[0] > 2
+    begun.sort()
+    # The i-th call comes i / 25 s behind the first one or later; that may itself have been held up on a busy machine.
+    assert all(t - begun[0] >= i / 25 - 1 for i, t in enumerate(begun))
+
+
+def test_lease_without_a_driver(spark):
+    lease = leases.Lease(spark, 1.0)
+    lease._place = ("127.0.0.1", 1)
+    with pytest.raises(ScorerError):
+        lease.take()
