@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablefin.operators import features
+from sablefin.operators import features, sketches
 from sablefin.sources import tables
 
 from .common import Registry
@@ -225,3 +225,16 @@ def auto_discover(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = features.auto_discover(docs.columns)
     long = tables.long_form(docs, "doc_id", names)
     return long.groupBy("column_name").agg(F.count_if(F.col("value") != "").alias("filled"))
+
+
+_SKETCHED = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity"]
+_SKETCH_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", {1.0 if i > 1 else 0.0}::DOUBLE AS numeric FROM lineitem" for i, c in enumerate(_SKETCHED)
+)
+
+
+@registry.add("sketch_columns", _SKETCH_SQL)
+def sketch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the lines told from sketches, whose states were made for each supplier and merged."""
+    parts = sketches.column_states(tables.parquet(spark, sf_dir, "lineitem"), _SKETCHED, F.col("l_suppkey") % 16)
+    return sketches.told(sketches.merged_states(parts)).select("column_name", "rows", "nulls", "distinct", "numeric")

@@ -410,3 +410,15 @@ def _tokens_seen(texts: list[str]) -> list[float]:
     """A scorer for tests: the number of tokens in a text, below 0 if a private value is left in it."""
     left = re.compile(r"@example|(?<![0-9])555-|(?<![0-9])10\.1\.|1990-12|(?<![0-9-])[0-9]{16}(?![0-9\]])|(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}")
     return [-1.0 if left.search(t) else float(t.count("[")) for t in texts]
+
+
+def _lengths(texts: list[str]) -> list[float]:
+    """A scorer for tests, which answers the later the longer a text is."""
+    return [float(len(t)) for t in texts]
+
+
+@registry.add("scorer_in_flight", "SELECT c_custkey AS id, length(c_name || c_mktsegment)::DOUBLE AS score FROM customer")
+def scorer_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five calls at once in each task, under one quota for all tasks."""
+    rows = tables.parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat("c_name", "c_mktsegment").alias("text"))
+    return score.with_scorer(rows, "text", _lengths, batch=50, in_flight=5, per_second_in_all=1000.0).drop("text")

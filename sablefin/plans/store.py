@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablefin.operators import runs
+from sablefin.operators.kept import KeptTable
 from sablefin.sources import scratch, tables
 
 from .common import Registry
@@ -217,9 +218,35 @@ def cache_use(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("store_append", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines added to the store in three writes and read again."""
-    path = scratch.new_path(spark, "log-store")
-    events = _events(spark, sf_dir)
-    for part in range(3):
-        runs.append(events.where(F.col("event_id") % 3 == part), path)
-    stored = spark.read.schema(events.schema).parquet(path)
-    return stored.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    with scratch.temporary() as keep:
+        path = scratch.new_path(spark, "log-store")
+        events = _events(spark, sf_dir)
+        for part in range(3):
+            runs.append(events.where(F.col("event_id") % 3 == part), path)
+        stored = spark.read.schema(events.schema).parquet(path)
+        out = keep(scratch.written(stored.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last")), "log-counts"))
+        scratch.drop_path(spark, path)
+        return out
+
+
+@registry.add(
+    "store_compacted",
+    f"WITH {_CHECKPOINTS} SELECT worker_id, run_id, last_offset, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY worker_id, run_id ORDER BY updated_at DESC, last_offset DESC) AS r FROM checkpoints) WHERE r = 1 AND run_id % 5 <> 0",
+)
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints upserted in three lots, every fifth run's deleted, compacted twice and read as the last one of each."""
+    with scratch.temporary() as keep:
+        path = scratch.new_path(spark, "checkpoints")
+        rows = _checkpoints(spark, sf_dir).select("worker_id", "run_id", "last_offset", "updated_at")
+        table = KeptTable(spark, path, rows.schema, ["worker_id", "run_id"], "updated_at", ["last_offset"], parts=4)
+        for lot in range(3):
+            table.append(rows.where(F.col("last_offset") % 3 == lot))
+            if lot:
+                table.compact()
+        end = rows.agg(F.max("updated_at")).scalar()
+        table.delete(rows.where("run_id % 5 = 0").select("worker_id", "run_id").distinct(), end + F.expr("INTERVAL 1 SECOND"))
+        table.compact()
+        table.vacuum()
+        out = keep(scratch.written(table.latest(), "last-checkpoints"))
+        scratch.drop_path(spark, path)
+        return out
