@@ -42,7 +42,7 @@ def regression(requests: DataFrame, samples: DataFrame) -> DataFrame:
     """
     rate = F.col("rows") * F.col("columns") / (F.col("elapsed_ms") / 1000)
     rates = samples.where("elapsed_ms > 0").groupBy("chain_type").agg(F.avg(rate).alias("rate"), F.stddev_pop(rate).alias("spread"))
-    joined = requests.join(F.broadcast(rates), "chain_type", "left")  # a row for each kind
+    joined = requests.join(rates, "chain_type", "left")
     adjusted = F.col("rate") / multiplier(F.col("chain_type"))
     out = joined.withColumn("seconds", F.floor(F.col("rows") * F.col("columns") / adjusted)).withColumn("factor", F.col("spread") / adjusted)
     out = out.withColumn("lower", F.floor(F.greatest(F.col("seconds") * (1 - F.col("factor")), F.lit(0.0)))).withColumn("upper", F.floor(F.col("seconds") * (1 + F.col("factor"))))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +73,47 @@ def ngram_counts(df: DataFrame, n: int) -> DataFrame:
     return df.select("column_name", F.explode(char_ngrams(F.col("value"), n)).alias("gram")).groupBy("column_name", "gram").agg(F.count("*").alias("n"))
 
 
+#: What stands behind a text's last character.
+_END = 0x110000
+#: Kinds of pairs that are counted in a table rather than by sorting.
+_PAIR_TABLE = 1 << 22
+
+
+def pair_counts(df: DataFrame) -> DataFrame:
+    """Rows (column_name, a, b, n): how often each character (as a number) stands before each other one, which is null behind a
+    text's last. A batch of texts is counted before anything is handed on, so its rows are no more than its kinds of pairs."""
+    reach_package(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table({"name": batch.column(0), "value": batch.column(1)})
+            for name in table.column("name").unique().to_pylist():
+                own = table.filter(pc.equal(table.column("name"), name) if name is not None else pc.is_null(table.column("name")))
+                values = [v for v in own.column("value").to_pylist() if v]
+                if not values:
+                    continue
+                points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
+                kinds = np.append(np.flatnonzero(np.bincount(points)), _END)
+                number = np.zeros(_END + 1, np.int64)
+                number[kinds] = np.arange(len(kinds))
+                first = number[points]
+                second = np.append(first[1:], 0)
+                second[np.cumsum([len(v) for v in values]) - 1] = len(kinds) - 1
+                pairs = first * len(kinds) + second
+                if len(kinds) ** 2 <= _PAIR_TABLE:
+                    counts = np.bincount(pairs)
+                    found = np.flatnonzero(counts)
+                    many = counts[found]
+                else:
+                    found, many = np.unique(pairs, return_counts=True)
+                a, b = (kinds[x] for x in np.divmod(found, len(kinds)))
+                columns = [pa.array([name] * len(found), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32), mask=b == _END), pa.array(many.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["column_name", "a", "b", "n"])
+
+    each = df.select("column_name", F.col("value").cast("string").alias("value")).mapInArrow(run, "column_name string, a int, b int, n long")
+    return each.groupBy("column_name", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def entropies(df: DataFrame) -> DataFrame:
     """Rows (column_name, entropy, normalised, rate, simpson).
 
@@ -77,10 +121,7 @@ def entropies(df: DataFrame) -> DataFrame:
     entropy of two characters on end; and the chance that two characters drawn differ.
     """
 
-    chars = characters(F.col("value"))
-    # Each character with the next one, which the last has not: one row for both kinds of counts.
-    beside = F.arrays_zip(chars.alias("a"), F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))).alias("b"))
-    seen = df.select("column_name", F.explode(beside).alias("g")).groupBy("column_name", F.col("g.a").alias("a"), F.col("g.b").alias("b")).agg(F.count("*").alias("n"))
+    seen = pair_counts(df)
 
     def of(counts: DataFrame, name: str) -> DataFrame:
         total = counts.groupBy("column_name").agg(

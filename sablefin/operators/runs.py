@@ -110,7 +110,7 @@ def service_status(events: DataFrame, at: str, is_error: Column, latency_ms: Col
 def regressions(measured: DataFrame, baselines: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Rows (operation, average, baseline, ratio, regressed) of operations that have a baseline."""
     once = measured.groupBy("operation").agg(F.avg("duration").alias("average"))
-    out = once.join(F.broadcast(baselines), "operation").withColumn("ratio", F.col("average") / F.col("baseline"))  # a row for each operation
+    out = once.join(baselines, "operation").withColumn("ratio", F.col("average") / F.col("baseline"))
     return out.select("operation", F.round("average", 6).alias("average"), "baseline", F.round("ratio", 6).alias("ratio"), (F.col("ratio") > 1 + tolerance).alias("regressed"))
 
 
