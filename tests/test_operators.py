@@ -346,9 +346,14 @@ def test_dispatch_keeps_every_request(spark):
 
 
 def test_too_many_nodes(spark, monkeypatch):
+    """Beyond the bound nodes are not all compared: equal vectors count as one, and a threshold that all pairs meet is refused."""
     monkeypatch.setattr(graph, "MAX_NODES", 2)
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(4)], "id long, embedding array<double>")
     with pytest.raises(ValidationError):
-        graph.similarity_graph(spark.createDataFrame([(i, [1.0]) for i in range(3)], "id long, embedding array<double>"))
+        graph.similarity_graph(df, threshold=0.0)
+    with pytest.raises(ValidationError):
+        graph.pairs(df)
+    assert [(r.src, r.dst) for r in graph.similarity_graph(df, threshold=0.5).collect()] == [(0, 1)]
 
 
 def test_database_read_by_parts(spark):
