@@ -165,8 +165,8 @@ def json_fields(text: Column, keys: list[str]) -> Column:
     return F.when(parsed.isNull(), F.array().cast("array<struct<field:string,text:string>>")).otherwise(F.filter(pairs, lambda p: p["text"].isNotNull()))
 
 
-#: A customer's record in a prompt: the id, and the text up to the next one.
-CUSTOMER_ID = r"CUST-[0-9]{6}"
+#: A customer's record in a prompt: the id, of six digits or more, and the text up to the next one.
+CUSTOMER_ID = r"CUST-[0-9]{6,}"
 
 
 def customer_records(prompt: Column) -> Column:

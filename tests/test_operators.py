@@ -301,6 +301,13 @@ def test_prompt_parsers(spark):
     assert found == [[("CUST-000001", 3, 2), ("CUST-000002", 0, 0)], []]
 
 
+def test_customer_ids_of_more_than_six_digits_stay_whole(spark):
+    prompt = "CUST-999999 support_tickets: 3\nCUST-1000000 payment_delays = 2.\nCUST-12345"
+    df = spark.createDataFrame([(prompt,)], "p string")
+    found = [tuple(x) for x in df.select(score.customer_records(F.col("p"))).first()[0]]
+    assert found == [("CUST-999999", 3, 0), ("CUST-1000000", 0, 2)]
+
+
 def test_nearest_in_blocks_equals_a_plain_search(spark, monkeypatch):
     rng = np.random.RandomState(3)
     points = rng.randint(0, 4, (400, 3)).astype(float)  # many ties
