@@ -88,7 +88,7 @@ def similarity_graph(nodes: DataFrame, vector: str = "embedding", threshold: flo
     if nodes.limit(MAX_NODES + 1).count() > MAX_NODES:
         if threshold <= 0:
             raise ValidationError(f"more than {MAX_NODES} nodes")
-        return similar_pairs(nodes.select("id", vector), threshold, vector)
+        return written(similar_pairs(nodes.select("id", vector), threshold, vector), "similar")
     found = pairs(nodes.select("id", vector)).withColumn("weight", cosine(F.col(f"{vector}_a"), F.col(f"{vector}_b")))
     return prune(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), threshold)
 
