@@ -18,8 +18,6 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 4, 2
 #: Inner paragraphs collide if all rows of their one band agree: equal ones always do.
 INNER_ROWS = 4
-#: Bands of lines in a bucket that is too large for one comparison; of those with similarity 0.8, 998 in 1,000 collide.
-FINE_BANDS, FINE_ROWS = 16, 5
 #: Passages have at least so many words.
 PASSAGE_WORDS = 51
 #: Lines of a bucket that are compared with each other at once.
@@ -28,7 +26,7 @@ CELL = 512
 WHOLE, LINE, INNER = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
-_FACTORS = np.array([(0xBF58476D1CE4E5B9 * (2 * i + 1) + 2 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(FINE_BANDS * FINE_ROWS)], np.uint64)
+_FACTORS = np.array([(0xBF58476D1CE4E5B9 * (2 * i + 1) + 2 * i) & 0xFFFFFFFFFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -220,13 +218,23 @@ def shingle_sets(texts: DataFrame, places: DataFrame) -> DataFrame:
     return chosen.select("lines", "text").mapInArrow(run, "c long, shingles array<long>").dropDuplicates(["c"])
 
 
-def fine_bands(shingles: Column) -> Column:
-    """The keys of ``FINE_BANDS`` bands of ``FINE_ROWS`` rows each."""
+def shared_prefixes(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (key, c, odd): finer buckets of rows (key, c, odd), in which every two similar contents of a bucket meet again.
 
-    def least(i: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda x: F.xxhash64(F.lit(i), x)))
-
-    return F.array(*(F.xxhash64(F.lit(b), *(least(b * FINE_ROWS + r) for r in range(FINE_ROWS))) for b in range(FINE_BANDS)))
+    A content is in a finer bucket for each of the rarest of its shingles, rarest in the bucket first. Of n shingles, two similar
+    contents share at least 0.8 n, for the n of either; so the first n - ceil(0.8 n) + 1 in any one order, which miss fewer
+    than 0.8 n, have one in common. Finer buckets of one content, and those without an odd one, are left out.
+    """
+    rows = keyed.join(sets, "c").select("key", "c", "odd", F.explode("shingles").alias("shingle"))
+    rows = written(rows.select(F.xxhash64("key", "shingle").alias("fine"), "key", "c", "odd"), "line-elements")
+    rare = written(rows.groupBy("fine").agg(F.count("*").alias("often")).withColumn("many", F.col("often")), "line-rare")
+    rows = hot_join(rows, rare, "fine").groupBy("key", "c", "odd").agg(F.sort_array(F.collect_list(F.struct("often", "fine"))).alias("ordered"))
+    size = F.size("ordered")
+    first = F.slice("ordered", F.lit(1), size - F.ceil(size * SIMILARITY - 1e-9).cast("int") + 1)
+    finer = rows.select("c", "odd", F.explode(first).alias("at")).where("at.often > 1").select(F.col("at.fine").alias("key"), "c", "odd")
+    finer = written(finer, "line-prefixes")
+    wanted = finer.groupBy("key").agg(F.count("*").alias("many"), F.bool_or("odd").alias("wanted")).where("wanted AND many > 1").select("key", "many")
+    return written(hot_join(finer, written(wanted, "line-finer"), "key", "left_semi"), "line-fine")
 
 
 def _is_similar(a: Column, b: Column) -> Column:
@@ -329,23 +337,32 @@ def _line_links(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     several contents, each with a place (id, text_hash, start, n).
 
     Each content is compared with its bucket's first one, which settles buckets of one kind of line, however large. What
-    is not similar to it is then compared with the whole bucket, or, if that is large, with what shares a fine band.
+    is not similar to it is then compared with the whole bucket, or, if that is large, in finer buckets that lose no two
+    similar ones, with their first one and the rest in the same way. So links connect what all pairs of a bucket would.
     """
     places = keyed.groupBy("c").agg(F.min("at").alias("at")).groupBy("at.id", f"at.{_TEXT_HASH}")
     places = written(places.agg(F.collect_list(F.struct("c", "at.start", "at.n")).alias("lines")), "line-places")
     sets = written(shingle_sets(texts, places), "line-shingles")
-    pairs = keyed.select("key", "c")
+    links, left = _beside_first(keyed.select("key", "c"), sets)
+    if left.limit(1).count():
+        small = left.where(F.col("n") <= CELL).select("key", "c", "odd")
+        large = left.where(F.col("n") > CELL).select("key", "c", "odd")
+        if large.limit(1).count():
+            more, rest = _beside_first(shared_prefixes(large, sets).select("key", "c"), sets)
+            links, small = links.union(more), small.union(rest.select("key", "c", "odd"))
+        links = links.union(_cell_links(small, sets))
+    return links.distinct()
+
+
+def _beside_first(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) between the first content of each bucket, of rows (key, c), and what is similar to it; and the rows (key, c, n,
+    odd) of those buckets that hold something else, which is odd."""
     checked = written(against_first(pairs, sets), "line-checks")
     links = checked.where("similar").select(F.col("c").alias("u"), F.col("first").alias("v"))
     open_keys = checked.where("n > 2").groupBy("key").agg(F.max("n").alias("n"), F.bool_and("similar").alias("settled")).where("NOT settled").select("key", "n")
     odd = checked.where("NOT similar").select("key", "c", F.lit(True).alias("odd"))
     left = pairs.join(bounded_broadcast(open_keys), "key").join(odd, ["key", "c"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-    left = written(left, "line-rest")
-    if left.limit(1).count():
-        fine = left.where(F.col("n") > CELL).join(sets, "c").select("c", "odd", "key", F.explode(fine_bands(F.col("shingles"))).alias("band"))
-        fine = fine.select(F.xxhash64("key", "band").alias("key"), "c", "odd").distinct()
-        links = links.union(_cell_links(left.where(F.col("n") <= CELL).select("key", "c", "odd").union(fine), sets))
-    return links.distinct()
+    return links, written(left, "line-rest")
 
 
 def repeated_passages(

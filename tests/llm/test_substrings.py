@@ -375,3 +375,23 @@ def test_without_words():
     assert substrings.without_words(b" a  b c\nd ", [1], [2]) == b" a\nd "
     assert substrings.without_words(b" a  b c\nd ", [0, 3], [2, 1]) == b" c "
     assert substrings.without_words(b"a b", [0], [2]) == b""
+
+
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
+    """Pairs of lines with a similarity of just 0.8, all in one large bucket: each pair is linked, as in a small one."""
+    monkeypatch.setattr(substrings, "CELL", 20)
+    rng = random.Random(5)
+    texts = []
+    for pair in range(1200):
+        base = [f"p{pair}w{i}" for i in range(74)] + [f"common{i}" for i in range(20)]
+        edited = list(base)
+        for at in (15, 55):  # 10 of 90 shingles differ: 80 of 100 are alike
+            edited[at] = f"e{rng.randrange(10**9)}"
+        texts += [" ".join(base), " ".join(edited)]
+    powers = substrings._powers(substrings._BASE, 200)
+    names = [int(substrings.contents(words_hash(t.split()), np.array([0]), np.array([94]), powers).view(np.int64)[0]) for t in texts]
+    table = spark.createDataFrame([(i, i * 10, t.encode()) for i, t in enumerate(texts)], "id long, text_hash long, text binary")
+    kind = "key long, c long, at struct<id:long,text_hash:long,start:int,n:int>"
+    keyed = spark.createDataFrame([(1, names[i], (i, i * 10, 0, 94)) for i in range(len(texts))], kind)
+    wanted = {frozenset(names[i : i + 2]) for i in range(0, len(texts), 2)}
+    assert {frozenset((r.u, r.v)) for r in substrings._line_links(table, keyed).collect()} == wanted
