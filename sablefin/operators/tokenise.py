@@ -21,6 +21,8 @@ TOKEN_REGEX = r"\[[A-Z0-9_]+-\d+\]"
 BOUNDED_REGEX = r"\b(?:EMAIL_|SSN_|PHONE_|CC_|IP_|LITERAL_)?[0-9A-F]{8}\b"
 #: What looks like a token in a text that holds none yet gets a token of this kind, so that it comes back as it was.
 LITERAL = "LITERAL"
+#: What looks like a token has one of these.
+_NEEDED_BY_TOKENS = r"[0-9]\]|[0-9A-F]{8}"
 
 
 def _mark(k: int) -> str:
@@ -60,37 +62,46 @@ def _rules(patterns: PatternSet) -> list[Pattern]:
     return [Pattern(LITERAL, rf"{TOKEN_REGEX}|\b(?:{prefixes}){bare}[0-9A-F]{{8}}\b"), *own]
 
 
-def marked(text: Column, rules: list[Pattern]) -> tuple[Column, list[Column]]:
-    """The text with a mark for each match, and each rule's matches in order.
+def marked(text: Column, rules: list[Pattern]) -> Column:
+    """The text with a mark for each match, and each rule's matches in order, as a struct (text, found).
 
-    A rule sees the text that the rules before it have left, so nothing is matched twice.
+    A rule sees the text that the rules before it have left, so nothing is matched twice; and each runs once, and only over texts
+    that may have something for it.
     """
-    found = []
+
+    def step(k: int, regex: str) -> Callable[[Column], Column]:
+        def after(seen: Column) -> Column:
+            worth = _may_match(seen["text"], regex)
+            found = F.when(worth, F.regexp_extract_all(seen["text"], F.lit(regex), F.lit(0))).otherwise(F.array().cast("array<string>"))
+            left = F.when(worth, F.regexp_replace(seen["text"], regex, _mark(k))).otherwise(seen["text"])
+            return F.struct(left.alias("text"), F.concat(seen["found"], F.array(found)).alias("found"))
+
+        return after
+
+    out = F.struct(_escaped(text, len(rules)).alias("text"), F.array().cast("array<array<string>>").alias("found"))
     for k, rule in enumerate(rules):
-        found.append(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)))
-        text = F.regexp_replace(text, rule.regex, _mark(k))
-    return text, found
+        out = _once(out, step(k, rule.regex))
+    plain = lambda seen: F.transform(seen["found"], lambda f: F.transform(f, lambda m: _unescaped(m, len(rules))))
+    return _once(out, lambda seen: F.struct(seen["text"].alias("text"), plain(seen).alias("found")))
 
 
-def with_marks(df: DataFrame, text_column: str, patterns: PatternSet) -> DataFrame:
-    """``df`` with the columns ``__marked`` and ``__found`` (an array of matches for each rule)."""
-    rules = _rules(patterns)
-    text, found = marked(_escaped(F.col(text_column), len(rules)), rules)
-    found = [F.transform(f, lambda m: _unescaped(m, len(rules))) for f in found]
-    return df.withColumn("__marked", text).withColumn("__found", F.array(*found) if found else F.array().cast("array<array<string>>"))
+def _seen(found: Column) -> Column:
+    """(rule, position, original) of every match, of the matches of each rule."""
+    each = lambda f, k: F.transform(f, lambda m, i: F.struct(k.alias("rule"), i.alias("position"), m.alias("original")))
+    return F.flatten(F.transform(found, each))
 
 
-def _places(df: DataFrame, key: str, patterns: PatternSet) -> DataFrame:
+def _places(df: DataFrame, key: str, text_column: str, patterns: PatternSet) -> DataFrame:
     """Rows (key, rule, position, original) of every match."""
-    rules = df.select(F.col(key).alias("key"), F.posexplode("__found").alias("rule", "matches"))
-    return rules.select("key", "rule", F.posexplode("matches").alias("position", "original"))
+    marks = df.select(F.col(key).alias("key"), marked(F.col(text_column), _rules(patterns)).alias("__marks"))
+    return marks.select("key", F.explode(_seen(F.col("__marks.found"))).alias("at")).select("key", "at.*")
 
 
 def places(df: DataFrame, text_column: str, patterns: PatternSet) -> DataFrame:
     """Rows (original, pattern_type) of every match in the texts, repeats included."""
     names = F.array(*(F.lit(r.pattern_type) for r in _rules(patterns)))
-    rules = with_marks(df.select(text_column), text_column, patterns).select(F.posexplode("__found").alias("rule", "matches"))
-    return rules.select(F.explode("matches").alias("original"), F.element_at(names, F.col("rule") + 1).alias("pattern_type"))
+    seen = df.select(marked(F.col(text_column), _rules(patterns)).alias("__marks")).select(F.explode(_seen(F.col("__marks.found"))).alias("at"))
+    return seen.select("at.original", F.element_at(names, F.col("at.rule") + 1).alias("pattern_type"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -116,7 +127,7 @@ def dictionary(df: DataFrame, key: str, text_column: str, patterns: PatternSet)
     first place. What looks like a token in a text is an original of its own, so no text can pass for another one's token.
     """
     names = F.array(*(F.lit(r.pattern_type) for r in _rules(patterns)))
-    places = _places(with_marks(df.select(key, text_column), text_column, patterns), key, patterns)
+    places = _places(df, key, text_column, patterns)
     first = places.groupBy("original").agg(F.min(F.struct("key", "rule", "position")).alias("at"))
     rows = first.select("original", F.element_at(names, F.col("at.rule") + 1).alias("pattern_type"), "at.key", "at.rule", "at.position")
     return numbered(rows, ["key", "rule", "position"], "number").select("original", "pattern_type", "number")
@@ -148,22 +159,7 @@ def tokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, patte
     characters that serve as marks may stand in a text. A match without a token in the dictionary is an error: it can
     neither stay nor go.
     """
-    rules = _rules(patterns)
-    marks = with_marks(df, text_column, patterns)
-    has = F.exists("__found", lambda f: F.size(f) > 0)
-    used = _places(marks.where(has), key, patterns).join(tokens.select("original", "token"), "original")
-    maps = used.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("original", "token"))).alias("__tokens"))
-    maps = maps.withColumnRenamed("key", "__key")
-    joined = marks.join(maps, marks[key].eqNullSafe(maps["__key"]), "left").drop("__key")
-    text: Column = F.col("__marked")
-    missing = F.raise_error(F.lit("a match has no token in the dictionary")).cast("string")
-    for k in range(len(rules)):
-        own = F.transform(F.get("__found", F.lit(k)), lambda m: F.coalesce(F.col("__tokens")[m], missing))
-        pieces = F.zip_with(F.split(text, _mark(k), -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
-        text = F.when(F.size(F.get("__found", F.lit(k))) > 0, F.array_join(pieces, "")).otherwise(text)
-    in_order = F.array_distinct(F.transform(F.flatten("__found"), lambda m: F.col("__tokens")[m]))
-    out = joined.withColumn("tokens_used", F.coalesce(in_order, F.array().cast("array<string>"))).withColumn(text_column, _unescaped(text, len(rules)))
-    return out.drop("__marked", "__found", "__tokens")
+    return tokenise_columns(df, key, [text_column], tokens, patterns)
 
 
 def record_dictionary(df: DataFrame, key: str, columns: list[str], patterns: PatternSet) -> DataFrame:
@@ -173,12 +169,35 @@ def record_dictionary(df: DataFrame, key: str, columns: list[str], patterns: Pat
 
 
 def tokenise_columns(df: DataFrame, key: str, columns: list[str], tokens: DataFrame, patterns: PatternSet) -> DataFrame:
-    """``df`` with all the given text columns tokenised, and the tokens used in any of them in ``tokens_used``."""
-    used = []
-    for i, column in enumerate(columns):
-        df = tokenise(df, key, column, tokens, patterns).withColumnRenamed("tokens_used", f"__used_{i}")
-        used.append(f"__used_{i}")
-    return df.withColumn("tokens_used", F.array_distinct(F.flatten(F.array(*used)))).drop(*used)
+    """``df`` with all the given text columns tokenised, and the tokens used in any of them in ``tokens_used``.
+
+    The matches of all columns meet the dictionary in one join, and their rows in another one.
+    """
+    rules = _rules(patterns)
+    each = {c: f"__marks_{i}" for i, c in enumerate(columns)}
+    marks = df.select("*", F.col(key).alias("__row"), *(marked(F.col(c), rules).alias(m) for c, m in each.items()))
+    originals = F.array_distinct(F.flatten(F.array(*(F.flatten(F.col(f"{m}.found")) for m in each.values()))))
+    used = marks.select(F.col("__row").alias("key"), F.explode(originals).alias("original")).join(tokens.select("original", "token"), "original")
+    maps = used.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("original", "token"))).alias("__tokens"))
+    maps = maps.withColumnRenamed("key", "__key")
+    joined = marks.drop(*columns).join(maps, F.col("__row").eqNullSafe(F.col("__key")), "left")
+    missing = F.raise_error(F.lit("a match has no token in the dictionary")).cast("string")
+    signs = F.array(*(F.lit(_mark(k)) for k in range(len(rules))))
+
+    def filled(found: Column) -> Callable[[Column, Column], Column]:
+        def step(text: Column, k: Column) -> Column:
+            own = F.transform(F.get(found, k), lambda m: F.coalesce(F.col("__tokens")[m], missing))
+            pieces = F.zip_with(F.split(text, F.get(signs, k), -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+            return F.when(F.size(F.get(found, k)) > 0, F.array_join(pieces, "")).otherwise(text)
+
+        return step
+
+    done = {}
+    for c, m in each.items():
+        out = F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), F.col(f"{m}.text"), filled(F.col(f"{m}.found")))
+        done[c] = _once(out, lambda text: _unescaped(text, len(rules))).alias(c)
+    in_order = F.array_distinct(F.transform(F.flatten(F.array(*(F.flatten(F.col(f"{m}.found")) for m in each.values()))), lambda m: F.col("__tokens")[m]))
+    return joined.select(*(done.get(c, F.col(c)) for c in df.columns), F.coalesce(in_order, F.array().cast("array<string>")).alias("tokens_used"))
 
 
 def merged_dictionary(known: DataFrame, found: DataFrame) -> DataFrame:
@@ -204,10 +223,13 @@ def detokenise(df: DataFrame, key: str, text_column: str, tokens: DataFrame, reg
 
 def _restored(text: Column, pairs: Column, regex: str) -> Column:
     """One pass over the text's tokens, so that a restored original is never searched again."""
-    lookup = F.map_from_entries(pairs)
-    own = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda t: F.coalesce(lookup[t], t))
-    pieces = F.zip_with(F.split(text, regex, -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
-    return F.when(pairs.isNotNull(), F.array_join(pieces, "")).otherwise(text)
+
+    def whole(lookup: Column) -> Column:
+        own = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda t: F.coalesce(lookup[t], t))
+        pieces = F.zip_with(F.split(text, regex, -1), own, lambda p, t: F.concat(p, F.coalesce(t, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    return F.when(pairs.isNotNull(), _once(F.map_from_entries(pairs), whole)).otherwise(text)
 
 
 def _replaced(text: Column, matches: Column, label: str) -> Column:
@@ -217,7 +239,7 @@ def _replaced(text: Column, matches: Column, label: str) -> Column:
 
 def _may_match(text: Column, regex: str) -> Column:
     """Whether a text has what a rule's matches must have, if that is known: most texts have nothing of the kind."""
-    needed = NECESSARY.get(regex)
+    needed = _NEEDED_BY_TOKENS if regex.startswith(f"{TOKEN_REGEX}|") else NECESSARY.get(regex)
     if needed is None:
         return F.lit(True)
     return text.contains(needed) if needed.isalpha() or needed == "@" else text.rlike(needed)

@@ -402,7 +402,7 @@ def score_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("mail "), "email", F.lit(" or call "), "phone", F.lit(" ssn "), "ssn", F.lit(" card 4"), F.lpad(F.col("id").cast("string"), 15, "0"),
         F.lit(" ip 10.1.2."), (F.col("id") % 256).cast("string"), F.lit(" born 1990-12-31"),
     ]
-    texts = tables.contacts(tables.parquet(spark, sf_dir, "customer")).select("id", F.concat(*parts).alias("text"))
+    texts = tables.contacts(tables.spread(tables.parquet(spark, sf_dir, "customer").select("c_custkey"))).select("id", F.concat(*parts).alias("text"))
     return Sablefin(spark).score(texts, "text", _tokens_seen)
 
 

@@ -18,7 +18,7 @@ _SEALING_KEY = bytes(range(32))
 
 
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.contacts(tables.parquet(spark, sf_dir, "customer"))
+    return tables.contacts(tables.spread(tables.parquet(spark, sf_dir, "customer").select("c_custkey")))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,14 +113,15 @@ def merge_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _contacts(spark, sf_dir)
     tokens = _counter(df)
-    return tokenise.detokenise(tokenise.tokenise(df, "id", "note", tokens, default_pii()), "id", "note", tokens).select("id", "note")
+    done = scratch.written(tokenise.tokenise(df, "id", "note", tokens, default_pii()).select("id", "note"), "tokenised")
+    return tokenise.detokenise(done, "id", "note", tokens).select("id", "note")
 
 
 @registry.add("detokenise_bounded", f"WITH {CONTACTS} SELECT id, note FROM contacts")
 def detokenise_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _contacts(spark, sf_dir)
     tokens = _bounded(df)
-    done = tokenise.tokenise(df, "id", "note", tokens, default_pii())
+    done = scratch.written(tokenise.tokenise(df, "id", "note", tokens, default_pii()).select("id", "note"), "tokenised")
     return tokenise.detokenise(done, "id", "note", tokens, tokenise.BOUNDED_REGEX).select("id", "note")
 
 
@@ -285,6 +286,7 @@ def restore_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, token, regex in (("note", tokenise.counter_token, tokenise.TOKEN_REGEX), ("bounded", tokenise.bounded_token, tokenise.BOUNDED_REGEX)):
         own = tokens.withColumn("token", token(F.col("pattern_type"), F.col("number")))
         done = tokenise.tokenise(df, "id", "note", own, default_pii()).withColumn("hidden", ~F.col("note").rlike("@example"))
+        done = scratch.written(done.drop("tokens_used"), "tokenised")
         back = tokenise.detokenise(done, "id", "note", own, regex).select("id", F.col("note").alias(name), "hidden")
         out = back if out is None else out.join(back.withColumnRenamed("hidden", "also"), "id").select("id", "note", "bounded", (F.col("hidden") & F.col("also")).alias("hidden"))
     return out

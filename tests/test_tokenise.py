@@ -267,3 +267,15 @@ def test_guards_can_be_switched_off_everywhere(spark):
     assert "@" in on.first().r.x and "@" in on.first().j
     assert "@" not in off.first().r.x and "@" not in off.first().j
     assert "@" in tokenise.tokenise_records(df, ["text"]).first().text and "@" not in tokenise.tokenise_records(df, ["text"], most_bytes=None).first().text
+
+
+def test_columns_share_one_dictionary_join_and_rows_are_spread(spark, sf_dir):
+    """However many columns: one join with the dictionary and one back; a regex stands in the plan once for each use of the marks."""
+    from sablefin.plans import tokenisation
+
+    df = tokenisation._contacts(spark, sf_dir)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # a small file is not one task's
+    tokens = spark.createDataFrame([("a@b.com", "[EMAIL-0]")], "original string, token string")
+    four = tokenise.tokenise_columns(df, "id", ["email", "ssn", "phone", "note"], tokens, default_pii())
+    plan = four._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Join " in line for line in plan.splitlines()) == 2
