@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sablefin.errors import ColumnError, ModelError
+from sablefin.sources.scratch import written
+from sablefin.sources.tables import spread
 from sablefin.sources.workers import reach_package
 
 HEADER_SIZE, HASH_SIZE = 300, 64
@@ -68,6 +70,29 @@ def token_ngrams(text: Column, n: int) -> Column:
     return _on_end(F.array_remove(F.split(text, r"\s+"), ""), n, " ")
 
 
+def ngram_kinds(df: DataFrame, key: str, text_column: str, n: int) -> DataFrame:
+    """Rows (key, n, kinds, first): how many n words on end a key's texts have, how many different ones, and the least of them.
+
+    A key of one row has its n-grams counted where the row is; only keys that repeat (and the null one) send theirs through a
+    shuffle. Keys are counted first.
+    """
+    rows = df.select(key, text_column)
+    again = rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    again = written(again, "repeated-keys")
+    repeated = again.limit(1).count() > 0
+    texts = spread(rows)
+    alone = texts.where(F.col(key).isNotNull())
+    alone = alone.join(again, key, "left_anti") if repeated else alone
+    told = F.transform(
+        F.array(token_ngrams(F.col(text_column), n)), lambda g: F.struct(F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("kinds"), F.array_min(g).alias("first"))
+    )
+    found = alone.select(key, F.explode(F.filter(told, lambda t: t["first"].isNotNull())).alias("told")).select(key, "told.*")
+    rest = texts.where(F.col(key).isNull())
+    rest = rest.union(texts.join(again, key, "left_semi").select(key, text_column)) if repeated else rest
+    each = rest.select(key, F.explode(token_ngrams(F.col(text_column), n)).alias("gram")).groupBy(key)
+    return found.union(each.agg(F.count("*").alias("n"), F.count_distinct("gram").alias("kinds"), F.min("gram").alias("first")))
+
+
 def ngram_counts(df: DataFrame, n: int) -> DataFrame:
     """Rows (column_name, gram, n) of how often each n characters stand in a column."""
     return df.select("column_name", F.explode(char_ngrams(F.col("value"), n)).alias("gram")).groupBy("column_name", "gram").agg(F.count("*").alias("n"))
@@ -77,38 +102,71 @@ def ngram_counts(df: DataFrame, n: int) -> DataFrame:
 _END = 0x110000
 #: Kinds of pairs that are counted in a table rather than by sorting.
 _PAIR_TABLE = 1 << 22
+#: Bytes of texts whose pairs are counted at once, whatever a batch holds.
+PAIR_BYTES = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut into parts of about ``PAIR_BYTES`` bytes of its second column, of a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // PAIR_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
+def _pieces(values: list[str | None]) -> tuple[list[list[str]], list[list[bool]]]:
+    """Texts in groups of about ``PAIR_BYTES`` characters, and whether each goes on: a longer text is cut into pieces, each of which
+    ends with the next one's first character."""
+    groups, goes_on, room = [], [], 0
+    for value in values:
+        for at in range(0, len(value or ""), PAIR_BYTES):
+            piece = value[at : at + PAIR_BYTES + 1]
+            if room < len(piece):
+                groups.append([])
+                goes_on.append([])
+                room = max(PAIR_BYTES, len(piece))
+            groups[-1].append(piece)
+            goes_on[-1].append(at + PAIR_BYTES < len(value))
+            room -= len(piece)
+    return groups, goes_on
 
 
 def pair_counts(df: DataFrame) -> DataFrame:
     """Rows (column_name, a, b, n): how often each character (as a number) stands before each other one, which is null behind a
-    text's last. A batch of texts is counted before anything is handed on, so its rows are no more than its kinds of pairs."""
+    text's last. So many bytes of a batch are counted before anything is handed on, so rows are no more than kinds of pairs, and a
+    worker needs no more room for long texts than for short ones; a text that is longer is counted in pieces."""
     reach_package(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.table({"name": batch.column(0), "value": batch.column(1)})
+        for part in (part for batch in batches for part in _parts(batch)):
+            table = pa.table({"name": part.column(0), "value": part.column(1)})
             for name in table.column("name").unique().to_pylist():
                 own = table.filter(pc.equal(table.column("name"), name) if name is not None else pc.is_null(table.column("name")))
-                values = [v for v in own.column("value").to_pylist() if v]
-                if not values:
-                    continue
-                points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
-                kinds = np.append(np.flatnonzero(np.bincount(points)), _END)
-                number = np.zeros(_END + 1, np.int64)
-                number[kinds] = np.arange(len(kinds))
-                first = number[points]
-                second = np.append(first[1:], 0)
-                second[np.cumsum([len(v) for v in values]) - 1] = len(kinds) - 1
-                pairs = first * len(kinds) + second
-                if len(kinds) ** 2 <= _PAIR_TABLE:
-                    counts = np.bincount(pairs)
-                    found = np.flatnonzero(counts)
-                    many = counts[found]
-                else:
-                    found, many = np.unique(pairs, return_counts=True)
-                a, b = (kinds[x] for x in np.divmod(found, len(kinds)))
-                columns = [pa.array([name] * len(found), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32), mask=b == _END), pa.array(many.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["column_name", "a", "b", "n"])
+                values, more = _pieces(own.column("value").to_pylist())
+                for at in range(len(values)):
+                    yield counted(name, values[at], more[at])
+
+    def counted(name: str | None, values: list[str], more: list[bool]) -> pa.RecordBatch:
+        points = np.frombuffer("".join(values).encode("utf-32-le"), "<u4")
+        kinds = np.append(np.flatnonzero(np.bincount(points)), _END)
+        number = np.zeros(_END + 1, np.int32)
+        number[kinds] = np.arange(len(kinds))
+        first = number[points].astype(np.int64)
+        second = np.append(first[1:], 0)
+        ends = np.cumsum([len(v) for v in values]) - 1
+        second[ends] = len(kinds) - 1
+        pairs = np.delete(first * len(kinds) + second, ends[np.array(more)])  # the next piece has them
+        if len(kinds) ** 2 <= _PAIR_TABLE:
+            counts = np.bincount(pairs)
+            found = np.flatnonzero(counts)
+            many = counts[found]
+        else:
+            found, many = np.unique(pairs, return_counts=True)
+        a, b = (kinds[x] for x in np.divmod(found, len(kinds)))
+        columns = [pa.array([name] * len(found), pa.string()), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32), mask=b == _END), pa.array(many.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["column_name", "a", "b", "n"])
 
     each = df.select("column_name", F.col("value").cast("string").alias("value")).mapInArrow(run, "column_name string, a int, b int, n long")
     return each.groupBy("column_name", "a", "b").agg(F.sum("n").alias("n"))

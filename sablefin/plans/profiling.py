@@ -95,8 +95,7 @@ def ngram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS kinds, min(gram) AS first FROM g GROUP BY 1""",
 )
 def token_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = tables.spread(tables.parquet(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(features.token_ngrams(F.col("text"), 2)).alias("gram"))
-    return grams.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("gram").alias("kinds"), F.min("gram").alias("first"))
+    return features.ngram_kinds(tables.parquet(spark, sf_dir, "documents"), "doc_id", "text", 2)
 
 
 _HASHED_SQL = f"""WITH {_LONG_SQL}, g AS (SELECT column_name, unnest(list_transform(range(1, length(value) - 1), lambda i: value[i:i + 2])) AS gram FROM long),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sablefin import cli
 from sablefin.errors import CancelledError, ConfigError, DimensionError, ModelError, PatternError, RateLimitError, ScorerError, StoreError, ValidationError
+from sablefin.functions.patterns import TEXT_RULES
 from sablefin.operators import estimate, features, graph, leases, runs, sampling, score, tokenise
 from sablefin.plans.api import Sablefin
 from sablefin.plans.control import ProfileCache, RunControl
@@ -452,3 +453,29 @@ def test_lease_without_a_driver(spark):
     lease._place = ("127.0.0.1", 1)
     with pytest.raises(ScorerError):
         lease.take()
+
+
+def test_pairs_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(features, "PAIR_BYTES", 7)
+    texts = ["abcabcabcabcabca", "", None, "x", "\u00e4\U0001f600\u00e4bc", "seven77", "eight888"]
+    df = spark.createDataFrame([("c", t) for t in texts], "column_name string, value string").coalesce(1)
+    wanted = {}
+    for t in texts:
+        for a, b in zip(t or "", [*(t or "")[1:], None]):
+            wanted[a, b] = wanted.get((a, b), 0) + 1
+    assert {(chr(r.a), r.b if r.b is None else chr(r.b)): r.n for r in features.pair_counts(df).collect()} == wanted
+
+
+def test_ngrams_of_repeated_and_null_keys(spark):
+    rows = [(1, "a b a b"), (2, "c d"), (2, "c d e"), (3, "one"), (4, None), (None, "x y"), (None, "y z")]
+    found = features.ngram_kinds(spark.createDataFrame(rows, "k long, t string"), "k", "t", 2)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, 3, 2, "a b"), (2, 3, 2, "c d"), (None, 2, 2, "x y")], key=str)
+
+
+def test_all_matches_of_a_text_are_those_of_its_words(spark):
+    texts = ["mail a@b.com, (c@d.org) a@b.com\nx@y.z e.f@g-h.net;123-45-6789 1123-45-6789 123-45-6789\t999-99-9999", "@ - a@ b.com", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _, regex in TEXT_RULES:
+        plan = df.select(tokenise._matches(F.col("t"), regex, None).alias("words"), F.array_distinct(F.regexp_extract_all("t", F.lit(regex), F.lit(0))).alias("whole"))
+        assert all(list(dict.fromkeys(r.words or [])) == (r.whole or []) for r in plan.collect())
+        assert "split" in plan._jdf.queryExecution().optimizedPlan().toString()
