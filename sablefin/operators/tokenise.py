@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sablefin.functions.patterns import NECESSARY, TEXT_RULES, TOKEN_PREFIXES, Pattern, PatternSet
+from sablefin.functions.patterns import NECESSARY, TEXT_RULES, TOKEN_PREFIXES, WITHIN_WORDS, Pattern, PatternSet
 from sablefin.functions.validators import MAX_MATCHES, MAX_TEXT_BYTES, cards, emails, guarded
 from sablefin.sources.scratch import written
 
@@ -246,6 +246,11 @@ def _may_match(text: Column, regex: str) -> Column:
 
 
 def _matches(text: Column, regex: str, most: int | None) -> Column:
+    """A text's matches, the first ``most`` of them, or, if all count, all different ones in order of their first places."""
+    sign = WITHIN_WORDS.get(regex)
+    if most is None and sign is not None:  # only words that may match are searched, and equal ones once
+        words = F.array_distinct(F.filter(F.split(text, " "), lambda w: w.contains(sign)))
+        return F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(regex), F.lit(0))))
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     return found if most is None else F.slice(found, 1, most)
 
