@@ -22,6 +22,8 @@ INNER_ROWS = 4
 PASSAGE_WORDS = 51
 #: Lines of a bucket that are compared with each other at once.
 CELL = 512
+#: Shingles that are copied at once where the least of each so many on end is chosen.
+COPIED = 1 << 17
 #: What a paragraph is: a whole text, a line of it, or a part of it between two places that its words choose.
 WHOLE, LINE, INNER = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +93,10 @@ def inner_cuts(words: np.ndarray, texts: np.ndarray, passage_words: int) -> tupl
     count = len(words) - (many + SHINGLE_WORDS - 1) + 1
     if count > 0:
         seen = np.lib.stride_tricks.sliding_window_view(shingle_hashes(words), many)
-        chosen[:count] = np.arange(count) + many - 1 - seen[:, ::-1].argmin(axis=1)
+        step = max(COPIED // many, 1)
+        for at in range(0, count, step):  # argmin copies all that it is given, each shingle as often as places may choose it
+            some = seen[at : at + step, ::-1]
+            chosen[at : at + len(some)] = np.arange(at, at + len(some)) + many - 1 - some.argmin(axis=1)
         for stop in texts[1:-1]:  # stretches over the end of a text choose nothing
             chosen[max(stop - (many + SHINGLE_WORDS - 1) + 1, 0) : stop] = -1
     begins = texts[:-1][np.diff(texts) > 0]
@@ -561,15 +566,16 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lists = F.sort_array(F.collect_list(F.struct("start", "n")))
     spans = spans.groupBy(F.col("id").alias("__id"), F.col(_TEXT_HASH).alias("__text")).agg(lists.alias("__spans"))
 
-    @F.arrow_udf("binary")
     def cut(texts: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
         rows = zip(*(x.to_pylist() for x in (texts, starts, sizes)))
         return pa.array([t if s is None else without_words(t, s, n) for t, s, n in rows], pa.binary())
 
+    # The filter below would go under the projection with a call of its own, for which each task has another Python worker.
+    cut = F.arrow_udf(cut, "binary").asNondeterministic()
     same = (docs[id_column] == spans["__id"]) & (F.xxhash64(docs[text_column]) == spans["__text"])
     joined = docs.join(spans, same, "left").drop("__id", "__text")
     touched = F.col("__spans").isNotNull()
-    after = F.when(touched, cut(utf8(text_column), F.col("__spans.start"), F.col("__spans.n")).cast("string")).otherwise(F.col(text_column))
+    after = F.when(touched, cut(F.when(touched, utf8(text_column)), F.col("__spans.start"), F.col("__spans.n")).cast("string")).otherwise(F.col(text_column))
     out = joined.withColumn("__after", after).where(~touched | F.col("__after").rlike(r"\S"))
     if "n_chars" in docs.columns:
         count = F.when(touched, F.length("__after")).otherwise(F.col("n_chars"))

@@ -1,6 +1,7 @@
 """Repeated passages: planted ones are found, nothing else is, and brute force agrees on the parts."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -395,3 +396,32 @@ def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch):
     keyed = spark.createDataFrame([(1, names[i], (i, i * 10, 0, 94)) for i in range(len(texts))], kind)
     wanted = {frozenset(names[i : i + 2]) for i in range(0, len(texts), 2)}
     assert {frozenset((r.u, r.v)) for r in substrings._line_links(table, keyed).collect()} == wanted
+
+
+def test_cuts_take_little_memory_and_stay_the_same(monkeypatch):
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 3000, 200_000).astype(np.uint64)
+    texts = np.array([0, 70_000, 70_030, len(words)])
+    tracemalloc.start()
+    cuts, chosen = substrings.inner_cuts(words, texts, 51)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * words.nbytes  # a copy of all shingles for each place that may choose them has 23 times as much
+    for copied in (1, 23 * 7, 1 << 40):
+        monkeypatch.setattr(substrings, "COPIED", copied)
+        few = words[:5000] if copied == 1 else words
+        ends = np.array([0, 100, len(few)]) if copied == 1 else texts
+        found = substrings.inner_cuts(few, ends, 51)
+        if copied > 1:
+            assert (found[0] == cuts).all() and (found[1] == chosen).all()
+        else:
+            assert (found[1][200:4900] == chosen[200:4900]).all()
+
+
+def test_removal_calls_python_once(spark):
+    shared = " ".join(f"p{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, "one\n" + shared), (2, "two\n" + shared), (3, shared), (4, "four"), (5, None)], "doc_id long, text string")
+    out = substrings.remove_passages(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # one worker for each task, not two
+    assert sorted(map(tuple, out.collect())) == [(1, "one\n" + shared), (2, "two"), (4, "four"), (5, None)]
